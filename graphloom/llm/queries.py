@@ -9,7 +9,7 @@ from .ppm import op7_ppm_scoring
 from .tiling import op1_string_tiling
 from .token_files import op6_token_files
 from .toxicity import op3_boosted_toxicity
-#from .wrappers import op9_wrapper_induction
+from .wrappers import op9_wrapper_induction
 
 QUERIES = {
     f.__name__: f
@@ -22,7 +22,7 @@ QUERIES = {
         op6_token_files,
         op7_ppm_scoring,
         op8_order_minhash,
-        #op9_wrapper_induction,
+        op9_wrapper_induction,
         op10_collinear_chaining,
     )
 }

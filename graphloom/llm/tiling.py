@@ -100,38 +100,43 @@ def covered(doc: np.ndarray, item: np.ndarray, seed: int) -> float:
 RESULT = "row long, doc_id long, n_words long, items array<struct<item_id:bigint,coverage:double>>"
 
 
+def leak_finder(items: list[tuple[int, str]], seed: int, coverage: float):
+    """A function of a text: its number of words and the (item_id, coverage) that leaked into it."""
+    words = WordCodes()
+    bench = [(i, word_codes(t, words)) for i, t in items]
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {min(seed, len(c)) for _, c in bench if len(c)}:
+        own = [(np.unique(shingles(c, size)), k) for k, (_, c) in enumerate(bench) if min(seed, len(c)) == size]
+        h, k = np.concatenate([x for x, _ in own]), np.repeat([k for _, k in own], [len(x) for x, _ in own])
+        order = np.argsort(h, kind="stable")
+        by_size[size] = h[order], k[order]
+
+    def find(text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        codes = word_codes(text, words)
+        near: set[int] = set()
+        for size, (h, k) in by_size.items():
+            own = shingles(codes, size)
+            own = np.unique(own[h[np.minimum(np.searchsorted(h, own), len(h) - 1)] == own])
+            for a, b in zip(np.searchsorted(h, own), np.searchsorted(h, own, "right")):
+                near.update(k[a:b].tolist())
+        scored = [(bench[k][0], covered(codes, bench[k][1], seed)) for k in sorted(near)]
+        return len(codes), [(i, c) for i, c in scored if c >= coverage]
+
+    return find
+
+
 def leaks_shipped(docs: DataFrame, items: list[tuple[int, str]], seed: int, coverage: float) -> DataFrame:
     """row, doc_id, n_words and the leaked items, with the benchmark in every task."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordCodes()
-        bench = [(i, word_codes(t, words)) for i, t in items]
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {min(seed, len(c)) for _, c in bench if len(c)}:
-            own = [(np.unique(shingles(c, size)), k) for k, (_, c) in enumerate(bench) if min(seed, len(c)) == size]
-            h = np.concatenate([x for x, _ in own])
-            k = np.repeat([k for _, k in own], [len(x) for x, _ in own])
-            order = np.argsort(h, kind="stable")
-            by_size[size] = h[order], k[order]
-        row = TaskContext.get().partitionId() << 40
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, row = leak_finder(items, seed, coverage), TaskContext.get().partitionId() << 40
         for batch in batches:
-            n_words, found = [], []
-            for text in batch.column(1).to_pylist():
-                codes = word_codes(text, words)
-                near: set[int] = set()
-                for size, (h, k) in by_size.items():
-                    own = shingles(codes, size)
-                    at = np.searchsorted(h, own)
-                    own = np.unique(own[h[np.minimum(at, len(h) - 1)] == own])
-                    for a, b in zip(np.searchsorted(h, own), np.searchsorted(h, own, "right")):
-                        near.update(k[a:b].tolist())
-                scored = [(bench[k][0], covered(codes, bench[k][1], seed)) for k in sorted(near)]
-                n_words.append(len(codes))
-                found.append([{"item_id": i, "coverage": c} for i, c in scored if c >= coverage])
-            yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(row, row + len(found)), pa.int64()), "doc_id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "items": pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())])))})
-            row += len(found)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, RESULT)
+            got = [find(t) for t in batch.column(1).to_pylist()]
+            found = [[{"item_id": i, "coverage": c} for i, c in x] for _, x in got]
+            yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(row, row + len(got)), pa.int64()), "doc_id": batch.column(0), "n_words": pa.array([n for n, _ in got], pa.int64()), "items": pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())])))})
+            row += len(got)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
 
 
 def leaks_joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) -> DataFrame:
@@ -188,3 +193,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float
 def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.6, max_shipped_words: int = 2_000_000) -> DataFrame:
+    """The documents, as they are, into which no benchmark item leaked."""
+    small_batches(docs.sparkSession)
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > 6 * max_shipped_words:
+        numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        own = numbered.select(F.col("__row").alias("doc_id"), "text")
+        leaked = leaks(own, benchmark, seed, coverage, max_shipped_words).where("contaminated").select(F.col("doc_id").alias("__row"))
+        return numbered.join(leaked, "__row", "left_anti").select(*docs.columns)
+    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").collect()]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = leak_finder(items, seed, coverage)
+        for batch in batches:
+            yield batch.filter(pa.array([not find(t)[1] for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

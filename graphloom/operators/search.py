@@ -21,9 +21,7 @@ def fulltext_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
     wanted = postings.join(F.broadcast(asked.select("token").distinct()) if queries.limit(10_001).count() <= 10_000 else asked.select("token").distinct(), "token", "left_semi")
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    n = docs.select(F.count("*").alias("n_docs"))
     hits = asked.join(wanted, "token").join(df, "token").groupBy("query_id", "id").agg(F.sum(F.lit(1.0) / F.col("df")).alias("rank_score"))
-    del n
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("rank_score", 9)), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", F.lit(1.0).alias("score"))
 

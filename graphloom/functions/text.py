@@ -228,8 +228,8 @@ def classify_error(status: Column, message: Column) -> Column:
 def key_points(points: Column, most: int = 7) -> Column:
     """T29. Trimmed, of ten characters at least, the first of those equal without regard to case, at most `most`."""
     kept = F.filter(F.transform(points, F.trim), lambda p: F.length(p) >= 10)
-    low = F.transform(kept, F.lower)
-    return F.slice(F.filter(kept, lambda p, i: F.array_position(low, F.lower(p)) == i + 1), 1, most)
+    full = lambda acc, p: (F.size(acc) >= most) | F.exists(acc, lambda a: F.lower(a) == F.lower(p))
+    return F.aggregate(kept, F.expr("cast(array() as array<string>)"), lambda acc, p: F.when(full(acc, p), acc).otherwise(F.concat(acc, F.array(p))))
 
 
 def valid_subtopics(proposed: Column, allowed: Column) -> Column:

@@ -18,9 +18,12 @@ def detect_entities(chunks: DataFrame, gazetteer: DataFrame, most: int = 40, lon
 
     Every run of one to `longest` words is looked up in the gazetteer by a hash join; per document the first `most` names stay.
     """
-    w = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
-    grams = F.flatten(F.array(*[F.transform(w, lambda x, i, n=n: F.when(i + n <= F.size(w), F.array_join(F.slice(w, i + 1, n), " "))) for n in range(1, longest + 1)]))
-    found = chunks.select("doc_id", "chunk", F.explode(F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))).alias("term"))
+    words = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
+    placed = chunks.select("doc_id", "chunk", F.posexplode(words).alias("at", "w1"))
+    by = Window.partitionBy("doc_id", "chunk").orderBy("at")
+    placed = placed.select("doc_id", "chunk", "w1", *[F.lead("w1", n).over(by).alias(f"w{n + 1}") for n in range(1, longest)])
+    runs = [F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)])) for n in range(1, longest + 1)]
+    found = placed.select("doc_id", "chunk", F.explode(F.array_compact(F.array(*runs))).alias("term"))
     terms = gazetteer.where(F.length("term") >= 3)
     terms = F.broadcast(terms) if terms.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows else terms
     hits = found.join(terms, "term").groupBy("doc_id", F.col("term").alias("name")).agg(F.min("chunk").alias("chunk"), F.max(F.struct("confidence", "type")).alias("best"))
@@ -118,9 +121,15 @@ def check_hallucination(mentions: DataFrame, texts: DataFrame, least: float = 0.
     """D08. mentions (doc_id, name), texts (doc_id, text) -> doc_id, name, status (exact, fuzzy, suspected), ratio."""
     rows = mentions.join(texts, "doc_id")
     exact = rows.withColumn("exact", F.contains(F.lower("text"), F.lower("name")))
-    w = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
     n = F.size(F.split(F.trim("name"), r"\s+"))
-    phrases = exact.where("NOT exact").select("doc_id", "name", F.explode(F.array_distinct(F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, n), " ")))).alias("phrase"))
+    left = exact.where("NOT exact").withColumn("n", n)
+    words = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
+    placed = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(words).alias("at", "w1"))
+    by = Window.partitionBy("doc_id").orderBy("at")
+    placed = placed.select("doc_id", "w1", F.lead("w1", 1).over(by).alias("w2"), F.lead("w1", 2).over(by).alias("w3"))
+    runs = F.array(F.struct(F.lit(1).alias("n"), F.col("w1").alias("phrase")), F.struct(F.lit(2).alias("n"), F.concat(F.col("w1"), F.lit(" "), F.col("w2")).alias("phrase")), F.struct(F.lit(3).alias("n"), F.concat(F.col("w1"), F.lit(" "), F.col("w2"), F.lit(" "), F.col("w3")).alias("phrase")))
+    runs = placed.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.n", "r.phrase").where("phrase IS NOT NULL").distinct()
+    phrases = left.select("doc_id", "name", "n").join(runs, ["doc_id", "n"])
     near = phrases.where(2 * F.least(F.length("name"), F.length("phrase")) / (F.length("name") + F.length("phrase")) >= least)
     scored = near.select(F.lower("name").alias("a"), F.col("phrase").alias("b")).distinct().withColumn("ratio", block_ratio("a", "b")).where(F.col("ratio") >= least)
     best = near.join(scored, (F.lower("name") == F.col("a")) & (F.col("phrase") == F.col("b"))).groupBy("doc_id", "name").agg(F.max("ratio").alias("ratio"))

@@ -48,7 +48,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, least: float, on: list
 def ngram_vector(df: DataFrame, key: str = "id", text: str = "text", sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """D13. key, gram, tf: character n-grams of the normalized text."""
     t = normalize_name(F.col(text))
-    grams = F.flatten(F.array(*[F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i, n=n: F.substr(t, i, F.lit(n))), lambda g, n=n: F.length(g) == n) for n in sizes]))
+    runs = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.substr(t, i, F.lit(n))), lambda g: F.length(g) == n)
+    grams = F.flatten(F.array(*map(runs, sizes)))
     return df.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 

@@ -197,7 +197,7 @@ def keyword_category(text: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """T22. First line of over three characters."""
-    return F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > 3), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 3), F.lit(0))
 
 
 def urls(text: Column, most: int = 5) -> Column:
@@ -227,7 +227,7 @@ def classify_error(status: Column, message: Column) -> Column:
 
 def key_points(points: Column, most: int = 7) -> Column:
     """T29. Trimmed, of ten characters at least, the first of those equal without regard to case, at most `most`."""
-    kept = F.filter(F.transform(points, F.trim), lambda p: F.length(p) >= 10)
+    kept = F.filter(F.transform(points, lambda x: F.trim(x)), lambda p: F.length(p) >= 10)
     full = lambda acc, p: (F.size(acc) >= most) | F.exists(acc, lambda a: F.lower(a) == F.lower(p))
     return F.aggregate(kept, F.expr("cast(array() as array<string>)"), lambda acc, p: F.when(full(acc, p), acc).otherwise(F.concat(acc, F.array(p))))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,9 +29,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path  # so that discard() can remove it once nothing reads it
+    release(df.sparkSession)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that are over: it does when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that materialize() wrote."""
     remove(df.sparkSession, df._written_to)
@@ -119,3 +127,31 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     m = n - width + 1
     left, right = at[:m], at[width - span : width - span + m]
     return np.unique(np.where(h[right] < h[left], right, left))
+
+
+def batch_minima(codes: list[np.ndarray], k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many texts at once: text, position and hash of the k-word shingles that are the leftmost minimum of a window of theirs."""
+    sizes = np.array([len(c) for c in codes], np.int64)
+    total = int(sizes.sum())
+    if total < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    begins = np.cumsum(np.concatenate(([0], sizes[:-1])))
+    h = shingles(np.concatenate(codes), k)
+    n = sizes - k + 1  # shingles of each text
+    at, low, span = np.arange(len(h)), h, 1
+    while span * 2 <= width:
+        right = low[span:] < low[:-span]
+        at, low = np.where(right, at[span:], at[:-span]), np.where(right, low[span:], low[:-span])
+        span *= 2
+    m, shift = len(h) - width + 1, width - span
+    chosen = [np.array([b + int(np.argmin(h[b : b + x]))]) for b, x in zip(begins[(n > 0) & (n < width)].tolist(), n[(n > 0) & (n < width)].tolist())]
+    if m > 0:
+        at = np.where(low[shift : shift + m] < low[:m], at[shift : shift + m], at[:m])
+        edges = np.zeros(m + 1, np.int64)
+        long = n >= width
+        np.add.at(edges, begins[long], 1)
+        np.add.at(edges, begins[long] + n[long] - width + 1, -1)
+        chosen.append(np.unique(at[np.cumsum(edges[:-1]) > 0]))
+    found = np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+    text = np.searchsorted(begins, found, side="right") - 1
+    return text, found - begins[text], h[found]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
@@ -91,7 +92,7 @@ def validate_against_source(mentions: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "name", F.round(confidence, 6).alias("confidence"), (F.coalesce("weak", F.lit(False)) & ~found).alias("halved")).where(~F.col("halved") | (F.col("confidence") > 0.5)).drop("halved")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_ratio(a, b):
     """Matching-block ratio of two columns (difflib): verifies few survivors of a join, never a join by itself."""
     from difflib import SequenceMatcher

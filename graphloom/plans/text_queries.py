@@ -115,64 +115,70 @@ def t03(spark, d):
     return t(spark, d, "pages").select("page_id", T.is_safe_url(F.col("url")).alias("safe"))
 
 
+def host():
+    return F.regexp_extract("url", "://([^/:?#]*)", 1)
+
+
 def flags(name: str, table: str, key: str, columns: dict[str, tuple]) -> None:
-    """Register one query of several columns: name -> (Spark column, SQL)."""
+    """Register one query of several columns: name -> (function that makes the Spark column, SQL)."""
     sql = f"SELECT {key}, " + ", ".join(f"{s} AS {c}" for c, (_, s) in columns.items()) + f" FROM {table}"
 
     @query(name, sql if all(s for _, s in columns.values()) else None)
     def run(spark, d):
-        return t(spark, d, table).select(key, *(x.alias(c) for c, (x, _) in columns.items()))
+        return t(spark, d, table).select(key, *(x().alias(c) for c, (x, _) in columns.items()))
 
 
-TEXT = F.col("text")
 red = "substring(text, 1, 10000)"
 for pattern in P.INJECTION:
     red = f"regexp_replace({red}, '(?i){pattern}', '[REDACTED]', 'g')"
-flags("t04_t05_injection", "documents", "doc_id", {"injected": (T.has_injection(TEXT), any_sql("text", P.INJECTION)), "clean_md5": (F.md5(T.sanitize_text(TEXT)), f"md5({red})")})
+flags("t04_t05_injection", "documents", "doc_id", {"injected": (lambda: T.has_injection(F.col("text")), any_sql("text", P.INJECTION)), "clean_md5": (lambda: F.md5(T.sanitize_text(F.col("text"))), f"md5({red})")})
 repeats = "|".join(f"{c}{{5}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_")
-flags("t06_is_garbled", "documents", "doc_id", {"garbled": (T.is_garbled(TEXT), "")})
-flags("t07_placeholders", "documents", "doc_id", {"description": (T.is_template_description(TEXT), any_sql("text", P.TEMPLATE_DESCRIPTION)), "summary": (T.is_template_summary(TEXT), any_sql("text", P.TEMPLATE_SUMMARY)), "series": (T.is_series_name(TEXT), any_sql("text", P.SERIES_NAME)), "skip": (T.is_skip_type(F.col("lang")), "coalesce(lang, '') = 'language'")})
-flags("t08_ocr_noise", "documents", "doc_id", {"noise": (T.is_ocr_noise(TEXT), any_sql("text", P.OCR_NOISE)), "screen": (T.is_screen_recording(TEXT), any_sql("text", P.SCREEN_RECORDING))})
-flags("t09_fix_misspelling", "part", "p_partkey", {"name": (T.fix_misspelling(F.concat(F.lit("doc"), F.substring("p_name", 1, 3))), "CASE lower(trim('doc' || substring(p_name, 1, 3))) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.MISSPELLINGS.items()) + " ELSE 'doc' || substring(p_name, 1, 3) END")})
+flags("t06_is_garbled", "documents", "doc_id", {"garbled": (lambda: T.is_garbled(F.col("text")), "")})
+flags("t07_placeholders", "documents", "doc_id", {"description": (lambda: T.is_template_description(F.col("text")), any_sql("text", P.TEMPLATE_DESCRIPTION)), "summary": (lambda: T.is_template_summary(F.col("text")), any_sql("text", P.TEMPLATE_SUMMARY)), "series": (lambda: T.is_series_name(F.col("text")), any_sql("text", P.SERIES_NAME)), "skip": (lambda: T.is_skip_type(F.col("lang")), "coalesce(lang, '') = 'language'")})
+flags("t08_ocr_noise", "documents", "doc_id", {"noise": (lambda: T.is_ocr_noise(F.col("text")), any_sql("text", P.OCR_NOISE)), "screen": (lambda: T.is_screen_recording(F.col("text")), any_sql("text", P.SCREEN_RECORDING))})
+flags("t09_fix_misspelling", "part", "p_partkey", {"name": (lambda: T.fix_misspelling(F.concat(F.lit("doc"), F.substring("p_name", 1, 3))), "CASE lower(trim('doc' || substring(p_name, 1, 3))) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.MISSPELLINGS.items()) + " ELSE 'doc' || substring(p_name, 1, 3) END")})
 domain = "regexp_extract(url, '://([^/:?#]*)', 1)"
 known = " ".join(f"WHEN starts_with(regexp_replace(lower({domain}), '[ -]', '', 'g'), '{x.replace('.', '').replace('-', '')[:5]}') THEN '{x}'" for x in P.DOMAINS)
 suspicious = f"regexp_matches({domain}, '^[a-zA-Z0-9]([a-zA-Z0-9\\-]*[a-zA-Z0-9])?(\\.[a-zA-Z]{{2,}})+$') AND {any_sql(domain, P.SUSPICIOUS_DOMAIN)}"
-HOST = F.regexp_extract("url", "://([^/:?#]*)", 1)
-flags("t11_validate_domain", "pages", "page_id", {"domain": (T.validate_domain(HOST), f"CASE WHEN NOT (contains({domain}, '.') AND length({domain}) > 3) THEN {domain} {known} WHEN {suspicious} THEN NULL ELSE {domain} END")})
+flags("t11_validate_domain", "pages", "page_id", {"domain": (lambda: T.validate_domain(host()), f"CASE WHEN NOT (contains({domain}, '.') AND length({domain}) > 3) THEN {domain} {known} WHEN {suspicious} THEN NULL ELSE {domain} END")})
 low = "lower(trim(coalesce(p_type, '')))"
-flags("t12_validate_entity_name", "part", "p_partkey", {"reason": (T.name_reject_reason(F.col("p_type")), f"CASE WHEN length(trim(coalesce(p_type, ''))) < 2 THEN 'length' WHEN {low} IN {list_sql(P.PLATFORMS)} THEN 'platform' WHEN {low} IN {list_sql(P.GENERIC_TERMS)} THEN 'generic' WHEN {any_sql('p_type', P.OCR_NOISE)} THEN 'noise' END")})
-flags("t13_min_confidence", "events", "event_id", {"ok": (T.min_confidence(F.col("value") / 100), "coalesce(value / 100, 0) >= 0.3")})
-flags("t14_transcript_quality", "conversations", "conv_id, turn".split(", ")[0], {"turn": (F.col("turn"), "turn"), "quality": (T.transcript_quality(TEXT), f"CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN {contains_sql('text', P.MUSIC_MARKERS)} THEN 'music_only' WHEN length(trim(text)) < 50 THEN 'short' WHEN NOT {contains_sql('text', P.ACTION_VERBS)} THEN 'no_actions' ELSE 'real_content' END")})
+flags("t12_validate_entity_name", "part", "p_partkey", {"reason": (lambda: T.name_reject_reason(F.col("p_type")), f"CASE WHEN length(trim(coalesce(p_type, ''))) < 2 THEN 'length' WHEN {low} IN {list_sql(P.PLATFORMS)} THEN 'platform' WHEN {low} IN {list_sql(P.GENERIC_TERMS)} THEN 'generic' WHEN {any_sql('p_type', P.OCR_NOISE)} THEN 'noise' END")})
+flags("t13_min_confidence", "events", "event_id", {"ok": (lambda: T.min_confidence(F.col("value") / 100), "coalesce(value / 100, 0) >= 0.3")})
+flags("t14_transcript_quality", "conversations", "conv_id, turn".split(", ")[0], {"turn": (lambda: F.col("turn"), "turn"), "quality": (lambda: T.transcript_quality(F.col("text")), f"CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN {contains_sql('text', P.MUSIC_MARKERS)} THEN 'music_only' WHEN length(trim(text)) < 50 THEN 'short' WHEN NOT {contains_sql('text', P.ACTION_VERBS)} THEN 'no_actions' ELSE 'real_content' END")})
 markers = " + ".join(f"CAST(contains(lower(text), '{m}') AS INT)" for m in P.HINGLISH_MARKERS)
-flags("t15_script_language", "documents", "doc_id", {"script": (T.script_language(TEXT), f"CASE WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) > length(text) * 0.1 THEN 'hindi' WHEN {markers} >= 3 THEN 'hinglish' ELSE 'other' END")})
+flags("t15_script_language", "documents", "doc_id", {"script": (lambda: T.script_language(F.col("text")), f"CASE WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) > length(text) * 0.1 THEN 'hindi' WHEN {markers} >= 3 THEN 'hinglish' ELSE 'other' END")})
 noise = "(?i)^(?:" + "|".join(P.NOISE_LINES) + ")"
-flags("t16_drop_noise_lines", "documents", "doc_id", {"text_md5": (F.md5(T.drop_noise_lines(TEXT)), f"md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR (length(trim(x)) >= 3 AND NOT regexp_matches(trim(x), '{noise}'))), chr(10)))")})
-flags("t18_isolate_post", "documents", "doc_id", {"post_md5": (F.md5(T.isolate_post(TEXT)), "")})
-flags("t19_post_type", "pages", "page_id", {"kind": (T.post_type(F.col("url"), F.col("page_id") % 3, F.col("page_id") % 2), "CASE WHEN contains(url, '/reel/') OR contains(url, '/tv/') THEN 'reel' WHEN page_id % 3 > 1 THEN 'carousel' WHEN page_id % 2 > 0 THEN 'reel' ELSE 'carousel' END")})
-flags("t20_clean_text", "documents", "doc_id", {"text_md5": (F.md5(T.clean_text(TEXT)), f"md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '{P.BOILERPLATE}', '', 'g'), ' '))")})
+flags("t16_drop_noise_lines", "documents", "doc_id", {"text_md5": (lambda: F.md5(T.drop_noise_lines(F.col("text"))), f"md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR (length(trim(x)) >= 3 AND NOT regexp_matches(trim(x), '{noise}'))), chr(10)))")})
+flags("t18_isolate_post", "documents", "doc_id", {"post_md5": (lambda: F.md5(T.isolate_post(F.col("text"))), "")})
+flags("t19_post_type", "pages", "page_id", {"kind": (lambda: T.post_type(F.col("url"), F.col("page_id") % 3, F.col("page_id") % 2), "CASE WHEN contains(url, '/reel/') OR contains(url, '/tv/') THEN 'reel' WHEN page_id % 3 > 1 THEN 'carousel' WHEN page_id % 2 > 0 THEN 'reel' ELSE 'carousel' END")})
+flags("t20_clean_text", "documents", "doc_id", {"text_md5": (lambda: F.md5(T.clean_text(F.col("text"))), f"md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '{P.BOILERPLATE}', '', 'g'), ' '))")})
 scores = ", ".join("{'n': " + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in kws) + f", 'o': {-i}, 'c': '{c}'}}" for i, (c, kws) in enumerate(P.CATEGORY_KEYWORDS.items()))
-flags("t21_keyword_category", "documents", "doc_id", {"category": (T.keyword_category(TEXT), f"(SELECT CASE WHEN s.n > 0 THEN s.c ELSE 'other' END FROM (SELECT list_max([{scores}]) AS s))")})
-flags("t22_key_info", "documents", "doc_id", {"first_line": (T.first_line(TEXT), "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3)[1]"), "n_urls": (F.size(T.urls(TEXT)), "least(5, len(list_distinct(regexp_extract_all(text, 'https?://[^\\s]+'))))"), "n_words": (F.size(T.words(TEXT)), WORDS_SQL.format(c="text")), "n_lines": (F.size(F.split("text", "\n")), "len(string_split(text, chr(10)))")})
+flags("t21_keyword_category", "documents", "doc_id", {"category": (lambda: T.keyword_category(F.col("text")), f"(SELECT CASE WHEN s.n > 0 THEN s.c ELSE 'other' END FROM (SELECT list_max([{scores}]) AS s))")})
+flags("t22_key_info", "documents", "doc_id", {"first_line": (lambda: T.first_line(F.col("text")), "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3)[1]"), "n_urls": (lambda: F.size(T.urls(F.col("text"))), "least(5, len(list_distinct(regexp_extract_all(text, 'https?://[^\\s]+'))))"), "n_words": (lambda: F.size(T.words(F.col("text"))), WORDS_SQL.format(c="text")), "n_lines": (lambda: F.size(F.split("text", "\n")), "len(string_split(text, chr(10)))")})
 status = "400 + event_id % 110"
-err = T.classify_error((F.lit(400) + F.col("event_id") % 110).cast("int"), F.col("event_type"))
-flags("t23_classify_error", "events", "event_id", {"error_type": (err["error_type"], f"CASE WHEN {status} IN {list_sql(P.TEMPORARY_STATUS)} THEN 'temporary' WHEN {status} IN {list_sql(P.PERMANENT_STATUS)} THEN 'permanent' WHEN {status} IN {list_sql(P.AUTH_STATUS)} THEN 'auth' WHEN {any_sql('event_type', P.TEMPORARY_ERROR)} THEN 'temporary' WHEN {any_sql('event_type', P.AUTH_ERROR)} THEN 'auth' ELSE 'unknown' END"), "should_retry": (err["should_retry"], f"NOT ({status} IN {list_sql([*P.PERMANENT_STATUS, *P.AUTH_STATUS])} OR ({status} NOT IN {list_sql(P.TEMPORARY_STATUS)} AND NOT {any_sql('event_type', P.TEMPORARY_ERROR)} AND {any_sql('event_type', P.AUTH_ERROR)}))"), "retry_after": (err["retry_after"], f"CASE WHEN {status} = 429 THEN 60.0 WHEN {status} IN {list_sql(P.TEMPORARY_STATUS)} THEN 30.0 END::DOUBLE")})
-lines = F.split("text", r"\.")
-flags("t29_key_points", "documents", "doc_id", {"n": (F.size(T.key_points(lines)), "least(7, len(list_distinct(list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: length(x) >= 10), lambda x: lower(x)))))")})
-flags("t31_tags", "part", "p_partkey", {"tags": (F.array_join(T.tags(F.col("p_brand"), F.split("p_type", " "), F.lit("part"), F.col("p_name"), ["red", "blue", "green"]), ","), "array_to_string(list_sort(list_distinct(list_concat([p_brand], string_split(p_type, ' '), ['part'], list_filter(['red', 'blue', 'green'], lambda k: contains(lower(p_name), k))))), ',')")})
-flags("t32_valid_subtopics", "part", "p_partkey", {"subtopics": (F.array_join(T.valid_subtopics(F.split("p_type", " "), F.array(F.lit("SMALL"), F.lit("BRASS"), F.lit("PLATED"), F.lit("STEEL"))), ","), "array_to_string(list_filter(string_split(p_type, ' '), lambda s: s IN ('SMALL', 'BRASS', 'PLATED', 'STEEL'))[1:3], ',')")})
-flags("t33_fallback_category", "labels", "doc_id", {"category": (F.coalesce(F.when(F.col("toxic") == 1, "toxic"), F.lit("other")), "coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, 'other')")})
-flags("t34_prompt_text", "documents", "doc_id", {"prompt_md5": (F.md5(T.prompt_text(F.col("source"), TEXT, F.split("text", "\n"))), "md5(substring(source, 1, 400) || chr(10) || substring(text, 1, 800) || chr(10) || array_to_string(string_split(text, chr(10))[1:5], chr(10)))")})
-flags("t35_split_projects", "documents", "doc_id", {"project": (T.is_project(F.col("lang"), F.col("source"), TEXT), f"({any_sql('text', P.PROJECT_INDICATORS)} OR {any_sql('source', P.PROJECT_INDICATORS)})"), "note_md5": (F.md5(T.with_setup_note(TEXT)), f"md5(CASE WHEN coalesce(text, '') = '' OR {contains_sql('text', P.BUILD_WORDS)} THEN text ELSE regexp_replace(text, '\\.+$', '') || '. See repository for setup instructions.' END)")})
-flags("t36_guide_title", "conversations", "conv_id", {"turn": (F.col("turn"), "turn"), "title": (T.guide_title(TEXT, F.col("role")), "CASE WHEN text IS NULL OR len(list_filter(string_split(trim(text, ' '), chr(10))[1:3], lambda x: starts_with(trim(x), '#') OR contains(lower(x), 'step') OR contains(lower(x), 'guide'))) > 0 THEN '' WHEN coalesce(role, '') = '' THEN 'Step-by-Step Guide' ELSE 'How to Use ' || role END"), "first_md5": (F.md5(T.order_sections(TEXT, F.col("role"))["first"]), "md5(CASE WHEN instr(lower(text), 'summary') > 0 AND instr(lower(role), 'step') > 0 AND instr(lower(role), 'step') < instr(lower(text), 'summary') THEN role ELSE text END)")})
-flags("t37_slugify", "part", "p_partkey", {"slug": (T.slugify(F.col("p_name")), "regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")})
-flags("t38_is_tutorial", "documents", "doc_id", {"tutorial": (T.is_tutorial(TEXT), f"{contains_sql('text', P.TUTORIAL_WORDS)} AND length(text) >= 100")})
-flags("t39_est_tokens", "documents", "doc_id", {"tokens": (T.est_tokens(TEXT), "CAST(floor(length(text) / 4) AS BIGINT)")})
-flags("t40_fit_dim", "embeddings", "vec_id", {"n": (F.size(T.fit_dim(F.col("embedding"), 96)), "96"), "total": (F.round(F.aggregate(T.fit_dim(F.col("embedding"), 32), F.lit(0.0), lambda s, x: s + x.cast("double")), 4), "round(list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))), 4)")})
-flags("t41_parse_model_response", "events", "event_id", {"k": (T.parse_model_response(F.concat(F.lit("answer: "), F.col("props")), "k int")["k"], "CAST(json_extract(props, '$.k') AS INT)")})
-flags("t43_query_class", "conversations", "conv_id", {"turn": (F.col("turn"), "turn"), "kind": (T.query_class(TEXT), f"CASE WHEN {WORDS_SQL.format(c='text')} <= 2 AND NOT {contains_sql('text', P.QUESTION_WORDS)} THEN 'lookup' WHEN {contains_sql('text', P.SEMANTIC_WORDS)} THEN 'semantic' WHEN {contains_sql('text', P.RELATION_WORDS)} THEN 'relationship' ELSE 'balanced' END")})
-flags("t44_budget", "documents", "doc_id", {"fits": (T.within_budget(F.lit("classification"), T.est_tokens(TEXT)), "floor(length(text) / 4) <= 2000"), "cost": (F.round(T.call_cost(T.est_tokens(TEXT), F.lit(500)), 6), "round(floor(length(text) / 4) / 1000 * 0.00015 + 0.5 * 0.0006, 6)")})
-flags("t45_sampling_interval", "lineitem", "l_orderkey", {"l_linenumber": (F.col("l_linenumber"), "l_linenumber"), "step": (F.round(T.sampling_interval(F.col("l_quantity") * 10), 6), "round(CASE WHEN l_quantity * 10 <= 0 THEN 2.0 ELSE greatest(0.5, least(10.0, l_quantity * 10 / 30)) END, 6)::DOUBLE")})
-flags("t46_node_id", "part", "p_partkey", {"node": (T.node_id(F.col("p_partkey")), "'entity-' || p_partkey"), "rel": (T.relation_type(F.split("p_type", " ")[0], ["SMALL", "LARGE"]), "CASE WHEN upper(string_split(p_type, ' ')[1]) IN ('SMALL', 'LARGE') THEN upper(string_split(p_type, ' ')[1]) ELSE 'RELATED_TO' END")})
+
+
+def error(part: str):
+    return T.classify_error((F.lit(400) + F.col("event_id") % 110).cast("int"), F.col("event_type"))[part]
+
+
+flags("t23_classify_error", "events", "event_id", {"error_type": (lambda: error("error_type"), f"CASE WHEN {status} IN {list_sql(P.TEMPORARY_STATUS)} THEN 'temporary' WHEN {status} IN {list_sql(P.PERMANENT_STATUS)} THEN 'permanent' WHEN {status} IN {list_sql(P.AUTH_STATUS)} THEN 'auth' WHEN {any_sql('event_type', P.TEMPORARY_ERROR)} THEN 'temporary' WHEN {any_sql('event_type', P.AUTH_ERROR)} THEN 'auth' ELSE 'unknown' END"), "should_retry": (lambda: error("should_retry"), f"NOT ({status} IN {list_sql([*P.PERMANENT_STATUS, *P.AUTH_STATUS])} OR ({status} NOT IN {list_sql(P.TEMPORARY_STATUS)} AND NOT {any_sql('event_type', P.TEMPORARY_ERROR)} AND {any_sql('event_type', P.AUTH_ERROR)}))"), "retry_after": (lambda: error("retry_after"), f"CASE WHEN {status} = 429 THEN 60.0 WHEN {status} IN {list_sql(P.TEMPORARY_STATUS)} THEN 30.0 END::DOUBLE")})
+flags("t29_key_points", "documents", "doc_id", {"n": (lambda: F.size(T.key_points(F.split("text", r"\."))), "least(7, len(list_distinct(list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: length(x) >= 10), lambda x: lower(x)))))")})
+flags("t31_tags", "part", "p_partkey", {"tags": (lambda: F.array_join(T.tags(F.col("p_brand"), F.split("p_type", " "), F.lit("part"), F.col("p_name"), ["red", "blue", "green"]), ","), "array_to_string(list_sort(list_distinct(list_concat([p_brand], string_split(p_type, ' '), ['part'], list_filter(['red', 'blue', 'green'], lambda k: contains(lower(p_name), k))))), ',')")})
+flags("t32_valid_subtopics", "part", "p_partkey", {"subtopics": (lambda: F.array_join(T.valid_subtopics(F.split("p_type", " "), F.array(F.lit("SMALL"), F.lit("BRASS"), F.lit("PLATED"), F.lit("STEEL"))), ","), "array_to_string(list_filter(string_split(p_type, ' '), lambda s: s IN ('SMALL', 'BRASS', 'PLATED', 'STEEL'))[1:3], ',')")})
+flags("t33_fallback_category", "labels", "doc_id", {"category": (lambda: F.coalesce(F.when(F.col("toxic") == 1, "toxic"), F.lit("other")), "coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, 'other')")})
+flags("t34_prompt_text", "documents", "doc_id", {"prompt_md5": (lambda: F.md5(T.prompt_text(F.col("source"), F.col("text"), F.split("text", "\n"))), "md5(substring(source, 1, 400) || chr(10) || substring(text, 1, 800) || chr(10) || array_to_string(string_split(text, chr(10))[1:5], chr(10)))")})
+flags("t35_split_projects", "documents", "doc_id", {"project": (lambda: T.is_project(F.col("lang"), F.col("source"), F.col("text")), f"({any_sql('text', P.PROJECT_INDICATORS)} OR {any_sql('source', P.PROJECT_INDICATORS)})"), "note_md5": (lambda: F.md5(T.with_setup_note(F.col("text"))), f"md5(CASE WHEN coalesce(text, '') = '' OR {contains_sql('text', P.BUILD_WORDS)} THEN text ELSE regexp_replace(text, '\\.+$', '') || '. See repository for setup instructions.' END)")})
+flags("t36_guide_title", "conversations", "conv_id", {"turn": (lambda: F.col("turn"), "turn"), "title": (lambda: T.guide_title(F.col("text"), F.col("role")), "CASE WHEN text IS NULL OR len(list_filter(string_split(trim(text, ' '), chr(10))[1:3], lambda x: starts_with(trim(x), '#') OR contains(lower(x), 'step') OR contains(lower(x), 'guide'))) > 0 THEN '' WHEN coalesce(role, '') = '' THEN 'Step-by-Step Guide' ELSE 'How to Use ' || role END"), "first_md5": (lambda: F.md5(T.order_sections(F.col("text"), F.col("role"))["first"]), "md5(CASE WHEN instr(lower(text), 'summary') > 0 AND instr(lower(role), 'step') > 0 AND instr(lower(role), 'step') < instr(lower(text), 'summary') THEN role ELSE text END)")})
+flags("t37_slugify", "part", "p_partkey", {"slug": (lambda: T.slugify(F.col("p_name")), "regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")})
+flags("t38_is_tutorial", "documents", "doc_id", {"tutorial": (lambda: T.is_tutorial(F.col("text")), f"{contains_sql('text', P.TUTORIAL_WORDS)} AND length(text) >= 100")})
+flags("t39_est_tokens", "documents", "doc_id", {"tokens": (lambda: T.est_tokens(F.col("text")), "CAST(floor(length(text) / 4) AS BIGINT)")})
+flags("t40_fit_dim", "embeddings", "vec_id", {"n": (lambda: F.size(T.fit_dim(F.col("embedding"), 96)), "96"), "total": (lambda: F.round(F.aggregate(T.fit_dim(F.col("embedding"), 32), F.lit(0.0), lambda s, x: s + x.cast("double")), 4), "round(list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))), 4)")})
+flags("t41_parse_model_response", "events", "event_id", {"k": (lambda: T.parse_model_response(F.concat(F.lit("answer: "), F.col("props")), "k int")["k"], "CAST(json_extract(props, '$.k') AS INT)")})
+flags("t43_query_class", "conversations", "conv_id", {"turn": (lambda: F.col("turn"), "turn"), "kind": (lambda: T.query_class(F.col("text")), f"CASE WHEN {WORDS_SQL.format(c='text')} <= 2 AND NOT {contains_sql('text', P.QUESTION_WORDS)} THEN 'lookup' WHEN {contains_sql('text', P.SEMANTIC_WORDS)} THEN 'semantic' WHEN {contains_sql('text', P.RELATION_WORDS)} THEN 'relationship' ELSE 'balanced' END")})
+flags("t44_budget", "documents", "doc_id", {"fits": (lambda: T.within_budget(F.lit("classification"), T.est_tokens(F.col("text"))), "floor(length(text) / 4) <= 2000"), "cost": (lambda: F.round(T.call_cost(T.est_tokens(F.col("text")), F.lit(500)), 6), "round(floor(length(text) / 4) / 1000 * 0.00015 + 0.5 * 0.0006, 6)")})
+flags("t45_sampling_interval", "lineitem", "l_orderkey", {"l_linenumber": (lambda: F.col("l_linenumber"), "l_linenumber"), "step": (lambda: F.round(T.sampling_interval(F.col("l_quantity") * 10), 6), "round(CASE WHEN l_quantity * 10 <= 0 THEN 2.0 ELSE greatest(0.5, least(10.0, l_quantity * 10 / 30)) END, 6)::DOUBLE")})
+flags("t46_node_id", "part", "p_partkey", {"node": (lambda: T.node_id(F.col("p_partkey")), "'entity-' || p_partkey"), "rel": (lambda: T.relation_type(F.split("p_type", " ")[0], ["SMALL", "LARGE"]), "CASE WHEN upper(string_split(p_type, ' ')[1]) IN ('SMALL', 'LARGE') THEN upper(string_split(p_type, ' ')[1]) ELSE 'RELATED_TO' END")})
 
 
 @query("t10_fuzzy_to_known")
@@ -187,7 +193,7 @@ WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}
 r AS (SELECT doc_id, x, row_number() OVER (PARTITION BY substring(x, 1, 50) ORDER BY doc_id) AS n FROM c WHERE length(x) > 10)
 SELECT doc_id, md5(x) AS text_md5 FROM r WHERE n = 1""")
 def t17(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", T.clean_ocr(TEXT).alias("x")).where("x IS NOT NULL")
+    rows = t(spark, d, "documents").select("doc_id", T.clean_ocr(F.col("text")).alias("x")).where("x IS NOT NULL")
     first = F.row_number().over(Window.partitionBy(F.substring("x", 1, 50)).orderBy("doc_id"))
     return rows.withColumn("n", first).where("n = 1").select("doc_id", F.md5("x").alias("text_md5"))
 
@@ -204,7 +210,7 @@ def t48(spark, d):
 
 @query("t30_duplicates_summary")
 def t30(spark, d):
-    points = t(spark, d, "conversations").select("conv_id", "turn", F.lower(TEXT).alias("point"), F.lower(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("summary")).where("summary IS NOT NULL")
+    points = t(spark, d, "conversations").select("conv_id", "turn", F.lower(F.col("text")).alias("point"), F.lower(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("summary")).where("summary IS NOT NULL")
     inside = (F.length("point") > 20) & F.contains("summary", F.col("point"))
     bound = 2 * F.least(F.length("point"), F.length("summary")) / (F.length("point") + F.length("summary")) > 0.7
     near = points.withColumn("ratio", F.when(bound & ~inside, D.block_ratio("summary", "point")))
@@ -364,7 +370,7 @@ def t26(spark, d):
 
 @query("t28_best_url", "SELECT host, min(url) AS url FROM (SELECT url, regexp_extract(url, '://([^/:?#]*)', 1) AS host FROM pages) WHERE host NOT LIKE 'm.%' GROUP BY host")
 def t28(spark, d):
-    pages = t(spark, d, "pages").select("url", HOST.alias("host"))
+    pages = t(spark, d, "pages").select("url", host().alias("host"))
     return pages.where(~F.col("host").startswith("m.")).groupBy("host").agg(F.min("url").alias("url"))
 
 

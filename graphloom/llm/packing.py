@@ -146,34 +146,43 @@ def bin_completion(counts: dict[int, int], capacity: int, max_nodes: int = 4000)
     counts = {s: c for s, c in counts.items() if c}
     best = best_fit_decreasing(counts, capacity)
     n_best, least, total = best.total(), lower_bound(counts, capacity), sum(s * c for s, c in counts.items())
+    frames: list[tuple] = []  # the branch so far: what is left, its largest length, the fillings to try, bins, waste
+    path: list[tuple[Pattern, int]] = []
     nodes = 0
 
-    def search(left: dict[int, int], used: list[tuple[Pattern, int]], bins: int, waste: int) -> None:
-        nonlocal best, n_best, nodes
-        if not left:
-            if bins < n_best:
-                best, n_best = Counter(), bins
-                for pattern, times in used:
-                    best[pattern] += times
-            return
+    def enter(left: dict[int, int], bins: int, waste: int) -> None:
+        nonlocal nodes
         nodes += 1
-        sizes = sorted(left)
-        largest = sizes[-1]
-        rest = dict(left)
-        rest[largest] -= 1
-        for filling in fillings(rest, [s for s in sizes if rest[s]], capacity - largest):
-            if n_best <= least or nodes >= max_nodes:
-                return
-            pattern = (largest, *filling)
-            need = Counter(pattern)
-            times = min(left[s] // k for s, k in need.items())
-            lost = waste + times * (capacity - sum(pattern))
-            if lost > (n_best - 1) * capacity - total:  # no bin fewer than the incumbent on this branch
-                continue
-            search({s: c - times * need[s] for s, c in left.items() if c > times * need[s]}, [*used, (pattern, times)], bins + times, lost)
+        largest = max(left)
+        rest = left | {largest: left[largest] - 1}
+        frames.append((left, largest, iter(fillings(rest, sorted(s for s, c in rest.items() if c), capacity - largest)), bins, waste))
 
     if n_best > least:
-        search(counts, [], 0, 0)
+        enter(counts, 0, 0)
+    while frames and n_best > least and nodes < max_nodes:
+        left, largest, options, bins, waste = frames[-1]
+        filling = next(options, None)
+        if filling is None:
+            frames.pop()
+            if path:
+                path.pop()
+            continue
+        pattern = (largest, *filling)
+        need = Counter(pattern)
+        times = min(left[s] // k for s, k in need.items())
+        lost = waste + times * (capacity - sum(pattern))
+        if lost > (n_best - 1) * capacity - total:  # no bin fewer than the incumbent on this branch
+            continue
+        path.append((pattern, times))
+        rest = {s: c - times * need[s] for s, c in left.items() if c > times * need[s]}
+        if rest:
+            enter(rest, bins + times, lost)
+            continue
+        if bins + times < n_best:
+            best, n_best = Counter(), bins + times
+            for p, k in path:
+                best[p] += k
+        path.pop()
     return best
 
 

@@ -46,7 +46,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("packing", packing),
 ]
-#: No SQL can tokenize, learn or chain; tests/llm/test_pipeline.py holds the stages against brute-force versions.
+#: No SQL can tokenize, learn or chain; tests/llm holds the operators of the stages against brute-force versions.
 ORACLE_SQL = None
 
 

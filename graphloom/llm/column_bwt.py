@@ -94,6 +94,30 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(find, "anchor long, content long, doc_id long, place long")
 
 
+def combined(found: DataFrame, most: int = 500_000) -> DataFrame:
+    """anchor, content, doc_id and place of the first, and n: equal strings of a task in one row, up to `most` strings at a time."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged() -> pa.RecordBatch:
+            anchor, content, doc_id, place = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4))
+            order = np.lexsort((place, doc_id, content, anchor))
+            anchor, content = anchor[order], content[order]
+            first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
+            n = np.diff(np.append(first, len(order)))
+            return pa.RecordBatch.from_pydict({"anchor": anchor[first], "content": content[first], "doc_id": doc_id[order[first]], "place": place[order[first]], "n": n.astype(np.int64)})
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                yield merged()
+                held = []
+        if sum(b.num_rows for b in held):
+            yield merged()
+
+    return found.mapInArrow(combine, "anchor long, content long, doc_id long, place long, n long")
+
+
 def repeated_windows(groups: np.ndarray, columns: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Column-wise rounds over aligned strings.
 
@@ -140,12 +164,15 @@ def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
     """doc_id, tag and spans (start, end in bytes) of the repeated bytes of each document that has any; spans may overlap."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = strings(docs, length)
-    groups = found.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-    groups = materialize(groups, "groups")
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # one shuffle by anchor, of what each task has combined, serves both aggregates and their join; anchors of a single string end here
+    groups = combined(found).repartition(partitions, "anchor").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.sum("n").alias("n"))
+    crowds = groups.groupBy("anchor").agg(F.count("*").alias("strings"))
+    groups = materialize(groups.join(crowds, "anchor").where("n > 1 OR strings > 1"), "groups")
     several = groups.where("n > 1").select("anchor", "content", "first")
     equal = found.join(several, ["anchor", "content"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place"))).select("doc_id", "place")
-    crowds = groups.groupBy("anchor").agg(F.count("*").alias("strings")).where("strings > 1")
-    compared = groups.join(crowds, "anchor").select("first.doc_id", F.shiftright("first.place", 39).alias("tag"), F.struct("anchor", F.col("first.place").alias("place"), (F.col("strings") > large).alias("hot")).alias("s"))
+    equal = materialize(equal, "equal")
+    compared = groups.where("strings > 1").select("first.doc_id", F.shiftright("first.place", 39).alias("tag"), F.struct("anchor", F.col("first.place").alias("place"), (F.col("strings") > large).alias("hot")).alias("s"))
     wanted = compared.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("wanted"))  # at most the strings of a document
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +239,6 @@ def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
         if n:
             yield of(pa.Table.from_batches(held).combine_chunks())
 
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     cold = taken.where("anchor IS NOT NULL").repartition(partitions, "anchor").sortWithinPartitions("anchor", "doc_id", "place")
     by_columns = cold.mapInArrow(compare, "doc_id long, place long")
     hot = taken.where("anchor IS NULL").select("doc_id", "place", "data")

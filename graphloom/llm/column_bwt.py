@@ -167,7 +167,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # one shuffle by anchor, of what each task has combined, serves both aggregates and their join; anchors of a single string end here
     groups = combined(found).repartition(partitions, "anchor").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.sum("n").alias("n"))
-    crowds = groups.groupBy("anchor").agg(F.count("*").alias("strings"))
+    crowds = groups.groupBy("anchor").agg(F.expr("count(first, n)").alias("strings"))  # neither is null; both are named so that the join's sides read one shuffle
     groups = materialize(groups.join(crowds, "anchor").where("n > 1 OR strings > 1"), "groups")
     several = groups.where("n > 1").select("anchor", "content", "first")
     equal = found.join(several, ["anchor", "content"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place"))).select("doc_id", "place")

@@ -134,6 +134,43 @@ def test_passages(spark, docs):
     assert 32 not in left and left[34] is None
 
 
+@pytest.mark.parametrize("gap", [10, 30, 60, 100, 150, 200])
+def test_passages_apart(spark, gap):
+    rng = random.Random(gap)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    one, two = words(60), words(60)
+    rows = [(i, " ".join(words(20) + one + words(gap) + two + words(20))) for i in (1, 2)]
+    spans = [r for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    covered = {p for r in spans for p in range(r["start"], r["end"])}
+    assert covered >= {*range(20, 80), *range(80 + gap, 140 + gap)} and all(r["doc_id"] == 2 and r["identity"] >= 0.8 for r in spans)
+    assert gap <= 30 or len(covered) == 120
+
+
+def test_chain_parts_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        runs, a, b, x, y = [], [], [], 0, 0
+        for _ in range(rng.integers(1, 7)):
+            n, g, h = rng.integers(6, 40), rng.integers(1, 40), rng.integers(1, 40)
+            runs.append((x, y, n))
+            same = rng.integers(0, 2**31, n)
+            a += [*same, *rng.integers(2**31, 2**32, g)]
+            b += [*same, *rng.integers(2**31, 2**32, h)]
+            x, y = x + n + g, y + n + h
+        a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+        cost = [max(q[0] - p[0] - p[2], q[1] - p[1] - p[2]) for p, q in zip(runs, runs[1:])]
+
+        def good(i, j):
+            n, m = (runs[j][c] + runs[j][2] - runs[i][c] for c in (0, 1))
+            return n if n >= 50 and sum(cost[i:j]) <= round(0.2 * max(n, m), 6) else 0
+
+        best = [0]
+        for j in range(len(runs)):
+            best.append(max([best[-1]] + [best[i] + good(i, j) for i in range(j + 1) if good(i, j)]))
+        got = chaining.parts_of(np.array(runs), a, b, 50, 0.8)
+        assert sum(e - s for s, e, *_ in got) == best[-1] and all(p[1] <= q[0] for p, q in zip(got, got[1:]))
+
+
 def test_tiling(spark, docs):
     words = (corpus()[0][1] + " " + corpus()[1][1]).split()
     item = " ".join(words[10:20] + words[0:10])  # reordered

@@ -221,3 +221,36 @@ def test_main_text(spark):
     rows = [(i, "https://a.com/x", page(f"T{i}", f"Some  body {i}")) for i in range(6)] + [(10, None, None), (11, "", ""), (12, "u", "plain <b>text</b>")]
     got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "T3\n\nSome body 3\n\nTom & Jerry" and got[10] == got[11] == "" and got[12] == "plain text"
+
+
+def main_texts(spark, page, n=6):
+    rows = [(i, "https://a.com/x", page(i)) for i in range(n)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return {r["page_id"]: r["text"] for r in got.collect()}
+
+
+def test_main_text_nested(spark):
+    body = lambda i: " ".join(f"word{i}x{j}" for j in range(60))
+    article = lambda i: f"<article><header><h1>T{i}</h1><p>Stand {i}</p></header><div class='body'><p>{body(i)}</p></div><section class='more'>{'end%d ' % i * 20}</section></article>"
+    for n in (6, 1):  # with the host's statistics, and without
+        got = main_texts(spark, lambda i: f"<body><nav>Menu</nav><div class='wrap'>{article(i)}<div class='x'>Other {i}</div></div></body>", n)
+        assert all(got[i] == "\n\n".join([f"T{i}", f"Stand {i}", body(i), ("end%d " % i * 20).strip()]) for i in range(n))
+        got = main_texts(spark, lambda i: f"<body><div class='a'><h1><a href='/'>T{i}</a></h1><div class='body'><p>{body(i)}</p></div></div></body>", n)
+        assert all(got[i] == f"T{i}\n\n{body(i)}" for i in range(n))
+    got = main_texts(spark, lambda i: f"<body><div class='top'>Our site</div><div class='body'><p>{body(i)}</p></div><div class='end'>Contact</div></body>")
+    assert all(got[i] == body(i) for i in got)  # what all pages share is template
+
+
+@pytest.mark.parametrize("mark", ["content has-sidebar", "no-sidebar", "layout_with_menu", "without-ads", "widget", "social-page"])
+def test_main_text_class_words(spark, mark):
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    got = main_texts(spark, lambda i: f"<body><div class='{mark}'><p>{text(i)}</p><div class='sidebar'>Aside {i}</div></div></body>")
+    assert all(got[i] == text(i) for i in got)
+
+
+def test_main_text_still_skips(spark):
+    long = "advert " * 30
+    got = main_texts(spark, lambda i: f"<body><div class='ad'>{long}{i}</div><article><p>Short {i}</p></article><div class='comments'>{long}{i}</div></body>")
+    assert all(got[i] == f"Short {i}" for i in got)
+    got = main_texts(spark, lambda i: f"<body><div class='cookie-notice'>{long}{i}</div><p>Short {i}</p><div class='comments'>{long}{i}</div></body>")
+    assert all(got[i] == f"Short {i}" for i in got)

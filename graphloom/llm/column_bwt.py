@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, small_batches
+from .common import discard, materialize, mix64, sliced
 
 GRAM = 16
 LEAST = -(1 << 62)  # stands for a null doc_id
@@ -80,7 +80,7 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
     """anchor, content (hash of the string and the anchor's place in it), doc_id and place (tag, first window, more windows) of each string."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             parts = []
             for doc_id, tag, data in rows_of(batch):
                 if len(data) >= length:
@@ -176,13 +176,13 @@ def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
     wanted = compared.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("wanted"))  # at most the strings of a document
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = list(rows_of(batch))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "tag": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings with their bytes; of hot anchors, windows with a hash of theirs."""
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc_id, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "wanted"))):
                 at = {}
@@ -252,16 +252,15 @@ def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
 
 def remove_repeats(docs: DataFrame, length: int = 100, large: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) of each row."""
-    small_batches(docs.sparkSession)
     spans = repeated_bytes(docs, length, large)
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = list(rows_of(batch))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "tag": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, data, lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "spans"))):
                 kept, at, n = [], 0, 0

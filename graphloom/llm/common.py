@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ _own_root: str | None = None
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir (a local one only where that is unset)."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir. Where that is unset, a temporary folder serves a
+    local session, whose executors are this machine; on a cluster it is an error."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own_root = _own_root or tempfile.mkdtemp(prefix="graphloom-")
         root = f"file://{_own_root}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -50,9 +55,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole texts small, whatever the texts' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of whole texts (which Spark bounds by bytes) in pieces of at most `rows` rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def open_shared(uri: str):

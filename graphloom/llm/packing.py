@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small_batches
+from .common import materialize, sliced
 from .tokens import encoder
 
 Pattern = tuple[int, ...]  # lengths in one sequence, descending
@@ -37,11 +37,10 @@ SALTS = 64  # groups that the pieces of one length are ranked in
 
 def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece; only documents longer than capacity are cut, the first piece takes the rest."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end

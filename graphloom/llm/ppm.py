@@ -1,21 +1,25 @@
 """Operator 7: scoring documents with prediction by partial matching (PPM) over bytes.
 
 The model is a trie of byte contexts up to `order` bytes with the counts of the byte that followed, gathered over all training
-documents. A byte seen in a context gets (2c - 1) / 2n there; the rest, d / 2n for d distinct bytes seen n times, is the
-escape (method D), shared among the bytes not seen in that context in proportion to what the context shorter by one byte
-gives them: symbols already seen are excluded. Below the empty context all 256 byte values are alike. Every context's
-probabilities sum to 1. Texts begin after `order` bytes 0xFE and end with 0xFF, neither of which occurs in UTF-8; the end counts.
+documents. No context is left out. A byte seen c times of n in a context gets (1 - e) c / n there; the rest, e, is the escape,
+shared among the bytes not seen in that context in proportion to what the context shorter by one byte gives them: symbols
+already seen are excluded. Below the empty context all 256 byte values are alike. Every context's probabilities sum to 1.
 
-The counts are Spark aggregates of any size. For scoring, contexts are kept that make up at least a share of all training
-bytes: at most 1/share contexts an order have that, so the trie of an order has a bound that doesn't depend on the corpus;
-the share is doubled until `max_contexts` hold. A context that isn't kept is scored in its longest kept suffix.
+The escape is estimated from all contexts of the same order and shape (n and the number d of distinct bytes, in steps of half an
+octave): each occurrence in turn is left out, and e is the share of them that would be new to the context as it is without them.
+
+Texts begin after `order` bytes 0xFE and end with 0xFF, neither of which occurs in UTF-8; the end counts.
+
+Nothing of the trie passes through the driver or is held whole by a task. Documents are numbered in blocks; a block's distinct
+grams (a byte and its context) meet the trie in joins, order by order, and each block gets the log probabilities of its own
+grams as files of the shared folder. A task that scores holds those of one block.
 
 The base score needs the count of each word. The `head` most frequent words, a fixed number, go to every task as a file; the
 words beyond meet their counts in a shuffle join, once for each document and word.
 
 Nulls and odd input: a null text is empty: one token, the end. A null doc_id is not held out. Repeated rows are scored (and
-learned from) each by itself. Extra columns are ignored. Without training documents V and N are 0, base scores use
-(0.5 / 0.5) and the model is uniform. An empty table gives no rows.
+learned from) each by itself. Extra columns pass, but for those named as the result's. Without training documents V and N are 0,
+base scores use (0.5 / 0.5) and the model is uniform. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, held_out, materialize, open_shared, shared_dir, small_batches
+from .common import discard, held_out, materialize, open_shared, remove, shared_dir, shuffle_partitions, sliced
 
 START, END = b"\xfe", b"\xff"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, nothing else
+BLOCK_ROWS = 8192  # documents of a block at most
 
 
 def lowered(text: str | None) -> bytes:
@@ -56,25 +60,50 @@ def grams(texts: list[bytes], order: int) -> np.ndarray:
     return key[keep]
 
 
-def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """key, count of each (order + 1)-gram of the texts, first within the tasks, then by a shuffle."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their `row` and of its `block`, written down so that both stay."""
+    row = F.monotonically_increasing_id()  # partition, then 33 bits of place in it
+    numbered = docs.withColumn("row", row)
+    return materialize(numbered.withColumn("block", F.floor(F.col("row") / BLOCK_ROWS).cast("long")), "blocks")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, most = np.zeros(0, np.uint64), np.zeros(0, np.int64), 4_000_000
-        out = lambda: pa.RecordBatch.from_pydict({"key": keys.astype(np.int64), "n": counts})
-        for batch in batches:
-            texts = [lowered(t) for t in batch.column(0).to_pylist()]
-            if not texts:
-                continue
-            new, n = np.unique(grams(texts, order), return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, counts = both, np.bincount(inverse, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            if len(keys) > most:
-                yield out()
-                keys, counts = keys[:0], counts[:0]
-        yield out()
 
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def grams_of_blocks(docs: DataFrame, order: int, most: int = 2_000_000) -> DataFrame:
+    """block, key and n of the grams of each block: n counts those of the training documents, and may be 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = None, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(inverse, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            keys, counts = merged()
+            return pa.RecordBatch.from_pydict({"block": np.full(len(keys), block), "key": keys.view(np.int64), "n": counts})
+
+        for batch in sliced(batches):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("block", "train", "text"))))
+            for b in sorted({r[0] for r in rows}):
+                if b != block:
+                    if held:
+                        yield out()
+                    block, held, size = b, [], 0
+                for train in (True, False):
+                    texts = [lowered(t) for x, own, t in rows if x == b and own == train]
+                    if texts:
+                        keys, n = np.unique(grams(texts, order), return_counts=True)
+                        held.append((keys, n if train else np.zeros(len(n), np.int64)))
+                        size += len(keys)
+                if size > most:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > most // 2:  # a block of unusually varied texts gives its grams in parts
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    return docs.select("block", "train", "text").mapInArrow(count, "block long, key long, n long")
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -83,7 +112,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         out = lambda: pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
-        for batch in batches:
+        for batch in sliced(batches):
             for t in batch.column(0).to_pylist():
                 counts.update(lowered(t).split())
             if len(counts) > 500_000:
@@ -94,145 +123,132 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Trie:
-    """Kept contexts as states: longer[state, byte] is the state of the context with that byte in front (-1: not kept),
-    log_p[state, byte] the log10 probability of the byte after it."""
-
-    def __init__(self, longer: np.ndarray, log_p: np.ndarray, order: int):
-        self.longer, self.log_p, self.order = longer, log_p, order
-
-    @classmethod
-    def build(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-        """rows[k]: keys and counts of the contexts of k bytes, a key being the context and then the byte."""
-        order = len(rows) - 1
-        p = [np.full(256, 1 / 256)]
-        longer: list[np.ndarray] = []
-        ids: dict[int, int] = {}
-        for k, (keys, counts) in enumerate(rows):
-            contexts, which = np.unique(keys >> np.uint64(8), return_inverse=True)
-            new_ids = {}
-            table = np.zeros((len(contexts), 256))
-            table[which, (keys & np.uint64(255)).astype(np.int64)] = counts
-            for c, seen in zip(contexts.tolist(), table):
-                state = len(longer)
-                suffix = 0 if k == 0 else ids[c & ((1 << 8 * (k - 1)) - 1)]
-                if k:
-                    longer[suffix][c >> 8 * (k - 1)] = state
-                n, there = seen.sum(), seen > 0
-                shorter = p[0] if k == 0 else p[1 + suffix]
-                unseen = shorter[~there].sum()
-                own = np.where(there, (2 * seen - 1) / (2 * n), 0.0)
-                if unseen > 0:
-                    own[~there] = there.sum() / (2 * n) * shorter[~there] / unseen
-                else:
-                    own /= own.sum()
-                p.append(own)
-                longer.append(np.full(256, -1, np.int32))
-                new_ids[c] = state
-            ids = new_ids
-        if not longer:
-            longer, p = [np.full(256, -1, np.int32)], [p[0], p[0]]
-        return cls(np.stack(longer), np.log10(np.stack(p[1:])).astype(np.float32), order)
+def shape(n: Column, d: Column) -> Column:
+    """The bucket of a context that n bytes followed, d of them distinct: both in steps of half an octave."""
+    half_octaves = lambda x: F.length(F.bin(F.least(x, F.lit(1 << 31)) * F.least(x, F.lit(1 << 31))))
+    return half_octaves(n) * 64 + half_octaves(d)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        order = self.order
-        a = np.frombuffer(b"".join(START * order + t + END for t in texts), np.uint8)
-        sizes = np.array([len(t) + 1 for t in texts])
-        begins = np.cumsum(np.concatenate(([0], sizes[:-1] + order))) + order
-        at = np.arange(len(a))
-        state = np.zeros(len(a), np.int32)
-        live = at[order:]
-        flat = self.longer.ravel()
-        for k in range(1, order + 1):
-            longer = flat[state[live].astype(np.int64) * 256 + a[live - k]]
-            ok = longer >= 0
-            live = live[ok]
-            state[live] = longer[ok]
-        log_p = self.log_p.ravel()[state.astype(np.int64) * 256 + a].astype(np.float64)
-        total = np.concatenate(([0.0], np.cumsum(log_p)))
-        return total[begins + sizes] - total[begins] if len(a) < 1 << 16 else np.array([log_p[b : b + n].sum() for b, n in zip(begins, sizes)])
-
-    def to_bytes(self) -> bytes:
-        f = io.BytesIO()
-        np.savez(f, longer=self.longer, log_p=self.log_p, order=self.order)
-        return f.getvalue()
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> Trie:
-        x = np.load(io.BytesIO(data))
-        return cls(x["longer"], x["log_p"], int(x["order"]))
-
-
-def learn(train: DataFrame, order: int = 5, share: float = 1 / 262144, max_contexts: int = 60_000) -> Trie:
-    """The trie of the contexts that make up at least `share` of the training bytes (more, if there would be over max_contexts)."""
-    full = materialize(count_grams(train, order), "grams")
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1)).alias("key")) for k in range(order + 1)]))
+
+def trie_levels(of_blocks: DataFrame, order: int) -> list[DataFrame]:
+    """For each order from 0: key, n of every gram, with total and d of its context and the context's escape."""
+    full = materialize(of_blocks.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")) for k in range(order + 1)]))
     by_order = full.select(orders.alias("g"), "n").groupBy(F.col("g.k").alias("k"), F.col("g.key").alias("key")).agg(F.sum("n").alias("n"))
-    by_order = materialize(by_order.withColumn("context", F.shiftright("key", 8)), "grams_by_order")
+    context = Window.partitionBy("k", "context")  # at most 256 rows
+    by_order = by_order.withColumn("context", F.shiftright("key", 8)).withColumn("total", F.sum("n").over(context)).withColumn("d", F.count_if(F.col("n") > 0).over(context))
+    by_order = materialize(by_order, "trie")
     discard(full)
-    total = by_order.where("k = 0").agg(F.sum("n")).first()[0] or 0
-    contexts = by_order.groupBy("k", "context").agg(F.sum("n").alias("uses"))
-    least = max(2, math.ceil(total * share))
-    by_size = dict(contexts.where(F.col("uses") >= least).groupBy(F.floor(F.log2(F.col("uses") / least)).alias("doubled")).count().collect())  # a row for each doubling
-    while sum(n for doubled, n in by_size.items() if doubled >= 0) > max_contexts:
-        least *= 2
-        by_size = {doubled - 1: n for doubled, n in by_size.items()}
-    kept = contexts.where(F.col("uses") >= least)
-    # at most 256 x max_contexts rows
-    rows = by_order.join(kept, ["k", "context"], "left_semi").select("k", "key", "n").toPandas()
-    discard(by_order)
-    return Trie.build([(x["key"].to_numpy().astype(np.uint64), x["n"].to_numpy()) for x in (rows[rows["k"] == k] for k in range(order + 1))])
+    # one occurrence left out: the context has one byte less, and one distinct byte less if it was the only one
+    once = (F.col("n") == 1).cast("long")
+    left_out = by_order.where("n > 0 AND total > 1").groupBy("k", shape(F.col("total") - 1, F.greatest(F.col("d") - once, F.lit(1))).alias("shape")).agg(F.sum(once).alias("new"), F.sum("n").alias("all"))
+    escapes = left_out.select("k", "shape", F.least(F.greatest((F.col("new") + 0.5) / (F.col("all") + 1), F.lit(1e-6)), F.lit(0.999)).alias("escape"))
+    # at most 64 x 64 shapes an order
+    known = by_order.withColumn("shape", shape(F.col("total"), F.col("d"))).join(F.broadcast(escapes), ["k", "shape"], "left").withColumn("escape", F.coalesce("escape", F.lit(0.5)))
+    return [known.where(F.col("k") == k).select("key", "context", "n", "total", "escape") for k in range(order + 1)]
+
+
+def log_probabilities(of_blocks: DataFrame, order: int) -> DataFrame:
+    """key, log_p: log10 of the probability of each gram's byte after its context."""
+    below, context = None, Window.partitionBy("context")
+    for k, level in enumerate(trie_levels(of_blocks, order)):
+        level = level.withColumn("own", F.when(F.col("n") > 0, (1 - F.col("escape")) * F.col("n") / F.col("total")))
+        if below is None:
+            level = level.withColumn("shorter", F.lit(1 / 256)).withColumn("log_shorter", F.lit(math.log10(1 / 256)))
+        else:
+            level = level.withColumn("suffix", F.col("key").bitwiseAND((1 << 8 * k) - 1)).join(below, "suffix")
+        unseen = 1 - F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("shorter"))).over(context), F.lit(0.0))
+        escaped = F.when(F.col("total") > 0, F.log10(F.col("escape") / F.col("unseen"))).otherwise(0.0)
+        level = level.withColumn("unseen", unseen).select("key", "own", F.when(F.col("n") > 0, F.log10("own")).otherwise(escaped + F.col("log_shorter")).alias("log_p"))
+        # a byte not seen in the suffix isn't seen in the context either, so its `own` is never asked for
+        below = level.select(F.col("key").alias("suffix"), F.col("own").alias("shorter"), F.col("log_p").alias("log_shorter"))
+    return level.select("key", F.col("log_p").cast("float").alias("log_p"))
+
+
+def write_models(of_blocks: DataFrame, order: int) -> str:
+    """A folder with, for each block, the log probabilities of its grams."""
+    spark = of_blocks.sparkSession
+    path = shared_dir(spark, "ppm")
+    log_p = materialize(log_probabilities(of_blocks, order), "log_p")
+    own = of_blocks.select("block", "key").join(log_p, "key")
+    own.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "key").write.partitionBy("block").parquet(path)
+    discard(log_p)
+    return path
+
+
+class BlockModel:
+    """The log probabilities of one block's grams."""
+
+    def __init__(self, path: str, block: int, order: int):
+        files, base = open_shared(f"{path}/block={block}")
+        table = pq.read_table(base, filesystem=files, columns=["key", "log_p"])
+        key, log_p = table["key"].to_numpy().view(np.uint64), table["log_p"].to_numpy()
+        self.key, first = np.unique(key, return_index=True)
+        self.log_p, self.order = log_p[first].astype(np.float64), order
 
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text with its end."""
+        wanted = grams(texts, self.order)
+        at = np.searchsorted(self.key, wanted)
+        if len(wanted) and (at[np.argmax(at)] == len(self.key) or (self.key[at] != wanted).any()):
+            raise ValueError("a text has a gram that its block's model lacks")
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        return np.add.reduceat(self.log_p[at], begins)
 
-_loaded: dict[str, object] = {}
 
+_loaded: dict[str, dict[bytes, float]] = {}
 
-def loaded(uri: str, make) -> object:
-    """A file of the shared folder, read once by each worker process."""
+
+def read_head(uri: str) -> dict[bytes, float]:
+    """word -> log10 of its count and a half, read once by each worker process."""
     if uri not in _loaded:
         _loaded.clear()
-        for name in (uri.removesuffix(".head") + end for end in (".trie", ".head")):
-            files, path = open_shared(name)
-            with files.open_input_stream(path) as f:
-                _loaded[name] = make[name[-4:]](f.read())
+        files, path = open_shared(uri)
+        with files.open_input_stream(path) as f:
+            t = pq.read_table(io.BytesIO(f.read()))
+        _loaded[uri] = dict(zip(t["word"].to_pylist(), np.log10(t["n"].to_numpy() + 0.5).tolist()))
     return _loaded[uri]
 
 
-def read_head(data: bytes) -> dict[bytes, float]:
-    t = pq.read_table(io.BytesIO(data))
-    return dict(zip(t["word"].to_pylist(), np.log10(t["n"].to_numpy() + 0.5).tolist()))
+RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
 
+def score_documents(docs: DataFrame, held: Column, order: int = 5, head: int = 131_072) -> DataFrame:
+    """doc_id, text -> held_out, n_tokens, n_known, train_tokens, base_score and score of each row; other columns pass.
 
-def score_documents(docs: DataFrame, train: DataFrame, order: int = 5, head: int = 131_072) -> DataFrame:
-    """doc_id, text -> n_tokens, n_known, train_tokens, base_score and score of each row; other columns pass."""
+    Rows for which `held` is true aren't learned from."""
     spark = docs.sparkSession
-    small_batches(spark)
-    trie = learn(train, order)
+    keep = [c for c in docs.columns if c not in (*RESULT, "held_out", "text")]
+    docs = in_blocks(docs.select(F.struct(*keep).alias("kept"), (~held).alias("train"), "text"))
+    of_blocks = materialize(grams_of_blocks(docs, order), "block_grams")
+    models = write_models(of_blocks, order)
+    discard(of_blocks)
+    train = docs.where("train")
     words = materialize(count_words(train), "words")
     n_train = train.count()
     distinct, tokens = words.agg(F.count("*"), F.sum("n")).first()
     n_all, n_distinct = (tokens or 0) + n_train, distinct + (n_train > 0)
     below = math.log10(n_all + 0.5 * (n_distinct + 1))
     end_log = math.log10(n_train + 0.5)
-    top = words.orderBy(F.desc("n"), "word").limit(head).toArrow() if distinct > head else words.toArrow()
-    model = shared_dir(spark, "ppm")
-    files, path = open_shared(model)
+    top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()  # at most `head` words
+    head_file = f"{shared_dir(spark, 'words')}.head"
+    files, path = open_shared(head_file)
     files.create_dir(path.rpartition("/")[0], recursive=True)
-    buffer = io.BytesIO()
-    pq.write_table(top, buffer)
-    for end, data in ((".trie", trie.to_bytes()), (".head", buffer.getvalue())):
-        with files.open_output_stream(path + end) as f:
-            f.write(data)
-    none_beyond = distinct <= head
+    with files.open_output_stream(path) as f:
+        pq.write_table(top, f)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = {"trie": Trie.from_bytes, "head": read_head}
-        known_log = loaded(f"{model}.head", make)
-        trie = loaded(f"{model}.trie", make)
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        known_log = read_head(head_file)
+        model, of_block = None, None
+        for batch in sliced(batches):
+            blocks = batch.column("block").to_numpy()
             texts = [lowered(t) for t in batch.column("text").to_pylist()]
+            scores = np.zeros(len(texts))
+            for b in np.unique(blocks).tolist():
+                if b != of_block:
+                    model = None  # the one before it goes first
+                    model, of_block = BlockModel(models, b, order), b
+                rows = np.flatnonzero(blocks == b)
+                scores[rows] = model.score([texts[i] for i in rows.tolist()])
             n_tokens, n_known, base, beyond = [], [], [], []
             for t in texts:
                 own = t.split()
@@ -243,27 +259,24 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 5, head: int
                 n_known.append(n + (n_train > 0))
                 base.append(math.fsum(x for x in logs if x is not None) + end_log - below * (len(own) + 1))
                 beyond.append(list(rest.items()))
-            new = {"row": np.arange(row, row + len(texts)), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": trie.score(texts) if texts else [], "beyond": pa.array(beyond, pa.map_(pa.binary(), pa.int64()))}
-            row += len(texts)
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in batch.schema.names if c != "text"}, **new})
-
-    # columns of the same name as the result's are left out
-    keep = [c for c in docs.columns if c not in ("row", "n_tokens", "n_known", "base_score", "score", "beyond", "train_tokens")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema if f.name != "text")
-    scored = docs.select(*keep).mapInArrow(score, f"{fields}, row long, n_tokens long, n_known long, base_score double, score double, beyond map<binary,bigint>")
-    if none_beyond:  # every training word is in the head: all others are unknown
+            new = {"row": batch.column("row"), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": scores, "beyond": pa.array(beyond, pa.map_(pa.binary(), pa.int64()))}
+            yield pa.RecordBatch.from_pydict(new)
+
+    scored = materialize(docs.select("row", "block", "text").mapInArrow(score, "row long, n_tokens long, n_known long, base_score double, score double, beyond map<binary,bigint>"), "scored")
+    remove(spark, models)
+    if distinct <= head:  # every training word is in the head: all others are unknown
         rest = F.aggregate(F.map_values("beyond"), F.lit(0).cast("long"), lambda a, x: a + x)
-        scored = scored.withColumn("base_score", F.col("base_score") + F.lit(math.log10(0.5)) * rest)
+        scored = scored.withColumn("base_score", F.col("base_score") + F.lit(math.log10(0.5)) * rest).drop("beyond")
     else:
-        scored = materialize(scored, "scored")
         of_row = scored.select("row", F.explode("beyond").alias("word", "uses")).join(words.withColumnRenamed("n", "c"), "word", "left")
         of_row = of_row.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("uses")).otherwise(0)).alias("known"), F.sum(F.col("uses") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"))
         scored = scored.drop("beyond").join(of_row, "row", "left")
         scored = scored.withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("logs", F.lit(0.0)))
-    return scored.withColumn("train_tokens", F.lit(n_all).cast("long")).select(*[c for c in keep if c != "text"], "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = scored.join(docs.select("row", "kept", (~F.col("train")).alias("held_out")), "row").withColumn("train_tokens", F.lit(n_all).cast("long"))
+    return scored.select(*[F.col("kept").getField(c).alias(c) for c in keep], "held_out", *RESULT)
 
 
 def op7_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; those whose crc32 leaves 1 modulo 5 are held out of the training."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 5, 1))
-    return score_documents(docs, docs.where("NOT held_out"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return score_documents(docs, held_out(F.col("doc_id"), 5, 1))

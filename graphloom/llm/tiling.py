@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, materialize, shingles, small_batches
+from .common import WordCodes, materialize, shingles, sliced
 
 WORD = re.compile(r"\w+")
 
@@ -130,7 +130,7 @@ def leaks_shipped(docs: DataFrame, items: list[tuple[int, str]], seed: int, cove
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, row = leak_finder(items, seed, coverage), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             got = [find(t) for t in batch.column(1).to_pylist()]
             found = [[{"item_id": i, "coverage": c} for i, c in x] for _, x in got]
             yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(row, row + len(got)), pa.int64()), "doc_id": batch.column(0), "n_words": pa.array([n for n, _ in got], pa.int64()), "items": pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())])))})
@@ -146,7 +146,7 @@ def leaks_joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: flo
 
     def seeds(batches: Iterator[pa.RecordBatch], own_size: bool) -> Iterator[pa.RecordBatch]:
         words = WordCodes()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = word_codes(text, words)
@@ -164,7 +164,7 @@ def leaks_joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: flo
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCodes()
-        for batch in batches:
+        for batch in sliced(batches):
             score = [covered(word_codes(x, words), word_codes(y, words), seed) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             out = pa.RecordBatch.from_pydict({"row": batch.column(0), "item_id": batch.column(1), "coverage": pa.array(score, pa.float64())})
             yield out.filter(pa.array([s >= coverage for s in score], pa.bool_()))
@@ -179,7 +179,6 @@ def leaks_joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: flo
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.6, max_shipped_words: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, item_ids, coverage (the largest) and contaminated of each document."""
-    small_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     if size <= 6 * max_shipped_words:
         items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").collect()]
@@ -197,7 +196,6 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.6, max_shipped_words: int = 2_000_000) -> DataFrame:
     """The documents, as they are, into which no benchmark item leaked."""
-    small_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > 6 * max_shipped_words:
         numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
@@ -208,7 +206,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: f
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = leak_finder(items, seed, coverage)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([not find(t)[1] for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_shared, shared_dir, shuffle_partitions, small_batches
+from .common import open_shared, shared_dir, shuffle_partitions, sliced
 from .tokens import encoder
 
 SAMPLE = 256  # ones between two sampled positions of select
@@ -105,7 +105,6 @@ SHARD = "<4sBQQq"  # magic, bytes of an id, documents, of these with a null doc_
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None) -> list[tuple[int, int, int]]:
     """Encode (doc_id, text) and write the shards below `path`; returns (shard, documents, ids) of each, a few numbers a shard."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -116,7 +115,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         ends, ids, total, out = [], [], 0, None
         name = f"{base}/{task.partitionId():06d}"
         part = f".{task.taskAttemptId()}.tmp"
-        for batch in batches:
+        for batch in sliced(batches):
             out = out or files.open_output_stream(f"{name}.ids{part}")
             ids += batch.column(0).to_pylist()
             for got in coder.encode([t or "" for t in batch.column(1).to_pylist()]):

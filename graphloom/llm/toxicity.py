@@ -30,7 +30,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, small_batches
+from .common import held_out, materialize, sliced
 
 WORD = re.compile(r"\w+")
 OBFUSCATED = re.compile(r"[A-Za-z][0-9@$!*|]+[A-Za-z]|(?<!\w)[A-Za-z](?:[.\-_ ][A-Za-z]){3,}(?!\w)|(.)\1{3,}")
@@ -83,7 +83,7 @@ def with_features(docs: DataFrame, lexicons: list[dict[str, float]], by_fold: bo
     """All columns but text, and features. by_fold: a row uses the lexicon at its fold, else the last one is used."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             folds = batch.column("fold").to_pylist() if by_fold else [-1] * batch.num_rows
             rows = [features(t, lexicons[f]) for t, f in zip(batch.column("text").to_pylist(), folds)]
             keep = [c for c in batch.schema.names if c != "text"]
@@ -102,7 +102,7 @@ def count_units(rows: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"unit": pa.array([k[0] for k in seen], pa.string()), "cell": pa.array([k[1] for k in seen], pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold"))):
                 own = {u for w in set(WORD.findall((text or "").lower())) for u in units(w)}
                 seen.update((u, label * FOLDS + fold) for u in own)
@@ -136,7 +136,6 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size: int = 4000, iterations: int = 30, depth: int = 4) -> ToxicityModel:
     """Learn from the labelled rows (doc_id, toxic) of the documents; rows that must not be learned from are not in `labels`."""
     spark = docs.sparkSession
-    small_batches(spark)
     own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()  # the bound of the sample
     sample = spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, label int")

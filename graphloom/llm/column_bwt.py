@@ -7,7 +7,8 @@ that are small and independent:
 1. Every window of `length` bytes has an anchor, the leftmost smallest hash of its 16-byte grams. Equal windows have equal
    anchors at equal places, so a window's copies are all found among the strings around that anchor. A string is what the
    windows of one anchor cover; anchors whose gram occurs once are done with.
-2. Of equal strings around equal anchors, all but the first are repeated: a grouped minimum and a join find them, however many.
+2. Of equal strings around equal anchors, all but the first are repeated. Each task tells those that repeat a string of its own
+   rows; one shuffle by anchor ranks what is left, at most one of a kind from 500,000 strings.
 3. The different strings around one anchor form a collection, aligned at the anchor. Column by column from the right, one
    symbol of each string is inserted: the order of the suffixes is updated by a stable sort on the new symbols (the column in
    the order so far is the collection's BWT) and the common prefixes of neighbours by range minima. Where the common prefix
@@ -15,6 +16,9 @@ that are small and independent:
 4. An anchor with over `large` different strings isn't given to one task: its windows are hashed (128 bits) one by one and
    meet in a grouped minimum.
 
+Texts aren't shuffled: they are written once in numbered blocks, and what a block's documents have to give or to lose comes as
+files by block.
+
 The rounds of step 3 run over the sorted shuffle files of Spark, which each task reads in sequence. The construction is thus the
 positional form of the column-wise method: suffixes are ordered among those that begin in the same column, which is all that
 equal windows need.
@@ -32,24 +36,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, sliced
+from .common import discard, in_blocks, materialize, mix64, read_block, shuffle_partitions, sliced, write_by_block
 
 GRAM = 16
 LEAST = -(1 << 62)  # stands for a null doc_id
 
 
-def tag_of(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) >> 40
+def tagged_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id (never null), a tag of the text (it tells rows of one doc_id apart), the text, row and block."""
+    tag = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 40)
+    return in_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), tag.alias("tag"), "text"))
+
+
+def as_bytes(texts: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
-    """doc_id, a tag of the text (it tells rows of one doc_id apart) and its bytes."""
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        yield LEAST if doc_id is None else doc_id, tag_of(data), data
+class OfBlock:
+    """The lists of a block's rows, from the files of write_by_block()."""
+
+    def __init__(self, path: str, column: str):
+        self.path, self.column, self.block, self.lists = path, column, None, {}
+
+    def find(self, block: int, row: int) -> list | None:
+        if block != self.block:
+            table = read_block(self.path, block)
+            self.block = block
+            # each list stays an Arrow value until its row comes
+            self.lists = {} if table is None else dict(zip(table["row"].to_pylist(), table[self.column]))
+        found = self.lists.get(row)
+        return None if found is None else found.as_py()
 
 
 def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,46 +95,40 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h[at[first]].view(np.int64), at[first].astype(np.int64), first, last
 
 
-def strings(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, content (hash of the string and the anchor's place in it), doc_id and place (tag, first window, more windows) of each string."""
+def strings(blocks: DataFrame, length: int, most: int = 500_000) -> DataFrame:
+    """The strings of the documents: anchor, content (hash of the string and the anchor's place in it), doc_id and place (tag, first
+    window, more windows). `repeated` ones equal an earlier string among up to `most` of the same task, and need no anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            anchor, content, doc_id, place = (np.concatenate(c).astype(np.int64) for c in zip(*held))
+            order = np.lexsort((place, doc_id, content, anchor))
+            anchor, content, doc_id, place = anchor[order], content[order], doc_id[order], place[order]
+            starts = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+            repeated = (doc_id != doc_id[first]) | (place != place[first])
+            spread = mix64(np.where(repeated, place, 0).view(np.uint64)).view(np.int64)
+            columns = {"anchor": np.where(repeated, spread, anchor), "content": np.where(repeated, spread, content), "doc_id": doc_id, "place": place}
+            return pa.RecordBatch.from_pydict(columns | {"repeated": repeated})
+
+        n = 0
         for batch in sliced(batches):
-            parts = []
-            for doc_id, tag, data in rows_of(batch):
+            for doc_id, tag, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 if len(data) >= length:
                     h, at, first, last = anchors(data, length)
                     view = memoryview(data)
                     content = np.array([xxhash.xxh3_64_intdigest(view[s : e + length], x) for s, e, x in zip(first.tolist(), last.tolist(), (at - first).tolist())], np.uint64).view(np.int64)
-                    parts.append((h, content, np.full(len(h), doc_id), tag << 39 | first << 7 | (last - first)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], ["anchor", "content", "doc_id", "place"])
+                    held.append((h, content, np.full(len(h), doc_id), tag << 39 | first << 7 | (last - first)))
+                    n += len(h)
+            if n >= most:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
 
-    return docs.mapInArrow(find, "anchor long, content long, doc_id long, place long")
-
-
-def combined(found: DataFrame, most: int = 500_000) -> DataFrame:
-    """anchor, content, doc_id and place of the first, and n: equal strings of a task in one row, up to `most` strings at a time."""
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged() -> pa.RecordBatch:
-            anchor, content, doc_id, place = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4))
-            order = np.lexsort((place, doc_id, content, anchor))
-            anchor, content = anchor[order], content[order]
-            first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
-            n = np.diff(np.append(first, len(order)))
-            return pa.RecordBatch.from_pydict({"anchor": anchor[first], "content": content[first], "doc_id": doc_id[order[first]], "place": place[order[first]], "n": n.astype(np.int64)})
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= most:
-                yield merged()
-                held = []
-        if sum(b.num_rows for b in held):
-            yield merged()
-
-    return found.mapInArrow(combine, "anchor long, content long, doc_id long, place long, n long")
+    return blocks.select("doc_id", "tag", "text").mapInArrow(find, "anchor long, content long, doc_id long, place long, repeated boolean")
 
 
 def repeated_windows(groups: np.ndarray, columns: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -160,32 +173,31 @@ def repeated_windows(groups: np.ndarray, columns: np.ndarray, length: int) -> li
     return found
 
 
-def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> DataFrame:
+def repeated_bytes(blocks: DataFrame, length: int = 100, large: int = 2000) -> DataFrame:
     """doc_id, tag and spans (start, end in bytes) of the repeated bytes of each document that has any; spans may overlap."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = strings(docs, length)
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    # one shuffle by anchor, of what each task has combined, serves both aggregates and their join; anchors of a single string end here
-    groups = combined(found).repartition(partitions, "anchor").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.sum("n").alias("n"))
-    crowds = groups.groupBy("anchor").agg(F.expr("count(first, n)").alias("strings"))  # neither is null; both are named so that the join's sides read one shuffle
-    groups = materialize(groups.join(crowds, "anchor").where("n > 1 OR strings > 1"), "groups")
-    several = groups.where("n > 1").select("anchor", "content", "first")
-    equal = found.join(several, ["anchor", "content"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place"))).select("doc_id", "place")
-    equal = materialize(equal, "equal")
-    compared = groups.where("strings > 1").select("first.doc_id", F.shiftright("first.place", 39).alias("tag"), F.struct("anchor", F.col("first.place").alias("place"), (F.col("strings") > large).alias("hot")).alias("s"))
-    wanted = compared.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("wanted"))  # at most the strings of a document
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows = list(rows_of(batch))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "tag": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
+    spark = blocks.sparkSession
+    partitions = shuffle_partitions(spark)
+    alike = Window.partitionBy("anchor", "content").orderBy("doc_id", "place")
+    ranked = strings(blocks, length).repartition(partitions, "anchor").withColumn("rank", F.rank().over(alike)).withColumn("copy", F.row_number().over(alike))
+    ranked = ranked.withColumn("strings", F.count_if(F.col("copy") == 1).over(Window.partitionBy("anchor")))
+    ranked = ranked.where("repeated OR rank > 1 OR copy = 1 AND strings > 1").withColumn("repeated", F.col("repeated") | (F.col("rank") > 1))
+    ranked = materialize(ranked.select("anchor", "doc_id", "place", "repeated", "strings"), "ranked")
+    equal = ranked.where("repeated").select("doc_id", "place")
+    tag = F.shiftright("place", 39).alias("tag")
+    compared = ranked.where("NOT repeated").select("doc_id", tag, F.struct("anchor", "place", (F.col("strings") > large).alias("hot")).alias("s"))
+    compared = compared.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("wanted"))  # at most the strings of a document
+    rows = blocks.groupBy("doc_id", "tag").agg(F.min(F.struct("row", "block")).alias("at"))
+    wanted_files = write_by_block(compared.join(rows, ["doc_id", "tag"]).select("at.block", "at.row", "wanted"), "wanted")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings with their bytes; of hot anchors, windows with a hash of theirs."""
+        lists = OfBlock(wanted_files, "wanted")
         for batch in sliced(batches):
             out = []
-            for doc_id, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "wanted"))):
-                at = {}
+            rows = [(lists.find(block, row), doc_id, i) for i, (block, row, doc_id) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "row", "doc_id"))))]
+            rows = [x for x in rows if x[0]]
+            texts = as_bytes(batch.column("text").take(pa.array([x[-1] for x in rows], pa.int64())))
+            for (wanted, doc_id, _), data in zip(rows, texts):
                 h, places, first, _ = anchors(data, length)
                 at = dict(zip(first.tolist(), places.tolist()))
                 for w in wanted:
@@ -203,8 +215,8 @@ def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "place", "anchor", "before", "data"])
 
-    texts = docs.mapInArrow(tagged, "doc_id long, tag long, data binary").join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
-    taken = materialize(texts.select("doc_id", "data", "wanted").mapInArrow(take, "doc_id long, place long, anchor long, before long, data binary"), "strings")
+    taken = blocks.select("block", "row", "doc_id", "text").mapInArrow(take, "doc_id long, place long, anchor long, before long, data binary")
+    taken = materialize(taken, "strings")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = length - GRAM
@@ -252,20 +264,18 @@ def repeated_bytes(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
 
 def remove_repeats(docs: DataFrame, length: int = 100, large: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) of each row."""
-    spans = repeated_bytes(docs, length, large)
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows = list(rows_of(batch))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "tag": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
+    blocks = tagged_blocks(docs)
+    spans = repeated_bytes(blocks, length, large)
+    span_files = write_by_block(spans.join(blocks.select("doc_id", "tag", "block", "row"), ["doc_id", "tag"]).select("block", "row", "spans"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = OfBlock(span_files, "spans")
         for batch in sliced(batches):
             rows = []
-            for doc_id, data, lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "spans"))):
+            for block, row, doc_id, data in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "doc_id")), as_bytes(batch.column("text"))):
                 kept, at, n = [], 0, 0
                 until = -1
-                for s in lists or ():
+                for s in lists.find(block, row) or ():
                     if s["start"] > until:
                         n += 1
                         if until >= 0:
@@ -278,8 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tagged, "doc_id long, tag long, data binary").join(spans, ["doc_id", "tag"], "left")
-    return own.select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return blocks.select("block", "row", "doc_id", "text").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:

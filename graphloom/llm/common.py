@@ -62,6 +62,33 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def in_blocks(docs: DataFrame, rows: int = 8192) -> DataFrame:
+    """The documents with a number of their `row` and of its `block` of at most `rows` rows, written down so that both stay.
+
+    What a block's rows need from elsewhere can be written as files by block and be read by the task that has the block, which
+    spares the texts a shuffle."""
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())  # partition, then 33 bits of place in it
+    return materialize(numbered.withColumn("block", F.floor(F.col("row") / rows).cast("long")), "blocks")
+
+
+def write_by_block(df: DataFrame, name: str) -> str:
+    """A folder with the rows of each block; the block is the column `block`."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    df.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def read_block(path: str, block: int) -> pa.Table | None:
+    """What write_by_block() wrote for a block; None if that is nothing."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileType
+
+    files, base = open_shared(f"{path}/block={block}")
+    if files.get_file_info(base).type == FileType.NotFound:
+        return None
+    return pq.read_table(base, filesystem=files, use_threads=False, partitioning=None)
+
+
 def open_shared(uri: str):
     """(file system, path) of a URI, for tasks that read or write files of the shared folder."""
     from pyarrow import fs

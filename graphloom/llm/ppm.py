@@ -35,11 +35,10 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, held_out, materialize, open_shared, remove, shared_dir, shuffle_partitions, sliced
+from .common import discard, held_out, in_blocks, materialize, open_shared, read_block, remove, shared_dir, sliced, write_by_block
 
 START, END = b"\xfe", b"\xff"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, nothing else
-BLOCK_ROWS = 8192  # documents of a block at most
 
 
 def lowered(text: str | None) -> bytes:
@@ -60,13 +59,6 @@ def grams(texts: list[bytes], order: int) -> np.ndarray:
     return key[keep]
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """The documents with a number of their `row` and of its `block`, written down so that both stay."""
-    row = F.monotonically_increasing_id()  # partition, then 33 bits of place in it
-    numbered = docs.withColumn("row", row)
-    return materialize(numbered.withColumn("block", F.floor(F.col("row") / BLOCK_ROWS).cast("long")), "blocks")
-
-
 def grams_of_blocks(docs: DataFrame, order: int, most: int = 2_000_000) -> DataFrame:
     """block, key and n of the grams of each block: n counts those of the training documents, and may be 0."""
 
@@ -166,11 +158,8 @@ def log_probabilities(of_blocks: DataFrame, order: int) -> DataFrame:
 
 def write_models(of_blocks: DataFrame, order: int) -> str:
     """A folder with, for each block, the log probabilities of its grams."""
-    spark = of_blocks.sparkSession
-    path = shared_dir(spark, "ppm")
     log_p = materialize(log_probabilities(of_blocks, order), "log_p")
-    own = of_blocks.select("block", "key").join(log_p, "key")
-    own.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "key").write.partitionBy("block").parquet(path)
+    path = write_by_block(of_blocks.select("block", "key").join(log_p, "key"), "ppm")
     discard(log_p)
     return path
 
@@ -179,8 +168,7 @@ class BlockModel:
     """The log probabilities of one block's grams."""
 
     def __init__(self, path: str, block: int, order: int):
-        files, base = open_shared(f"{path}/block={block}")
-        table = pq.read_table(base, filesystem=files, columns=["key", "log_p"])
+        table = read_block(path, block)
         key, log_p = table["key"].to_numpy().view(np.uint64), table["log_p"].to_numpy()
         self.key, first = np.unique(key, return_index=True)
         self.log_p, self.order = log_p[first].astype(np.float64), order

@@ -16,7 +16,9 @@ ODD = re.compile("[\x1c-\x1f]")
 class Encoder:
     """encode(texts) gives the ids of each text as little-endian 32-bit bytes, equal to encoding it whole.
 
-    `limit` bounds the memo of encoded pieces; when it is reached the memo starts anew (results don't change).
+    A text is cut before each space that text follows: the byte-level pattern leaves that space to what comes after it. If white
+    space follows some space, the text is cut before its runs of white space instead.
+    `limit` bounds the memos of encoded pieces; when it is reached they start anew (results don't change).
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
@@ -26,6 +28,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit, self.memo = limit, {}
+        self.spaced: dict[str, bytes | None] = {}  # piece without the space before it -> ids; None if no such cut is right
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character stands for one byte
@@ -47,15 +50,35 @@ class Encoder:
                 out[p], a = got[a:b], b
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.limit:
-            self.memo.clear()
+    def _by_runs(self, texts: list[str]) -> list[bytes]:
         cut = [None if ODD.search(t) else PIECE.findall(t) for t in texts]
         new = list({p for pieces in cut if pieces for p in pieces} - self.memo.keys())
         self.memo.update(self._pieces(new))
         get = self.memo.__getitem__
         return [self._ids([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) + len(self.spaced) > self.limit:
+            self.memo.clear()
+            self.spaced.clear()
+        cut = [t.split(" ") for t in texts]
+        firsts = [own.pop(0) for own in cut]
+        new = set().union(*cut) - self.spaced.keys()
+        wrong = {p for p in new if not p or p[0].isspace()}
+        self.spaced.update(dict.fromkeys(wrong))
+        self.spaced.update((p[1:], ids) for p, ids in self._pieces([f" {p}" for p in new - wrong]).items())
+        out: list[bytes | None] = []
+        get = self.spaced.__getitem__
+        for own, first in zip(cut, self._by_runs(firsts)):
+            try:
+                out.append(first + b"".join(map(get, own)))
+            except TypeError:  # a None
+                out.append(None)
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(others, self._by_runs([texts[i] for i in others])):
+            out[i] = ids
+        return out
+
 
 _encoders: dict[str, Encoder] = {}
 

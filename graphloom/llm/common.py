@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs neither recompute it nor depend on an executor."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path  # so that discard() can remove it once nothing reads it
     release(df.sparkSession)
@@ -74,7 +74,7 @@ def in_blocks(docs: DataFrame, rows: int = 8192) -> DataFrame:
 def write_by_block(df: DataFrame, name: str) -> str:
     """A folder with the rows of each block; the block is the column `block`."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
+    df.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
     return path
 
 

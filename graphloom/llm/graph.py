@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): root is the smallest node that node is connected with; a node without edges has no row.
 
     Each round hangs all neighbours of a node below its smallest one, once for the larger neighbours (large star) and once for
@@ -17,7 +17,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     size = None
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

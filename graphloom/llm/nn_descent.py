@@ -2,17 +2,19 @@
 
 Vectors of one label are linked if their cosine, in double precision, is at least `threshold`.
 
+* Copies: equal vectors of a label are one node with a weight, so they don't fill each other's lists.
 * Start: each of several random projections sorts all vectors by their signs; vectors a few places apart in that order are
   first neighbours. A sort has no hot buckets, and a vector gets at most a fixed number of neighbours from it.
 * Descent: round by round, every vector's neighbours (both ways) are compared with each other, and each vector keeps its
   `k` best. Edges below cos(2 theta), theta being the threshold's angle, are dropped: two linked vectors' common neighbour
   within theta of one is within 2 theta of the other. It ends when a round finds nothing new.
-* Saturated lists: a vector whose k best are all above the threshold may have more links than its list holds, so lists are
-  enlarged to the connected component of threshold edges: within it, links are counted exactly. A component of over `block`
+* Saturated lists: a vector whose k best are all above the threshold gets a list `enlarged` times as long. It may have still more
+  links, so in the end lists are the connected components of threshold edges: within one, links are counted exactly. A component of over `block`
   vectors uses angles to its mean: two vectors whose angles add up to less than theta are linked without a comparison, so
   only the outer vectors are compared, in blocks of `block` by `block`.
-* Audit: the links of a bounded sample of vectors are counted by brute force. If less than `recall` of them are found, the
-  number of projections is doubled and the rounds go on.
+* Audit: the links of a bounded sample of vectors are counted by brute force. While the mean share that was found of a vector's
+  links is below `recall`, the number of projections and the length of lists are doubled and the rounds go on; with over `most`
+  projections the operator gives up with an error.
 
 Nulls and odd input: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label,
 have no links and are their own component. Vectors of different lengths aren't linked. Repeated rows are vectors of their own,
@@ -108,7 +110,7 @@ def first_edges(nodes: DataFrame, projections: range, near: int, least: float) -
     return placed.mapInArrow(link, EDGE)
 
 
-def descend(nodes: DataFrame, edges: DataFrame, k: int, least: float, rounds: int) -> DataFrame:
+def descend(nodes: DataFrame, edges: DataFrame, k: int, least: float, threshold: float, enlarged: int, rounds: int) -> DataFrame:
     """Rounds of comparing neighbours of a common neighbour, until none finds an edge."""
     edges = materialize(edges.dropDuplicates(["a", "b"]), "edges")
     size = edges.count()
@@ -122,8 +124,10 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int, least: float, rounds: in
 
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a", "cosine"))
-        lists = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b")
-        around = lists.union(lists.select("b", "a")).distinct()
+        ranked = both.withColumn("rank", F.row_number().over(best))
+        lists = ranked.where((F.col("rank") <= k) | (F.col("rank") <= k * enlarged) & (F.col("cosine") >= threshold))
+        back = lists.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cosine"), "a"))).where(F.col("rank") <= k * enlarged)
+        around = lists.select("a", "b").union(back.select("b", "a")).distinct()
         near = around.join(nodes.select(F.col("node").alias("b"), "v"), "b").groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("id"), "v")).alias("near"))
         new = materialize(edges.union(near.mapInArrow(compare, EDGE)).dropDuplicates(["a", "b"]), "edges")
         discard(edges)
@@ -134,10 +138,10 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int, least: float, rounds: in
 
 
 def count_links(nodes: DataFrame, roots: DataFrame, threshold: float, block: int) -> DataFrame:
-    """node, root, n_links: the exact number of links within the component."""
+    """node, root, n_links: the exact number of links within the component, of a node of `weight` equal vectors."""
     theta = math.acos(threshold) - 1e-6
-    members = nodes.join(roots, "node").select("node", "root", "v")
-    sizes = roots.groupBy("root").count()
+    members = nodes.join(roots, "node").select("node", "root", "v", "weight")
+    sizes = members.groupBy("root").agg(F.count("*").alias("count"), F.sum("weight").alias("all"))
     large = sizes.where(F.col("count") > block)
     mean = members.join(large, "root").select("root", F.posexplode("v").alias("i", "x")).groupBy("root", "i").agg(F.sum("x").alias("x"))
     mean = mean.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m")).select("root", F.col("m.x").alias("m"))
@@ -147,17 +151,17 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float, block: int
     widest = angled.groupBy("root").agg(F.max("angle").alias("widest"))
     split = angled.join(widest, "root").withColumn("outer", F.col("angle").isNull() | (F.col("angle") > theta - F.col("widest")))
     outer = split.where("outer")
-    n_outer = outer.groupBy("root").agg(F.count("*").alias("n_outer"))
+    n_outer = outer.groupBy("root").agg(F.count("*").alias("n_outer"), F.sum("weight").alias("all_outer"))
     chunked = outer.join(n_outer, "root").withColumn("chunks", F.ceil(F.col("n_outer") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a vector meets each chunk of its component once: as (own, other) its links are counted for it
-    dealt = chunked.select("root", "node", "v", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rows = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "v")
+    dealt = chunked.select("root", "node", "v", "weight", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    rows = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "v", "weight")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("rows")
             at, inner = lists.offsets.to_numpy(), lists.values
-            ids, own, v = inner.field("node").to_numpy(), inner.field("own").to_numpy(), inner.field("v")
+            ids, own, weight, v = inner.field("node").to_numpy(), inner.field("own").to_numpy(), inner.field("weight").to_numpy(), inner.field("v")
             out_ids, out_n = [], []
             for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 m = vectors_of(v.slice(s, e - s))
@@ -166,19 +170,19 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float, block: int
                 if batch.column("i")[k].as_py() != batch.column("j")[k].as_py():
                     linked &= own[s:e][:, None] != own[s:e][None, :]
                 out_ids.append(ids[s:e])
-                out_n.append(linked.sum(1))
+                out_n.append(linked @ weight[s:e])
             yield pa.RecordBatch.from_pydict({"node": np.concatenate(out_ids), "n": np.concatenate(out_n).astype(np.int64)})
 
-    blocks = rows.groupBy("root", "i", "j").agg(F.collect_list(F.struct("node", F.col("own").cast("long").alias("own"), "v")).alias("rows"))
+    blocks = rows.groupBy("root", "i", "j").agg(F.collect_list(F.struct("node", F.col("own").cast("long").alias("own"), "weight", "v")).alias("rows"))
     compared = blocks.select("i", "j", "rows").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     sums = split.join(n_outer, "root", "left").join(compared, "node", "left")
-    inner = F.when(F.col("outer"), F.col("count") - F.col("n_outer") + F.coalesce("n", F.lit(0))).otherwise(F.col("count") - 1)
+    inner = F.when(F.col("outer"), F.col("all") - F.col("all_outer") + F.coalesce("n", F.lit(0)) + F.col("weight") - 1).otherwise(F.col("all") - 1)
     return sums.select("node", "root", inner.cast("long").alias("n_links"))
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the links of a sample of vectors (`sample` at most) that were found; they go to every task."""
-    rows = nodes.select("node", "group", "v").orderBy(F.xxhash64("node")).limit(sample).collect()
+    """Mean share that was found of the links of a sample of nodes (`sample` at most); they go to every task."""
+    rows = nodes.select("node", "group", "v", "weight").orderBy(F.xxhash64("node")).limit(sample).collect()
     if not rows:
         return 1.0
     ids = np.array([r[0] for r in rows])
@@ -194,29 +198,36 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int) ->
                 at = np.flatnonzero(groups == g)
                 if len(at):
                     linked = (v @ vectors_of(batch.column(2).take(pa.array(at))).T) >= threshold
-                    n[ks] += (linked & (ids[ks][:, None] != batch.column(0).to_numpy()[at][None, :])).sum(1)
+                    n[ks] += (linked & (ids[ks][:, None] != batch.column(0).to_numpy()[at][None, :])) @ batch.column(3).to_numpy()[at]
             yield pa.RecordBatch.from_pydict({"node": ids, "n": n})
 
-    true = nodes.select("node", "group", "v").mapInArrow(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    got = true.join(found, "node", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    true = nodes.select("node", "group", "v", "weight").mapInArrow(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    others = F.greatest(F.coalesce("n_links", F.lit(0)) - F.col("weight") + 1, F.lit(0))  # but for the node's own copies
+    got = true.where("n > 0").join(nodes.select("node", "weight"), "node").join(found, "node", "left").agg(F.avg(F.least(F.lit(1.0), others / F.col("n")))).first()[0]
+    return 1.0 if got is None else got
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.93, k: int = 8, near: int = 4, projections: int = 8, rounds: int = 6, block: int = 1024, recall: float = 0.97, sample: int = 512) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.93, k: int = 8, near: int = 4, projections: int = 8, rounds: int = 6, block: int = 1024, recall: float = 0.97, sample: int = 512, enlarged: int = 4, most: int = 512) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of (vec_id, label, embedding)."""
-    nodes = materialize(unit_vectors(table), "vectors")
-    sound = nodes.where("group IS NOT NULL")
+    nodes = materialize(unit_vectors(table).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v")), "vectors")
+    copies = nodes.where("group IS NOT NULL").groupBy("group", "h1", "h2").agg(F.min("node").alias("node"), F.count("*").alias("weight"))
+    sound = materialize(copies.join(nodes.select("node", "v"), "node").select("node", "group", "h1", "h2", "v", "weight"), "nodes")
     least = math.cos(min(math.pi, 2 * math.acos(threshold)))
     edges, done = None, 0
     while True:
         first = first_edges(sound, range(done, projections), near, least)
-        edges = descend(sound, first if edges is None else edges.union(first), k, least, rounds)
+        edges = descend(sound, first if edges is None else edges.union(first), k, least, threshold, enlarged, rounds)
         roots = materialize(components(edges.where(F.col("cosine") >= threshold).select("a", "b")), "roots")
         links = materialize(count_links(sound, roots, threshold, block), "links")
-        if done or audit(sound, links, threshold, sample) >= recall:
+        got = audit(sound, links, threshold, sample)
+        if got >= recall:
             break
-        done, projections = projections, 4 * projections
-    all_nodes = nodes.select("node", "vec_id").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if projections > most:
+            raise RuntimeError(f"{projections} projections find {got:.3f} of the links, less than {recall}")
+        done, projections, k = projections, 2 * projections, 2 * k
+    links = links.select(F.col("node").alias("of"), F.col("root").alias("linked"), "n_links")
+    whole = sound.join(links, F.col("node") == F.col("of"), "left").select("group", "h1", "h2", F.coalesce("linked", "node").alias("root"), F.coalesce("n_links", F.col("weight") - 1).alias("n_links"))
+    all_nodes = nodes.select("node", "vec_id", "group", "h1", "h2").join(whole, ["group", "h1", "h2"], "left").withColumn("root", F.coalesce("root", "node"))
     names = all_nodes.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     return all_nodes.join(names, "root").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

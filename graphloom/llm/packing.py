@@ -8,7 +8,8 @@ Bin completion (branch and bound): take the largest length left, enumerate the f
 filling dominates (A dominates B if B's pieces fit into A's as into bins), branch over them from the least waste, and use
 each as often as the histogram allows. A branch ends when its waste exceeds what a solution better than the incumbent may
 waste. The incumbent begins as best-fit decreasing; the search ends at the lower bound or after `max_nodes` nodes with the
-best solution found.
+best solution found. Fillings are looked for within limits too (400 looks, the best 8 of a bin), so a histogram of very many
+lengths whose best-fit packing is above the bound may keep a sequence more than the fewest.
 
 Nulls and odd input: a null text is an empty text (one piece: the end id); null and repeated doc_ids are kept, each row is
 its own document; extra columns are ignored; an empty table gives no rows. Ties are broken by (doc_id, piece, checksum).
@@ -32,7 +33,7 @@ from .common import materialize, sliced
 from .tokens import encoder
 
 Pattern = tuple[int, ...]  # lengths in one sequence, descending
-SALTS = 64  # groups that the pieces of one length are ranked in
+GROUP = 50_000  # pieces of one length that are ranked together, about
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -200,14 +201,16 @@ def deal_out(plan: Counter[Pattern]) -> pd.DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, max_nodes: int = 4000) -> DataFrame:
     """Pieces with sequence_id and offset. The pieces are written once; the texts aren't shuffled."""
-    pieces = materialize(cut_into_pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-    groups = pieces.groupBy("length", "salt").count()  # at most capacity x SALTS rows
+    pieces = materialize(cut_into_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    salts = docs.sparkSession.createDataFrame([(size, -(-n // GROUP)) for size, n in counts.items()], "length long, salts long")
+    pieces = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
+    groups = pieces.groupBy("length", "salt").count()
     by_length = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("before", F.coalesce(F.sum("count").over(by_length), F.lit(0))).select("length", "salt", "before")
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     segments = deal_out(bin_completion(counts, capacity, max_nodes))
     in_group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(in_group) - 1).join(F.broadcast(groups), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = pieces.withColumn("rank", F.row_number().over(in_group) - 1).join(groups, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         span = 1 << 44

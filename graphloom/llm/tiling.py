@@ -6,7 +6,8 @@ again, down to `seed` words; Karp-Rabin hashes of all runs of one length find th
 reordered passage is caught. An item leaks into a document if its tiles cover at least `coverage` of the item's words.
 
 The benchmark is shipped to the tasks while it has at most `max_shipped_words` words; a larger one meets the documents in a
-shuffle join on the seeds. Both ways give the same rows.
+shuffle join on the seeds. Both ways give the same rows. Tiles that cover C words of an item hold at least C / `seed` seeds of it,
+so an item's most frequent seeds, less than that many, may be left out of the join: an item that leaks is found by others.
 
 Nulls and odd input: null and empty texts have no words and leak nothing. An item with fewer words than `seed` must occur as a
 whole. Null item ids and doc_ids are kept as they are; repeated rows are compared each; repeated items count once an id. Extra
@@ -17,11 +18,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordCodes, materialize, shingles, sliced
@@ -44,22 +46,19 @@ def common_runs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.nda
 
     at_a, h_a = hashed(a, free_a)
     at_b, h_b = hashed(b, free_b)
-    where: dict[int, list[int]] = {}
-    for i, h in zip(at_b.tolist(), h_b.tolist()):
-        where.setdefault(h, []).append(i)
-    hit = np.isin(h_a, h_b)
-    runs, seen = [], set()
-    for i, h in zip(at_a[hit].tolist(), h_a[hit].tolist()):
-        for j in where[h]:
-            if (i, j) in seen:
-                continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            seen.update((i + d, j + d) for d in range(n - size + 1))
-            if n >= size:
-                runs.append((n, i, j))
-    return runs
+    order = np.argsort(h_b, kind="stable")
+    low, high = np.searchsorted(h_b[order], h_a), np.searchsorted(h_b[order], h_a, "right")
+    times = high - low
+    if not times.any():
+        return []
+    # every pair of equal windows; on a diagonal, pairs that follow each other make a run
+    i = np.repeat(at_a, times)
+    j = at_b[order[np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]]
+    by = np.lexsort((i, i - j))
+    i, j = i[by], j[by]
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j) != 1))))
+    n = np.diff(np.append(starts, len(i))) + size - 1
+    return list(zip(n.tolist(), i[starts].tolist(), j[starts].tolist()))
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -72,19 +71,22 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
         if longest > 2 * size:  # search again for runs as long as the longest
             size = longest
             continue
-        runs.sort(key=lambda r: (-r[0], r[1], r[2]))
-        while runs:
-            n, i, j = runs.pop(0)
+        heap = [(-n, i, j) for n, i, j in runs]
+        heapify(heap)
+        left_b = int(free_b.sum())
+        while heap and left_b >= size:
+            n, i, j = heappop(heap)
+            n = -n
             if free_a[i : i + n].all() and free_b[j : j + n].all():
                 free_a[i : i + n] = free_b[j : j + n] = False
+                left_b -= n
                 out.append((n, i, j))
             else:  # partly marked meanwhile: what is left of it may still be a tile
                 both = free_a[i : i + n] & free_b[j : j + n]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], both.view(np.int8), [0]))))
                 for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
                     if e - s >= size:
-                        runs.append((e - s, i + s, j + s))
-                runs.sort(key=lambda r: (-r[0], r[1], r[2]))
+                        heappush(heap, (s - e, i + s, j + s))
         if size == least:
             return out
         size = max(least, size // 2)
@@ -141,8 +143,16 @@ def leaks_shipped(docs: DataFrame, items: list[tuple[int, str]], seed: int, cove
 
 def leaks_joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) -> DataFrame:
     """The same by a shuffle join of seeds: for a benchmark too large to ship. The numbered documents are written once."""
-    numbered = materialize(docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
-    sizes = [r[0] for r in benchmark.select(F.least(F.lit(seed), F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)(\w+)")))).alias("n")).where("n > 0").distinct().collect()]  # seed numbers at most
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.append_column("n_words", pa.array([len(WORD.findall((t or "").lower())) for t in batch.column(1).to_pylist()], pa.int64()))
+
+    numbered = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(counted, "doc_id long, text string, n_words long")
+    numbered = materialize(numbered.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    bench = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(counted, "item_id long, text string, n_words long")
+    bench = materialize(bench.withColumn("key", F.monotonically_increasing_id()), "items")
+    sizes = [r[0] for r in bench.where("n_words > 0").select(F.least(F.lit(seed), "n_words").alias("n")).distinct().collect()]  # seed numbers at most
 
     def seeds(batches: Iterator[pa.RecordBatch], own_size: bool) -> Iterator[pa.RecordBatch]:
         words = WordCodes()
@@ -152,15 +162,21 @@ def leaks_joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: flo
                 codes = word_codes(text, words)
                 for size in [min(seed, len(codes))] if own_size else sizes:
                     if size:
-                        h = np.unique(shingles(codes, size))
+                        h = shingles(codes, size)
+                        h = h if own_size else np.unique(h)
                         keys.append(np.full(len(h), key, np.int64))
                         hashes.append(h)
             yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "seed": np.concatenate(hashes).view(np.int64)})
 
-    bench = materialize(benchmark.select(F.col("item_id").cast("long"), "text").withColumn("key", F.monotonically_increasing_id()), "items")
-    of_items = bench.select("key", "text").mapInArrow(lambda b: seeds(b, True), "key long, seed long").withColumnRenamed("key", "item")
+    of_items = bench.select("key", "text").mapInArrow(lambda b: seeds(b, True), "key long, seed long").withColumnRenamed("key", "item")  # one row a place
     of_docs = numbered.select("row", "text").mapInArrow(lambda b: seeds(b, False), "key long, seed long").withColumnRenamed("key", "row")
-    pairs = of_docs.join(of_items, "seed").select("row", "item").distinct()
+    of_docs = materialize(of_docs.join(of_items.select("seed").distinct(), "seed", "left_semi"), "seeds")
+    uses = of_docs.groupBy("seed").agg(F.count("*").alias("uses"))
+    in_item = Window.partitionBy("item")
+    ranked = of_items.join(uses, "seed").join(bench.select(F.col("key").alias("item"), "n_words"), "item")
+    spared = F.ceil(F.lit(coverage) * F.col("n_words") / F.lit(seed)) - 1  # less than the seeds that a leaking item's tiles hold
+    wanted = ranked.withColumn("rank", F.row_number().over(in_item.orderBy(F.desc("uses"), "seed"))).where((F.col("rank") > spared) | (F.col("n_words") <= seed))
+    pairs = of_docs.join(wanted.select("item", "seed").distinct(), "seed").select("row", "item").distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCodes()
@@ -172,9 +188,8 @@ def leaks_joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: flo
     texts = pairs.join(numbered.select("row", "text"), "row").join(bench.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
     found = texts.select("row", "item_id", "text", "item_text").mapInArrow(compare, "row long, item_id long, coverage double")
     found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_id", "coverage"))).alias("items"))
-    n_words = F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)(\w+)"))).cast("long")
     empty = F.array().cast("array<struct<item_id:bigint,coverage:double>>")
-    return numbered.join(found, "row", "left").select("row", "doc_id", n_words.alias("n_words"), F.coalesce("items", empty).alias("items"))
+    return numbered.join(found, "row", "left").select("row", "doc_id", "n_words", F.coalesce("items", empty).alias("items"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.6, max_shipped_words: int = 2_000_000) -> DataFrame:

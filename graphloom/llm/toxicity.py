@@ -6,11 +6,12 @@ obfuscated spellings. The lexicon's weights are log odds of document frequencies
 of a training row use a lexicon learned without that row's fold, so trees see weights as they are on unseen texts. Trees are
 fitted on all folds but the last, the isotonic calibration on the last.
 
-Learning uses at most `max_rows` labelled rows, those with the smallest hash of their doc_id; scoring covers every row.
+Learning uses at most `max_rows` labelled rows, those with the smallest hash of their doc_id, and the `lexicon_size` units that tell
+most of the label; scoring covers every row.
 
 Nulls and odd input: null and empty texts have all features 0 and get the score of such a text. Labels other than 0 and 1, and
 null labels or ids, aren't learned from; of several labels of one document the largest counts. Repeated rows are scored each.
-Extra columns pass through; columns named as the result's are replaced. Without rows of both labels every score is the share
+Extra columns pass through; one called score is replaced by the model's, but drop_toxic gives it back as it was. Without rows of both labels every score is the share
 of label 1 (0 without any row). An empty table gives no rows.
 """
 
@@ -29,6 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .common import held_out, materialize, sliced
 
@@ -89,8 +91,8 @@ def with_features(docs: DataFrame, lexicons: list[dict[str, float]], by_fold: bo
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, pa.list_(pa.float64()))], [*keep, "features"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(compute, ", ".join([*fields, "features array<double>"]))
+    schema = StructType([f for f in docs.schema if f.name != "text"]).add("features", ArrayType(DoubleType()))
+    return docs.mapInArrow(compute, schema)
 
 
 def count_units(rows: DataFrame) -> DataFrame:
@@ -123,14 +125,15 @@ class ToxicityModel:
     share: float
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """All columns but text, and score."""
-        docs = docs.drop("score", "predicted", "features")
+        """All columns but text (and any that is called score), and score."""
+        kept = [F.col(f"kept.`{c}`") for c in docs.columns if c not in ("text", "score")]
+        docs = docs.select(F.struct(*(c for c in docs.columns if c not in ("text", "score"))).alias("kept"), "text")
         if self.trees is None:
-            return docs.drop("text").withColumn("score", F.lit(self.share))
+            return docs.select(*kept, F.lit(self.share).alias("score"))
         found = with_features(docs, [self.lexicon]).withColumn("__vector", array_to_vector("features"))
         found = self.trees.transform(found).withColumn("__raw", vector_to_array("__probability")[1])
         found = self.calibration.transform(found).withColumn("score", 0.99 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), "__score")) + 0.01 * F.col("__raw"))  # a calibrated step keeps the trees' order within it
-        return found.select(*(c for c in docs.columns if c != "text"), "score")
+        return found.select(*kept, "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size: int = 4000, iterations: int = 30, depth: int = 4) -> ToxicityModel:
@@ -141,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size
     sample = spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, label int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
-    rows = materialize(rows.select("text", "label", "fold").repartition(max(2, len(chosen) // 2500), F.xxhash64("text")), "labelled")
+    rows = materialize(rows.repartition(max(2, len(chosen) // 2500), F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text").select("text", "label", "fold"), "labelled")  # in the same order each time
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("label", "fold").count().collect()}
     n = [[sizes.get((label, f), 0) for f in range(FOLDS)] for label in (0, 1)]
     n_all = sum(map(sum, n))
@@ -187,5 +190,5 @@ def op3_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents whose score is below the threshold, as they are."""
-    scored = fit(docs, training_labels(labels)).score(docs.withColumn("__text", F.col("text")))
-    return scored.where(F.col("score") < threshold).withColumnRenamed("__text", "text").select(*docs.columns)
+    scored = fit(docs, training_labels(labels)).score(docs.select(F.struct(*docs.columns).alias("own"), "text"))
+    return scored.where(F.col("score") < threshold).select(*(F.col(f"own.`{c}`") for c in docs.columns))

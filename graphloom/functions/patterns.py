@@ -46,7 +46,7 @@ SCREEN_RECORDING = [
     r"(?:url|address)\s+bar\s+(?:shows?|displays?|reads?)",
     r"(?:type(?:ing)?|enter(?:ing)?)\s+(?:in|into)\s+(?:the|a|url|search)",
 ]
-PLATFORMS = "instagram facebook twitter youtube tiktok linkedin reddit pinterest snapchat whatsapp discord slack telegram signal wechat".split()
+PLATFORMS = ["instagram", "facebook", "twitter", "youtube", "tiktok", "linkedin", "reddit", "pinterest", "snapchat", "whatsapp", "discord", "slack", "telegram", "signal", "wechat"]
 GENERIC_TERMS = ["website", "web app", "mobile app", "landing page", "dashboard", "interface", "ui", "ux", "animations", "css", "html", "code", "editor", "browser", "screen", "button", "form", "modal", "header", "footer", "sidebar", "menu", "navigation", "project", "tool", "framework", "library", "platform", "app", "application", "software", "service", "api"]
 # Misspelling -> name.
 MISSPELLINGS = {
@@ -58,7 +58,7 @@ MISSPELLINGS = {
     "cplusplus": "cpp", "csharp": "csharp", "rubyonrails": "ruby on rails", "rails": "ruby on rails",
 }
 # Known domains, in order of precedence.
-DOMAINS = "github.com gitlab.com bitbucket.org vercel.com netlify.com heroku.com firebase.google.com supabase.com appwrite.io figma.com canva.com notion.so linear.app posthog.com mixpanel.com amplitude.com segment.com algolia.com elastic.co mongodb.com postgresql.org mysql.com redis.io docker.com kubernetes.io terraform.io aws.amazon.com azure.microsoft.com cloud.google.com".split()
+DOMAINS = ["github.com", "gitlab.com", "bitbucket.org", "vercel.com", "netlify.com", "heroku.com", "firebase.google.com", "supabase.com", "appwrite.io", "figma.com", "canva.com", "notion.so", "linear.app", "posthog.com", "mixpanel.com", "amplitude.com", "segment.com", "algolia.com", "elastic.co", "mongodb.com", "postgresql.org", "mysql.com", "redis.io", "docker.com", "kubernetes.io", "terraform.io", "aws.amazon.com", "azure.microsoft.com", "cloud.google.com"]
 SUSPICIOUS_DOMAIN = [r"\.(in|co\.in|org\.in)$", r"[0-9]+\.com$", r"^[a-z]{2,}\d+\.com$"]
 # Transcripts.
 MUSIC_MARKERS = ["[music]", "[applause]", "[sound]", "[silence]", "[instrumental]", "[background music]"]
@@ -100,7 +100,6 @@ WEIGHTS = {"lookup": (0.2, 0.7, 0.1), "semantic": (0.7, 0.2, 0.1), "relationship
 PROJECT_INDICATORS = [r"build\s+(a|your|the)\s+", r"create\s+(a|your|the)\s+", r"project\s*:", r"app\s*:", r"repository\s*:", r"github\.com/"]
 BUILD_WORDS = ["install", "npm", "clone", "setup", "run", "build", "deploy"]
 TUTORIAL_WORDS = ["step", "how to", "tutorial", "guide", "instructions", "first", "then", "next", "finally", "copy", "paste", "click", "open", "go to", "visit"]
-PROJECT_WORDS = ["project idea", "project ideas", "build a", "create a", "for beginners", "unique project", "portfolio project", "java project", "python project", "react project"]
 # Mentions.
 PROGRESS_MARKER = [r"^day\s+\d+", r"^\d+/\d+$", r"^week\s+\d+", r"^part\s+\d+", r"^step\s+\d+", r"^level\s+\d+"]
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"

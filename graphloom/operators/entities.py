@@ -103,10 +103,19 @@ def block_ratio(a, b):
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """left (a), right (b) distinct strings -> a, b, ratio >= least. Candidates share a character bigram and pass the length bound."""
-    grams = lambda df, c: df.select(c, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2))))).alias("gram"))
+    """left (a), right (b) distinct strings -> a, b, ratio >= least.
+
+    The ratio is twice the characters in matching blocks over all, and blocks hold no character more often than both strings do. So
+    characters numbered by occurrence are sets that overlap in `least` of the mean length, and as in any such join two strings share
+    one of the rarest few of either."""
+    both = left.select(F.col("a").alias("s")).union(right.select("b")).distinct().where("s <> ''")
+    at = both.select("s", F.posexplode(F.split("s", "")).alias("at", "letter")).where("letter <> ''")
+    at = at.withColumn("token", F.concat("letter", F.row_number().over(Window.partitionBy("s", "letter").orderBy("at")).cast("string")))
+    df = at.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("s").orderBy("df", "token"))
+    rare = at.join(df, "token").withColumn("rank", rank).where(F.col("rank") <= F.length("s") - F.ceil(F.length("s") * (least / (2 - least)) - 1e-9) + 1).select("s", "token")
     bound = 2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b")) >= least
-    pairs = grams(left, "a").join(grams(right, "b"), "gram").where(bound).select("a", "b").distinct()
+    pairs = left.join(rare.toDF("a", "token"), "a").join(right.join(rare.toDF("b", "token"), "b"), "token").where(bound).select("a", "b").distinct()
     return pairs.withColumn("ratio", block_ratio("a", "b")).where(F.col("ratio") >= least)
 
 
@@ -118,10 +127,17 @@ def fuzzy_to_known(names: DataFrame, known: DataFrame, least: float = 0.85) -> D
     return names.join(best, F.lower("name") == F.col("a"), "left").select("name", F.when(F.col("best.term") != F.lower("name"), F.col("best.term")).alias("term"))
 
 
-def check_hallucination(mentions: DataFrame, texts: DataFrame, least: float = 0.75) -> DataFrame:
-    """D08. mentions (doc_id, name), texts (doc_id, text) -> doc_id, name, status (exact, fuzzy, suspected), ratio."""
+def check_hallucination(mentions: DataFrame, texts: DataFrame, least: float = 0.75, aliases: DataFrame | None = None) -> DataFrame:
+    """D08. mentions (doc_id, name), texts (doc_id, text), aliases (name, alias) -> doc_id, name, status (exact, alias, fuzzy, suspected),
+    ratio, and the document's confidence: the share of its names that aren't suspected."""
     rows = mentions.join(texts, "doc_id")
-    exact = rows.withColumn("exact", F.contains(F.lower("text"), F.lower("name")))
+    if aliases is not None:
+        known = aliases.groupBy(F.lower("name").alias("k")).agg(F.collect_set(F.lower("alias")).alias("aliases"))
+        rows = rows.join(known, F.lower("name") == F.col("k"), "left").drop("k")
+    else:
+        rows = rows.withColumn("aliases", F.lit(None).cast("array<string>"))
+    by_alias = F.coalesce(F.exists("aliases", lambda x: F.contains(F.lower("text"), x)), F.lit(False))
+    exact = rows.withColumn("is_name", F.contains(F.lower("text"), F.lower("name"))).withColumn("exact", F.col("is_name") | by_alias)
     n = F.size(F.split(F.trim("name"), r"\s+"))
     left = exact.where("NOT exact").withColumn("n", n)
     words = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
@@ -130,12 +146,20 @@ def check_hallucination(mentions: DataFrame, texts: DataFrame, least: float = 0.
     placed = placed.select("doc_id", "w1", F.lead("w1", 1).over(by).alias("w2"), F.lead("w1", 2).over(by).alias("w3"))
     runs = F.array(F.struct(F.lit(1).alias("n"), F.col("w1").alias("phrase")), F.struct(F.lit(2).alias("n"), F.concat(F.col("w1"), F.lit(" "), F.col("w2")).alias("phrase")), F.struct(F.lit(3).alias("n"), F.concat(F.col("w1"), F.lit(" "), F.col("w2"), F.lit(" "), F.col("w3")).alias("phrase")))
     runs = placed.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.n", "r.phrase").where("phrase IS NOT NULL").distinct()
-    phrases = left.select("doc_id", "name", "n").join(runs, ["doc_id", "n"])
-    near = phrases.where(2 * F.least(F.length("name"), F.length("phrase")) / (F.length("name") + F.length("phrase")) >= least)
-    scored = near.select(F.lower("name").alias("a"), F.col("phrase").alias("b")).distinct().withColumn("ratio", block_ratio("a", "b")).where(F.col("ratio") >= least)
+    near = left.select("doc_id", "name", "n").join(runs, ["doc_id", "n"])
+    near = near.where(2 * F.least(F.length("name"), F.length("phrase")) / (F.length("name") + F.length("phrase")) >= least)
+    scored = fuzzy_pairs(near.select(F.lower("name").alias("a")).distinct(), near.select(F.col("phrase").alias("b")).distinct(), least)
     best = near.join(scored, (F.lower("name") == F.col("a")) & (F.col("phrase") == F.col("b"))).groupBy("doc_id", "name").agg(F.max("ratio").alias("ratio"))
     joined = exact.join(best, ["doc_id", "name"], "left")
-    return joined.select("doc_id", "name", F.when(F.col("exact"), "exact").when(F.col("ratio").isNotNull(), "fuzzy").otherwise("suspected").alias("status"), F.round(F.when(F.col("exact"), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0))), 6).alias("ratio"))
+    status = F.when(F.col("is_name"), "exact").when(F.col("exact"), "alias").when(F.col("ratio").isNotNull(), "fuzzy").otherwise("suspected")
+    out = joined.select("doc_id", "name", status.alias("status"), F.round(F.when(F.col("exact"), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0))), 6).alias("ratio"))
+    sound = F.avg((F.col("status") != "suspected").cast("double")).over(Window.partitionBy("doc_id"))
+    return out.withColumn("confidence", F.round(sound, 6))
+
+
+def filter_hallucinated(checked: DataFrame, least: float = 0.5) -> DataFrame:
+    """D09. The names that aren't suspected, of documents whose confidence is at least `least`."""
+    return checked.where((F.col("status") != "suspected") & (F.col("confidence") >= least))
 
 
 def post_validate(entities: DataFrame, texts: DataFrame, least: float = 0.3) -> DataFrame:

@@ -39,6 +39,14 @@ def related(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def neighborhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """J12. nodes (id, topic), edges (src, dst, rel_type), taken either way -> the distinct edges around the nodes, with those to topics."""
+    own = nodes.select("id")
+    around = edges.join(own.toDF("src"), "src", "left_semi").unionByName(edges.join(own.toDF("dst"), "dst", "left_semi"))
+    topics = nodes.where("topic IS NOT NULL").select(F.col("id").cast("string").alias("src"), F.col("topic").alias("dst"), F.lit("BELONGS_TO").alias("rel_type"))
+    return around.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "rel_type").unionByName(topics).distinct()
+
+
 def reconcile(entities: DataFrame, nodes: DataFrame, points: DataFrame) -> DataFrame:
     """J16. id, status of what is out of step: missing_node, missing_point, orphan_node, orphan_point."""
     flag = lambda df, name: df.select("id", F.lit(True).alias(name)).distinct()

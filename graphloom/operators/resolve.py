@@ -60,15 +60,43 @@ def sparse_cosine(left: DataFrame, right: DataFrame, least: float = 0.0) -> Data
     return dots.join(norm(left, "a"), "a").join(norm(right, "b"), "b").withColumn("score", F.col("dot") / (F.col("n_a") * F.col("n_b"))).where(F.col("score") >= least).select("a", "b", "score")
 
 
-def resolve(new: DataFrame, existing: DataFrame, merge: float = 0.92, similar: float = 0.85, candidate: float = 0.60) -> DataFrame:
+def likely_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left (a, gram, tf), right (b, gram, tf) -> a, b of a superset of the pairs with a cosine of `least` at least.
+
+    Prefix filter: of a left text's grams the most frequent ones whose squares sum to less than `least` squared of all may be left
+    out, since without a common gram among the rest the cosine is below `least` (Cauchy and Schwarz)."""
+    df = right.groupBy("gram").agg(F.count("*").alias("df"))
+    square = F.col("tf") * F.col("tf")
+    frequent = Window.partitionBy("a").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = left.join(df, "gram", "left").fillna(0, ["df"]).withColumn("dropped", F.sum(square).over(frequent)).withColumn("all", F.sum(square).over(Window.partitionBy("a")))
+    return ranked.where((F.col("dropped") >= least * least * F.col("all") * (1 - 1e-9)) & (F.col("df") > 0)).select("a", "gram").join(right.select("b", "gram"), "gram").select("a", "b").distinct()
+
+
+def cosine_of(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b) -> a, b, score of those with a cosine of `least` at least; each text's grams as one map."""
+    counts = lambda df, k, c: df.groupBy(k).agg(F.map_from_entries(F.collect_list(F.struct("gram", "tf"))).alias(c), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias(f"n_{c}"))
+    both = pairs.join(counts(left, "a", "x"), "a").join(counts(right, "b", "y"), "b")
+    product = F.aggregate(F.transform(F.map_entries("x"), lambda e: e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return both.withColumn("score", product / (F.col("n_x") * F.col("n_y"))).where(F.col("score") >= least).select("a", "b", "score")
+
+
+def resolve(new: DataFrame, existing: DataFrame, edges: DataFrame | None = None, merge: float = 0.92, similar: float = 0.85, candidate: float = 0.60) -> DataFrame:
     """J05. query_id, decision (MERGE, SIMILAR, NEW), base_id, score of each new entity (id, name, type, description).
 
-    The cascade: equal name, alias among the ten best candidates, best score, names that align. All of it is joins and one case.
+    The cascade: equal name, alias among the ten best candidates, best score, names that align and, with `edges` (src, dst), a
+    similar entity of the graph. All of it is joins and one case. Texts that are equal are compared once.
     """
     text = F.concat_ws(" ", "name", "type", "description")
-    grams_new = ngram_vector(new.select("id", text.alias("text"))).withColumnRenamed("id", "a")
-    grams_old = ngram_vector(existing.select("id", text.alias("text"))).withColumnRenamed("id", "b")
-    ten = sparse_cosine(grams_new, grams_old, candidate).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where("rank <= 10")
+    asked, held = new.select(F.col("id").alias("query"), text.alias("text")), existing.select(F.col("id").alias("b"), text.alias("text"))
+    grams_new = ngram_vector(asked.groupBy("text").agg(F.min("query").alias("a")), "a")
+    grams_old = ngram_vector(held.groupBy("text").agg(F.min("b").alias("b")), "b")
+    scored = cosine_of(likely_pairs(grams_new, grams_old, candidate), grams_new, grams_old, candidate)
+    best_of = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    scored = scored.withColumn("rank", best_of("a", F.desc("score"), "b")).where("rank <= 10").select("a", F.col("b").alias("first"), "score")
+    copies = held.withColumn("first", F.min("b").over(Window.partitionBy("text"))).withColumn("rank", best_of("text", "b")).where("rank <= 10").select("first", "b")
+    askers = asked.withColumn("a", F.min("query").over(Window.partitionBy("text"))).select("query", "a")
+    ten = scored.join(askers, "a").drop("a").withColumnRenamed("query", "a").join(copies, "first").drop("first")
+    ten = ten.withColumn("rank", best_of("a", F.desc("score"), "b")).where("rank <= 10")
     names = existing.select(F.col("id").alias("b"), F.col("name").alias("base_name"))
     ten = ten.join(names, "b").join(new.select(F.col("id").alias("a"), "name"), "a")
     alias = ten.where(normalize_name(F.col("name")) == normalize_name(F.col("base_name"))).groupBy("a").agg(F.min_by(F.struct("b", "score"), "rank").alias("alias"))
@@ -78,20 +106,30 @@ def resolve(new: DataFrame, existing: DataFrame, merge: float = 0.92, similar: f
     score = F.col("best.score")
     aligned = names_align(F.col("name"), F.col("best.base_name"))
     merged = F.col("exact").isNotNull() | F.col("alias").isNotNull() | (score >= merge) | ((score >= similar) & aligned)
-    decision = F.when(F.coalesce(merged, F.lit(False)), "MERGE").when(score >= similar, "SIMILAR").otherwise("NEW")
-    base_id = F.coalesce("exact", "alias.b", F.when(score >= similar, F.col("best.b")))
-    return rows.select(F.col("a").alias("query_id"), decision.alias("decision"), base_id.alias("base_id"), F.round(F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.coalesce("alias.score", score)), 4).alias("score"))
+    merged = F.coalesce(merged, F.lit(False))
+    if edges is None:
+        rows = rows.withColumn("graph", F.lit(None).cast(existing.schema["id"].dataType))
+    else:
+        rows = rows.join(graph_similarity(new, existing, edges).select(F.col("query_id").alias("a"), F.col("base_id").alias("graph")), "a", "left")
+    by_graph = ~merged & ~F.coalesce(score >= similar, F.lit(False)) & F.col("graph").isNotNull()
+    decision = F.when(merged, "MERGE").when((score >= similar) | by_graph, "SIMILAR").otherwise("NEW")
+    base_id = F.coalesce("exact", "alias.b", F.when(score >= similar, F.col("best.b")), "graph")
+    shown = F.when(F.col("exact").isNotNull(), 1.0).when(by_graph, 0.7).otherwise(F.coalesce("alias.score", score))
+    return rows.select(F.col("a").alias("query_id"), decision.alias("decision"), base_id.alias("base_id"), F.round(shown, 4).alias("score"))
 
 
 def graph_similarity(new: DataFrame, existing: DataFrame, edges: DataFrame) -> DataFrame:
-    """J06. query_id, base_id, 0.7: existing entities with an edge whose description holds the name, or whose beginning lies in it."""
+    """J06. query_id, base_id, 0.7: of the five existing entities with an edge that share most words with a name, the first whose
+    description holds the name, or whose beginning lies in it."""
     linked = existing.join(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct(), "id", "left_semi")
     tokens = lambda df, c: df.withColumn("token", F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda t: F.length(t) >= 3))))
-    base = tokens(linked.select(F.col("id").alias("base_id"), "name", "description"), F.concat_ws(" ", "name", "description")).select("base_id", "description", "token")
+    base = tokens(linked.select(F.col("id").alias("base_id"), F.col("name").alias("base_name"), "description"), F.concat_ws(" ", "base_name", "description")).select("base_id", "base_name", "description", "token")
     pairs = tokens(new.select(F.col("id").alias("query_id"), "name"), F.col("name")).join(base, "token").drop("token").distinct()
     low, about = F.lower("name"), F.lower(F.coalesce("description", F.lit("")))
     near = F.contains(about, low) | ((about != "") & F.contains(low, F.substring(about, 1, 20)))
-    best = pairs.where(near).groupBy("query_id").agg(F.min("base_id").alias("base_id"))
+    words = F.size(F.array_intersect(F.split(low, r"[^a-z0-9]+"), F.split(F.lower(F.concat_ws(" ", "base_name", "description")), r"[^a-z0-9]+")))
+    five = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(words), "base_id"))).where("rank <= 5")
+    best = five.where(near).groupBy("query_id").agg(F.min("base_id").alias("base_id"))
     return best.select("query_id", "base_id", F.lit(0.7).alias("score"))
 
 
@@ -112,14 +150,52 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     return full.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
-def elect_leaders(nodes: DataFrame, pairs: DataFrame, materialize, max_rounds: int = 50) -> DataFrame:
+def correlated_pairs(vectors: DataFrame, over: float, blocks: int = 16) -> DataFrame:
+    """W11. vectors (id, label, v) -> a, b of one label whose correlation is over `over`. Each label is compared block by block."""
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    centred = vectors.withColumn("c", F.transform("v", lambda x: x - mean))
+    unit = centred.withColumn("n", F.sqrt(dot("c", "c"))).where("n > 0").select("id", "label", F.transform("c", lambda x: x / F.col("n")).alias("u"))
+    own = unit.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    side = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "u")
+    left, right = side.where("own = i").select("label", "i", "j", F.col("id").alias("x"), F.col("u").alias("p")), side.where("own = j").select("label", "i", "j", F.col("id").alias("y"), F.col("u").alias("q"))
+    pairs = left.join(right, ["label", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return pairs.where(dot("p", "q") > over).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def word_classes(sets: DataFrame) -> DataFrame:
+    """sets (id, tokens) -> class_id (the smallest id), tokens, members: one row for each different set of words."""
+    return sets.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+
+
+def aligned_pairs(names: DataFrame, typos: int = 2, prefix: int = 3) -> DataFrame:
+    """J04. names (id, name) -> a, b (a < b) of names that align: every pair, found through equal deletions and beginnings.
+
+    Two strings at most `typos` edits apart have a common string that each gives by deleting at most `typos` characters; a name
+    that begins another is one of its beginnings."""
+    keys = names.select("id", normalize_name(F.col("name")).alias("k")).where("k <> ''")
+    distinct = keys.select("k").distinct()
+    less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.concat(F.substring(F.col("v"), F.lit(1), i - 1), F.substring(F.col("v"), i + 1, F.length("v")))))
+    forms = distinct.withColumn("v", F.col("k"))
+    for _ in range(typos):
+        shorter = forms.where(F.length("v") > 0).withColumn("v", F.explode(less))
+        forms = forms.union(shorter).distinct()
+    near = forms.toDF("x", "v").join(forms.toDF("y", "v"), "v").where("x < y").select("x", "y").distinct().where(F.levenshtein("x", "y", typos) >= 0)
+    starts = distinct.where(F.length("k") > prefix).select(F.col("k").alias("y"), F.explode(F.transform(F.sequence(F.lit(prefix), F.length("k") - 1), lambda n: F.substring(F.col("k"), F.lit(1), n))).alias("x"))
+    begun = starts.join(distinct.toDF("x"), "x").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    same = distinct.select(F.col("k").alias("x"), F.col("k").alias("y"))
+    pairs = near.union(begun).distinct().union(same).join(keys.toDF("i", "x"), "x").join(keys.toDF("j", "y"), "y").where("i <> j")
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def elect_leaders(nodes: DataFrame, pairs: DataFrame, materialize) -> DataFrame:
     """J19, W11. Greedy clusters in id order: id, leader. A node leads if no earlier neighbour leads; the rest join their earliest leader.
 
     Rounds decide all nodes whose earlier neighbours are decided; `materialize` cuts the lineage between them.
     """
     edges = materialize(pairs.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("before")).distinct())
     state = materialize(nodes.select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("leader")))
-    for _ in range(max_rounds):
+    while True:
         seen = edges.join(state.toDF("before", "of"), "before")
         view = seen.groupBy("id").agg(F.min(F.when(F.col("of") == F.col("before"), F.col("before"))).alias("lead"), F.max(F.col("of").isNull()).alias("open"), F.min(F.when(F.col("of").isNull(), F.col("before"))).alias("first_open"))
         joined = state.join(view, "id", "left")
@@ -127,6 +203,5 @@ def elect_leaders(nodes: DataFrame, pairs: DataFrame, materialize, max_rounds: i
         follow = F.col("lead").isNotNull() & (F.col("first_open").isNull() | (F.col("lead") < F.col("first_open")))
         decided = F.when(~ready, F.col("leader")).when(follow, F.col("lead")).when(~F.coalesce("open", F.lit(False)), F.col("id"))
         state = materialize(joined.select("id", decided.alias("leader")))
-        if state.where("leader IS NULL").isEmpty():
-            break
-    return state
+        if state.where("leader IS NULL").isEmpty():  # each round decides at least the first open node
+            return state

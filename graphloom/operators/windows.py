@@ -33,8 +33,9 @@ def valid_at(df: DataFrame, moment) -> DataFrame:
 
 
 def fixed_interval(df: DataFrame, key: str, at: str, step: float) -> DataFrame:
-    """W12. The first row of each step of each group."""
-    return df.groupBy(key, F.floor(F.col(at) / step).alias("step")).agg(F.min(at).alias(at))
+    """W12. For each step of each group the nearest time that lies at most half a step off, the earlier of two."""
+    near = df.withColumn("step", F.floor(F.col(at) / step + 0.5))
+    return near.groupBy(key, "step").agg(F.min(F.struct(F.abs(F.col(at) - F.col("step") * step), F.col(at)))[at].alias(at))
 
 
 def version_history(df: DataFrame, key: str, order: list) -> DataFrame:

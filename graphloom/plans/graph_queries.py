@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.patterns import WEIGHTS
 from ..operators import graph as G
 from ..operators import resolve as R
+from ..operators import scores as S
 from ..operators import search as Q
 from ..operators import windows as W
 from ..sources.tables import extract_main_text, table as t
@@ -22,8 +23,12 @@ from .text_queries import NORMAL_SQL, WORDS_SQL
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one in a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -41,9 +46,9 @@ def parts(spark, d, where: str = "true") -> DataFrame:
     return t(spark, d, "part").where(where).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.col("p_type").alias("description"))
 
 
-@query("j01_exact_name_join", "SELECT a.p_partkey AS query_id, b.p_partkey AS base_id FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0")
+@query("j01_exact_name_join", "SELECT a.p_partkey AS query_id, b.p_partkey AS base_id FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) WHERE a.p_partkey % 100 = 0")
 def j01(spark, d):
-    return R.exact_name_join(parts(spark, d, "p_partkey % 2 = 1"), parts(spark, d, "p_partkey % 2 = 0"))
+    return R.exact_name_join(parts(spark, d, "p_partkey % 100 = 0"), parts(spark, d))
 
 
 @query("j02_alias_join", f"SELECT a.c_custkey AS query_id, b.c_custkey AS base_id FROM customer a JOIN customer b ON {NORMAL_SQL.format(c='a.c_name')} = {NORMAL_SQL.format(c='b.c_name')}")
@@ -71,17 +76,17 @@ def j03(spark, d):
 
 @query("j04_names_align", f"""
 WITH s AS (SELECT s_suppkey, {NORMAL_SQL.format(c='s_name')} AS k FROM supplier)
-SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey AND substring(a.k, 1, length(a.k) - 2) = substring(b.k, 1, length(b.k) - 2)
+SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey
 WHERE a.k = b.k OR levenshtein(a.k, b.k) <= 2 OR (least(length(a.k), length(b.k)) >= 3 AND (starts_with(a.k, b.k) OR starts_with(b.k, a.k)))""")
 def j04(spark, d):
-    s = t(spark, d, "supplier").withColumn("block", F.expr("substring(regexp_replace(lower(s_name), '[^a-z0-9]', ''), 1, length(regexp_replace(lower(s_name), '[^a-z0-9]', '')) - 2)")).select("s_suppkey", "s_name", "block")
-    pairs = s.toDF("a", "x", "block").join(s.toDF("b", "y", "block"), "block").where("a < b")
-    return pairs.where(T.names_align(F.col("x"), F.col("y"))).select("a", "b")
+    return R.aligned_pairs(t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
 @query("j05_resolve")
 def j05(spark, d):
-    return R.resolve(parts(spark, d, "p_partkey % 20 = 0"), parts(spark, d, "p_partkey % 20 = 1"))
+    """Every hundredth part against all others, with the pairs of part and supplier as the graph's edges."""
+    edges = t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    return R.resolve(parts(spark, d, "p_partkey % 100 = 0"), parts(spark, d, "p_partkey % 100 <> 0"), edges)
 
 
 @query("j06_graph_similarity")
@@ -136,10 +141,14 @@ def j11(spark, d):
     return G.related(both_ways(spark, d), 5).select("src", "dst", "weight", "rank")
 
 
-@query("j12_neighborhood", f"WITH {COOC_SQL} SELECT p.p_partkey AS id, p.p_brand AS topic, count(e.dst) AS neighbours FROM part p LEFT JOIN e ON p.p_partkey = e.src WHERE p.p_size < 10 GROUP BY 1, 2")
+@query("j12_neighborhood", f"""
+WITH {COOC_SQL}, n AS (SELECT p_partkey AS id, p_brand AS topic FROM part WHERE p_size < 10)
+SELECT CAST(id AS VARCHAR) AS src, topic AS dst, 'BELONGS_TO' AS rel_type FROM n
+UNION SELECT CAST(least(n.id, e.dst) AS VARCHAR), CAST(greatest(n.id, e.dst) AS VARCHAR), 'CO_OCCURS' FROM n JOIN e ON n.id = e.src""")
 def j12(spark, d):
-    nodes = t(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("topic"))
-    return nodes.join(both_ways(spark, d), "src", "left").groupBy(F.col("src").alias("id"), "topic").agg(F.count("dst").alias("neighbours"))
+    nodes = t(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("topic"))
+    edges = j07(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CO_OCCURS").alias("rel_type"))
+    return G.neighborhood(nodes, edges)
 
 
 @query("j13_node_detail", f"WITH {COOC_SQL}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM e) SELECT p_partkey AS id, p_name AS name, dst FROM part LEFT JOIN r ON p_partkey = src AND rank <= 20 WHERE p_size = 1")
@@ -189,20 +198,33 @@ def part_words(spark, d) -> DataFrame:
 
 
 JACCARD_SQL = """
-w AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS s FROM part),
-j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS jaccard FROM w a JOIN w b ON a.id < b.id WHERE len(list_intersect(a.s, b.s)) > 0)
+w AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS s FROM part),
+c AS (SELECT s, min(id) AS class_id, count(*) AS members FROM w GROUP BY s),
+j AS (SELECT a.class_id AS a, b.class_id AS b, a.members AS members_a, b.members AS members_b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS jaccard FROM c a JOIN c b ON a.class_id < b.class_id)
 """
 
 
-@query("j19_u05_jaccard_pairs", f"WITH {JACCARD_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.7")
+@query("j19_u05_jaccard_pairs", f"WITH {JACCARD_SQL} SELECT a, b, members_a, members_b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.7")
 def j19(spark, d):
-    return R.jaccard_pairs(part_words(spark, d), 0.7).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of different sets of words, each by its smallest id, and how many parts have them; j19_word_classes has the members."""
+    classes = R.word_classes(part_words(spark, d))
+    pairs = R.jaccard_pairs(classes.select(F.col("class_id").alias("id"), "tokens"), 0.7)
+    size = classes.select("class_id", "members")
+    return pairs.join(size.toDF("a", "members_a"), "a").join(size.toDF("b", "members_b"), "b").select("a", "b", "members_a", "members_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("j19_word_classes", f"WITH {JACCARD_SQL} SELECT w.id, c.class_id FROM w JOIN c USING (s)")
+def j19_classes(spark, d):
+    sets = part_words(spark, d).withColumn("tokens", F.array_sort("tokens"))
+    return sets.join(R.word_classes(sets).select("tokens", "class_id"), "tokens").select("id", "class_id")
 
 
 @query("j19_jaccard_clusters")
 def j19_clusters(spark, d):
-    sets = part_words(spark, d)
-    return R.elect_leaders(sets, R.jaccard_pairs(sets, 0.7), written(spark))
+    """id, leader of every part: classes of equal words elect leaders, as members join their first one's leader."""
+    classes = R.word_classes(part_words(spark, d)).select(F.col("class_id").alias("id"), "tokens")
+    leaders = R.elect_leaders(classes, R.jaccard_pairs(classes, 0.7), written(spark)).select(F.col("id").alias("class_id"), "leader")
+    return j19_classes(spark, d).join(leaders, "class_id").select("id", "leader")
 
 
 @query("j20_merge_nodes", f"WITH {COOC_SQL}, m AS (SELECT src - src % 10 AS src, dst - dst % 10 AS dst, weight FROM e) SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM m WHERE src <> dst GROUP BY 1, 2")
@@ -211,13 +233,26 @@ def j20(spark, d):
     return G.merge_nodes(both_ways(spark, d).select("src", "dst", "weight"), leaders)
 
 
-@query("j21_a04_extraction", """
-WITH x AS (SELECT doc_id FROM labels WHERE toxic = 1), y AS (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 = 0)
-SELECT count(x.doc_id) AS expected, count(y.doc_id) AS actual, count(*) FILTER (x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL) AS hits FROM x FULL JOIN y ON x.doc_id = y.doc_id""")
+NAMED_SQL = "x AS (SELECT DISTINCT l_orderkey AS doc_id, lower(p_brand) AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 10), y AS (SELECT DISTINCT l_orderkey AS doc_id, lower(p_brand) AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount < 0.08), m AS (SELECT doc_id, name, x.doc_id IS NOT NULL AS expected, y.doc_id IS NOT NULL AS actual FROM x FULL JOIN y USING (doc_id, name))"
+
+
+def named(spark, d) -> DataFrame:
+    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumnsRenamed({"l_orderkey": "doc_id", "p_brand": "name"})
+    return S.entity_match(rows.where("l_quantity > 10"), rows.where("l_discount < 0.08"))
+
+
+@query("j21_entity_match", f"WITH {NAMED_SQL.replace('x.doc_id IS NOT NULL', 'coalesce(x.e, false)').replace('y.doc_id IS NOT NULL', 'coalesce(y.e, false)').replace('AS name FROM', 'AS name, true AS e FROM')} SELECT * FROM m")
+def j21_match(spark, d):
+    return named(spark, d)
+
+
+@query("j21_a04_extraction", f"""
+WITH {NAMED_SQL.replace('x.doc_id IS NOT NULL', 'coalesce(x.e, false)').replace('y.doc_id IS NOT NULL', 'coalesce(y.e, false)').replace('AS name FROM', 'AS name, true AS e FROM')},
+p AS (SELECT doc_id, coalesce(count(*) FILTER (expected AND actual) / nullif(count(*) FILTER (actual), 0), 0) AS precision, coalesce(count(*) FILTER (expected AND actual) / nullif(count(*) FILTER (expected), 0), 0) AS recall FROM m GROUP BY doc_id),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM p)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f UNION ALL SELECT 'all', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM f""")
 def j21(spark, d):
-    labels = t(spark, d, "labels")
-    x, y = labels.where("toxic = 1").select("doc_id", F.lit(1).alias("x")), labels.where("quality = 1 AND doc_id % 3 = 0").select("doc_id", F.lit(1).alias("y"))
-    return x.join(y, "doc_id", "full_outer").agg(F.count("x").alias("expected"), F.count("y").alias("actual"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("hits"))
+    return S.extraction_prf(named(spark, d)).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("all")))
 
 
 @query("a01_graph_stats", "SELECT 'node' AS kind, p_brand AS label, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'node', NULL, count(*) FROM part UNION ALL SELECT 'edge', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'edge', NULL, count(*) FROM lineitem")
@@ -235,21 +270,37 @@ def a02(spark, d):
 
 
 @query("a03_resolution_score", """
-SELECT lang AS category, count(*) AS n, count(*) FILTER (toxic = quality) AS correct, round(count(*) FILTER (toxic = 1 AND quality = 1) / nullif(count(*) FILTER (quality = 1), 0), 6) AS precision FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), ())""")
+WITH d AS (SELECT lang AS category, quality = 1 AS e, toxic = 1 OR doc_id % 3 = 0 AS a, doc_id AS e_id, doc_id - doc_id % 2 AS a_id FROM documents JOIN labels USING (doc_id)),
+x AS (SELECT category, count(*) AS n, round(avg(CASE WHEN e = a THEN 1.0 ELSE 0.0 END), 6) AS decision_accuracy, round(avg(CASE WHEN e = a AND (NOT e OR e_id = a_id) THEN 1.0 ELSE 0.0 END), 6) AS entity_accuracy,
+      coalesce(count(*) FILTER (e AND a AND e_id = a_id) / nullif(count(*) FILTER (a), 0), 0) AS p, coalesce(count(*) FILTER (e AND a AND e_id = a_id) / nullif(count(*) FILTER (e), 0), 0) AS r FROM d GROUP BY GROUPING SETS ((category), ()))
+SELECT category, n, decision_accuracy, entity_accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM x""")
 def a03(spark, d):
     rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
-    scored = rows.rollup(F.col("lang").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == F.col("quality")).alias("correct"), F.round(F.try_divide(F.count_if((F.col("toxic") == 1) & (F.col("quality") == 1)), F.count_if(F.col("quality") == 1)), 6).alias("precision"))
-    return scored
+    expected, actual = F.col("quality") == 1, (F.col("toxic") == 1) | (F.col("doc_id") % 3 == 0)
+    name = lambda c: F.when(c, "MERGE").otherwise("NEW")
+    return S.resolution_score(rows.select(F.col("lang").alias("category"), name(expected).alias("expected"), name(actual).alias("actual"), F.when(expected, F.col("doc_id")).alias("expected_id"), F.when(actual, F.col("doc_id") - F.col("doc_id") % 2).alias("actual_id")))
 
 
-@query("a05_run_metrics", "SELECT event_type, count(*) AS n, round(sum(value) / count(*), 4) AS mean, round(count(*) FILTER (value > 50) / count(*), 6) AS share FROM events GROUP BY ROLLUP (event_type)")
+@query("a05_run_metrics", "SELECT coalesce(CAST(user_id AS VARCHAR), 'all') AS run, count(*) AS n, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS precision, round(count(*) FILTER (value > 50) / count(*), 6) AS hallucination_rate, round(1 - count(*) FILTER (value < 5) / count(*), 6) AS summary_quality FROM events GROUP BY ROLLUP (user_id)")
 def a05(spark, d):
-    return t(spark, d, "events").rollup("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value") / F.count("*"), 4).alias("mean"), F.round(F.count_if(F.col("value") > 50) / F.count("*"), 6).alias("share"))
+    e = t(spark, d, "events").select(F.col("user_id").alias("run"), (F.col("event_type") != "error").alias("is_valid"), (F.col("value") > 50).alias("is_hallucinated"), (F.col("value") < 5).alias("is_garbled"))
+    return S.run_metrics(e).withColumn("run", F.coalesce(F.col("run").cast("string"), F.lit("all")))
 
 
-@query("a06_merge_entities", "SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS tags, max(p_retailprice) AS confidence, count(*) AS version, arg_max(p_name, p_partkey) AS last_name FROM part GROUP BY p_brand")
+@query("a06_merge_entities", """
+WITH u AS (SELECT p_brand AS id, p_partkey AS ord, p_name AS description, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'https://example.com/' || p_size END AS url, p_type AS tool, p_retailprice AS confidence, CASE WHEN p_size < 25 THEN 'unknown' ELSE p_type END AS content_type FROM part),
+t AS (SELECT id, description, min(ord) AS o FROM u GROUP BY 1, 2), tt AS (SELECT id, string_agg(description, ' | ' ORDER BY o) AS description FROM t GROUP BY id),
+w AS (SELECT id, url, min(ord) AS o FROM u GROUP BY id, CASE WHEN url = '' THEN CAST(ord AS VARCHAR) ELSE url END, url), ww AS (SELECT id, string_agg(url, ',' ORDER BY o) AS urls FROM w GROUP BY id),
+x AS (SELECT id, lower(tool) AS k, arg_min(tool, ord) AS tool, min(ord) AS o FROM u GROUP BY 1, 2), xx AS (SELECT id, string_agg(tool, ',' ORDER BY o) AS tools FROM x GROUP BY id)
+SELECT u.id, tt.description, urls, tools, max(confidence) AS confidence, count(*) AS version, coalesce(arg_max(content_type, ord) FILTER (content_type <> 'unknown'), 'unknown') AS content_type
+FROM u JOIN tt ON u.id = tt.id JOIN ww ON u.id = ww.id JOIN xx ON u.id = xx.id GROUP BY u.id, tt.description, urls, tools""")
 def a06(spark, d):
-    return t(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("tags"), F.max("p_retailprice").alias("confidence"), F.count("*").alias("version"), F.max_by("p_name", "p_partkey").alias("last_name"))
+    url = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.concat(F.lit("https://example.com/"), "p_size"))
+    updates = t(spark, d, "part").select(
+        F.col("p_brand").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("description"), F.array(F.struct(F.col("p_name").alias("title"), url.alias("url"))).alias("web_info"),
+        F.array("p_type").alias("tools"), F.array("p_type").alias("tags"), F.col("p_retailprice").alias("confidence"), F.when(F.col("p_size") < 25, "unknown").otherwise(F.col("p_type")).alias("content_type"),
+    )
+    return S.merge_entities(updates).select("id", "description", F.array_join("web_info.url", ",").alias("urls"), F.array_join("tools", ",").alias("tools"), "confidence", "version", "content_type")
 
 
 @query("a07_relationship_upsert", "SELECT l_partkey, l_suppkey, l_returnflag, max(l_discount) AS confidence, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1, 2, 3")
@@ -263,10 +314,12 @@ def a08(spark, d):
     return t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.greatest("c_acctbal", F.coalesce("m", "c_acctbal")).alias("confidence"), (F.lit(1) + F.coalesce("n", F.lit(0))).alias("version"))
 
 
-@query("a09_usage_summary", "SELECT role, lang, count(*) AS calls, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM (SELECT role, text, CASE WHEN conv_id % 2 = 0 THEN 'primary' ELSE 'fallback' END AS lang FROM conversations) GROUP BY CUBE (role, lang)")
+@query("a09_usage_summary", """
+WITH c AS (SELECT role AS task, CASE WHEN conv_id % 2 = 0 THEN 'primary' ELSE 'fallback' END AS route, length(text) // 4 AS tokens FROM conversations)
+SELECT task, route, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens / 1000 * CASE route WHEN 'primary' THEN 0.15 ELSE 0.6 END), 6) AS cost, CAST(sum(tokens) // count(*) AS BIGINT) AS average FROM c GROUP BY CUBE (task, route)""")
 def a09(spark, d):
-    rows = t(spark, d, "conversations").withColumn("lang", F.when(F.col("conv_id") % 2 == 0, "primary").otherwise("fallback"))
-    return rows.cube("role", "lang").agg(F.count("*").alias("calls"), F.sum(T.est_tokens(F.col("text"))).alias("tokens"))
+    calls = t(spark, d, "conversations").select(F.col("role").alias("task"), F.when(F.col("conv_id") % 2 == 0, "primary").otherwise("fallback").alias("route"), T.est_tokens(F.col("text")).alias("tokens"))
+    return S.usage_summary(calls, {"primary": 0.15, "fallback": 0.6})
 
 
 @query("a10_report_metadata", "SELECT source, count(DISTINCT lang) AS topics, count(*) AS items, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
@@ -274,9 +327,10 @@ def a10(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.count_distinct("lang").alias("topics"), F.count("*").alias("items"), F.sum("n_chars").alias("chars"))
 
 
-@query("a11_group_by_topic", "SELECT p_brand AS topic, coalesce(split_part(p_type, ' ', 2), 'general') AS subtopic, count(*) AS n FROM part GROUP BY 1, 2")
+@query("a11_group_by_topic", "SELECT p_brand AS topic, coalesce(nullif(split_part(p_type, ' ', 2), ''), 'general') AS subtopic, count(*) AS n FROM part GROUP BY 1, 2")
 def a11(spark, d):
-    return t(spark, d, "part").groupBy(F.col("p_brand").alias("topic"), F.coalesce(F.get(F.split("p_type", " "), F.lit(1)), F.lit("")).alias("subtopic")).agg(F.count("*").alias("n"))
+    subtopic = F.coalesce(F.nullif(F.get(F.split("p_type", " "), F.lit(1)), F.lit("")), F.lit("general"))
+    return t(spark, d, "part").groupBy(F.col("p_brand").alias("topic"), subtopic.alias("subtopic")).agg(F.count("*").alias("n"))
 
 
 @query("a12_a13_batch_stats", "SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS completed, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS rate FROM events GROUP BY user_id")
@@ -285,20 +339,31 @@ def a12(spark, d):
     return t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), ok.alias("completed"), F.round(F.try_divide(ok, F.count("*")), 6).alias("rate"))
 
 
-@query("a14_cleanup_flags", """
-WITH f AS (SELECT c_custkey, c_acctbal > 0 AND c_acctbal < 1000 AS low, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1997-01-01') AS stale FROM customer)
-SELECT CASE WHEN low THEN 'low_confidence' WHEN stale THEN 'stale' ELSE 'none' END AS flag, count(*) AS n FROM f GROUP BY 1""")
-def a14(spark, d):
-    recent = t(spark, d, "orders").where("o_orderdate >= DATE'1997-01-01'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("recent", F.lit(True))
-    rows = t(spark, d, "customer").join(recent, "c_custkey", "left")
-    low = (F.col("c_acctbal") > 0) & (F.col("c_acctbal") < 1000)
-    return rows.groupBy(F.when(low, "low_confidence").when(F.col("recent").isNull(), "stale").otherwise("none").alias("flag")).agg(F.count("*").alias("n"))
+@query("a13_job_rollup", "SELECT user_id, event_type AS state, count(*) AS n FROM events GROUP BY 1, 2")
+def a13(spark, d):
+    return t(spark, d, "events").groupBy("user_id", F.col("event_type").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("a15_ocr_rollup", "WITH f AS (SELECT conv_id, turn, avg(length(text)) AS a FROM conversations WHERE trim(text) <> '' GROUP BY 1, 2) SELECT conv_id, count(*) AS frames, round(avg(a), 4) AS mean FROM f GROUP BY conv_id")
+@query("a14_cleanup_flags", """
+WITH f AS (SELECT c_custkey, c_acctbal / 10000 > 0 AND c_acctbal / 10000 < 0.3 AS low, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1997-01-01') AS stale, c_custkey NOT IN (SELECT o_custkey FROM orders) AS alone FROM customer)
+SELECT 'low_confidence' AS flag, count(*) FILTER (low) AS flagged, count(*) FILTER (low) AS matching FROM f
+UNION ALL SELECT 'stale', count(*) FILTER (stale AND NOT low), count(*) FILTER (stale) FROM f UNION ALL SELECT 'isolated', count(*) FILTER (alone AND NOT low AND NOT stale), count(*) FILTER (alone) FROM f""")
+def a14(spark, d):
+    last = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("last"))
+    rows = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000).alias("confidence")).join(last, "id", "left")
+    fresh = F.coalesce(F.col("last") >= F.expr("timestamp_ntz'1997-01-01'"), F.lit(False))
+    found = S.cleanup_flags(rows.select("id", "confidence", (~fresh).alias("stale"), F.col("last").isNull().alias("isolated")))
+    every = spark.createDataFrame([("low_confidence",), ("stale",), ("isolated",)], "flag string")
+    return every.join(found, "flag", "left").fillna(0, ["flagged", "matching"])
+
+
+@query("a15_ocr_rollup", """
+WITH s AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS ord FROM conversations),
+f AS (SELECT conv_id, turn, coalesce(string_agg(word, ' ' ORDER BY ord) FILTER (length(word) >= 3 AND trim(word) <> ''), '') AS text, coalesce(avg(length(word) * 10) FILTER (length(word) >= 3 AND trim(word) <> ''), 0) AS c FROM s GROUP BY 1, 2)
+SELECT conv_id AS video, count(*) AS frames, count(*) FILTER (text <> '') AS frames_with_text, round(coalesce(avg(c) FILTER (text <> ''), 0), 4) AS confidence, md5(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (text <> ''), '')) AS text_md5 FROM f GROUP BY conv_id""")
 def a15(spark, d):
-    frames = t(spark, d, "conversations").where("trim(text) <> ''").groupBy("conv_id", "turn").agg(F.avg(F.length("text")).alias("a"))
-    return frames.groupBy("conv_id").agg(F.count("*").alias("frames"), F.round(F.avg("a"), 4).alias("mean"))
+    words = t(spark, d, "conversations").select(F.col("conv_id").alias("video"), F.col("turn").alias("frame"), F.posexplode(F.split("text", " ")).alias("ord", "word"))
+    return S.ocr_rollup(words.withColumn("confidence", (F.length("word") * 10).cast("double"))).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 @query("a16_type_histogram", "SELECT p_type, count(*) AS n FROM part WHERE p_type NOT LIKE 'PROMO%' GROUP BY p_type")
@@ -306,14 +371,19 @@ def a16(spark, d):
     return t(spark, d, "part").where(~F.col("p_type").startswith("PROMO")).groupBy("p_type").agg(F.count("*").alias("n"))
 
 
-@query("a17_review_queue", "SELECT count(*) FILTER (l_discount >= 0.08) AS strong, count(*) FILTER (l_discount < 0.05) AS weak FROM lineitem")
+@query("a17_review_queue", "SELECT (SELECT count(*) FROM part WHERE p_size >= 10) AS described, (SELECT count(*) FROM part WHERE p_size < 10) AS undescribed, count(*) FILTER (l_discount >= 0.08) AS strong, count(*) FILTER (l_discount < 0.05) AS weak FROM lineitem")
 def a17(spark, d):
-    return t(spark, d, "lineitem").agg(F.count_if(F.col("l_discount") >= 0.08).alias("strong"), F.count_if(F.col("l_discount") < 0.05).alias("weak"))
+    nodes = t(spark, d, "part").select(F.when(F.col("p_size") >= 10, F.col("p_name")).alias("description"))
+    own = nodes.agg(F.count("description").alias("described"), F.count_if(F.col("description").isNull()).alias("undescribed"))
+    return own.join(t(spark, d, "lineitem").agg(F.count_if(F.col("l_discount") >= 0.08).alias("strong"), F.count_if(F.col("l_discount") < 0.05).alias("weak")), F.lit(True))
 
 
-@query("a18_source_summary", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (doc_id >= 500) AS recent FROM documents GROUP BY source")
+@query("a18_source_summary", "WITH m AS (SELECT max(o_orderdate) AS at FROM orders) SELECT count(DISTINCT o_custkey) AS sources, CAST(sum(n) AS BIGINT) AS entities, count(DISTINCT o_custkey) FILTER (o_orderdate >= m.at - INTERVAL 7 DAY) AS recent FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey, m")
 def a18(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("doc_id") >= 500).alias("recent"))
+    o, n = t(spark, d, "orders"), t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    rows = o.join(n, F.col("o_orderkey") == F.col("l_orderkey")).join(o.agg(F.max("o_orderdate").alias("as_of")), F.lit(True))
+    recent = F.when(F.col("o_orderdate") >= F.col("as_of") - F.expr("INTERVAL 7 DAY"), F.col("o_custkey"))
+    return rows.agg(F.count_distinct("o_custkey").alias("sources"), F.sum("n").alias("entities"), F.count_distinct(recent).alias("recent"))
 
 
 @query("a19_meaningful_stats", "WITH n AS (SELECT p_partkey, p_brand FROM part WHERE p_size > 10) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM n) AND l_suppkey IN (SELECT p_partkey FROM n)) AS edges, (SELECT count(DISTINCT p_brand) FROM n) AS types")
@@ -360,14 +430,21 @@ def w10(spark, d):
     return W.valid_at(v, F.lit("1996-06-30").cast("timestamp_ntz")).select("o_custkey", "o_orderkey")
 
 
+@query("w05_type_diversity", "SELECT o_custkey AS query_id, least(1.0, count(DISTINCT o_orderpriority) / 5) AS diversity FROM orders GROUP BY o_custkey")
+def w05(spark, d):
+    return S.type_diversity(t(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("type")))
+
+
 @query("w11_greedy_unique")
 def w11(spark, d):
-    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")).where("id % 4 = 0")
-    pairs = R.knn_join(v.select(F.col("id").alias("query_id"), "label", "v"), v.select(F.col("id").alias("base_id"), "label", "v"), 10_000, 0.3, on=["label"])
-    return R.elect_leaders(v, pairs.where("query_id > base_id").select(F.col("query_id").alias("a"), F.col("base_id").alias("b")), written(spark))
+    """Every vector with the vector that stands for it: the first of its label that correlates with it by over 0.95 and stands for itself."""
+    v = t(spark, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return R.elect_leaders(v, R.correlated_pairs(v, 0.95), written(spark))
 
 
-@query("w12_fixed_interval", "SELECT user_id, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS step, floor(min(epoch(ts)))::DOUBLE AS at FROM events GROUP BY 1, 2")
+@query("w12_fixed_interval", """
+WITH e AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS t FROM events), s AS (SELECT *, CAST(floor(t / 21600 + 0.5) AS BIGINT) AS step FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY abs(t - step * 21600), t) AS n FROM s) SELECT user_id, step, t AS "at" FROM r WHERE n = 1""")
 def w12(spark, d):
     return W.fixed_interval(t(spark, d, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at")), "user_id", "at", 21600.0)
 
@@ -383,11 +460,9 @@ def k01(spark, d):
     return t(spark, d, "lineitem").withColumn("n", rank).where("n <= 3").select("l_orderkey", "l_linenumber")
 
 
-@query("k02_page", "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+@query("k02_page", "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) > 60 AS has_more FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 def k02(spark, d):
-    o = t(spark, d, "orders")
-    page = o.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey")
-    return page.join(o.agg(F.count("*").alias("total")), F.lit(True))
+    return S.page(t(spark, d, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], 20, 40).select("o_orderkey", "total", "has_more")
 
 
 @query("k03_k04_k06_listing", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 100")
@@ -487,8 +562,8 @@ def r06(spark, d):
 
 @query("r07_search_with_fallback")
 def r07(spark, d):
-    queries, docs, _ = ask(spark, d)
-    hits = Q.fulltext_search(queries.where("query_id % 200 = 0"), docs, 5)
+    queries, docs, degrees = ask(spark, d)
+    hits = Q.hybrid_search(queries, docs, degrees, 5, 0.99)
     return Q.search_with_fallback(hits, queries.withColumn("query", F.substring_index("query", " ", 1)), docs)
 
 
@@ -496,11 +571,28 @@ def events(spark, d) -> DataFrame:
     return X.read_events(spark, d)
 
 
-@query("x01_project_outbox", "WITH r AS (SELECT user_id, event_type, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_id, event_type FROM r WHERE n = 1")
+@query("x01_project_outbox", """
+WITH e AS (SELECT event_id, ts, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events),
+m AS (SELECT *, CASE event_type WHEN 'signup' THEN 'entity' WHEN 'view' THEN 'chunk' WHEN 'purchase' THEN 'relationship' WHEN 'error' THEN 'failed' ELSE CASE k % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'relationship' ELSE 'content' END END AS grp, event_type = 'click' AS deleted,
+      CASE WHEN event_type = 'signup' OR event_type = 'click' AND k % 3 <> 1 THEN CAST(user_id AS VARCHAR) WHEN event_type = 'error' THEN CAST(event_id AS VARCHAR) ELSE user_id || '-' || k END AS id FROM e),
+g AS (SELECT grp, id, max(row(ts, event_id)) AS gone_at FROM m WHERE deleted GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp, id ORDER BY ts DESC, event_id DESC) AS n FROM m WHERE grp <> 'content')
+SELECT l.grp, l.id, l.event_id FROM l WHERE n = 1 AND NOT deleted
+AND NOT EXISTS (SELECT 1 FROM g WHERE l.grp = 'relationship' AND g.grp = 'entity' AND g.id = CAST(l.user_id AS VARCHAR) AND g.gone_at > row(l.ts, l.event_id))
+AND NOT EXISTS (SELECT 1 FROM g WHERE l.grp = 'relationship' AND g.grp = 'entity' AND g.id = CAST(l.k AS VARCHAR) AND g.gone_at > row(l.ts, l.event_id))
+AND NOT EXISTS (SELECT 1 FROM g WHERE l.grp = 'chunk' AND g.grp = 'content' AND g.id = CAST(l.user_id AS VARCHAR) AND g.gone_at > row(l.ts, l.event_id))""")
 def x01(spark, d):
-    state = scratch(spark, "outbox")
-    X.project_outbox(events(spark, d), state, f"{state}-checkpoint")
-    return spark.read.parquet(f"{state}/0").select("user_id", "event_id", "event_type")
+    """The event log as outbox events of all kinds: signups make entities, purchases relationships, views chunks, clicks delete."""
+    state, kind, k = scratch(spark, "outbox"), F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    e = events(spark, d).withColumn("k", k)
+    deletes = F.when(F.col("k") % 3 == 0, "entity.delete").when(F.col("k") % 3 == 1, "relationship.delete").otherwise("content.delete")
+    kinds = F.when(kind == "signup", "entity.upsert").when(kind == "view", "chunk.upsert").when(kind == "purchase", "relationship.upsert").when(kind == "click", deletes).otherwise(kind)
+    user, pair = F.col("user_id").cast("string"), F.concat_ws("-", "user_id", "k")
+    e = e.select("event_id", "ts", kinds.alias("kind"), user.alias("a"), F.col("k").cast("string").alias("b"), pair.alias("pair"))
+    whole = F.col("kind").isin("entity.upsert", "entity.delete", "content.delete")
+    e = e.select("event_id", "ts", "kind", F.when(whole, F.col("a")).otherwise(F.col("pair")).alias("id"), "a", F.when(F.col("kind").startswith("relationship"), F.col("b")).alias("b"))
+    X.project_outbox(e, state, f"{state}-checkpoint")
+    return X.projection(spark.read.parquet(f"{state}/0"))
 
 
 @query("x02_retry_state", """

@@ -185,7 +185,7 @@ flags("t46_node_id", "part", "p_partkey", {"node": (lambda: T.node_id(F.col("p_p
 def t10(spark, d):
     names = t(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
     known = spark.createDataFrame([(v, i) for i, v in enumerate(dict.fromkeys(P.MISSPELLINGS.values()))], "term string, ord int")
-    return D.fuzzy_to_known(names, known, 0.6)
+    return D.fuzzy_to_known(names, known)
 
 
 @query("t17_clean_ocr", r"""
@@ -305,30 +305,30 @@ def d05(spark, d):
 
 @query("d06_validate_mentions")
 def d06(spark, d):
-    return D.validate_mentions(detected(spark, d).select("doc_id", "name"), t(spark, d, "documents").select("doc_id", F.substring("text", 1, 600).alias("caption")), P.GENERIC_TERMS)
+    return D.validate_mentions(detected(spark, d).select("doc_id", "name"), t(spark, d, "documents").select("doc_id", F.col("text").alias("caption")), P.GENERIC_TERMS)
 
 
 @query("d07_validate_against_source", f"""
 WITH {GAZ_SQL} SELECT t.doc_id, t.name, round(CASE WHEN contains(lower(x.half), t.name) THEN 0.9 ELSE 0.8 END, 6)::DOUBLE AS confidence
-FROM top t JOIN (SELECT doc_id, substring(text, 1, 300) AS half, length(text) < 500 AS weak FROM documents) x ON t.doc_id = x.doc_id
+FROM top t JOIN (SELECT doc_id, text AS half, length(text) < 500 AS weak FROM documents) x ON t.doc_id = x.doc_id
 WHERE rank <= 40 AND (contains(lower(x.half), t.name) OR NOT x.weak)""")
 def d07(spark, d):
-    texts = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"), (F.length("text") < 500).alias("weak"))
+    texts = t(spark, d, "documents").select("doc_id", "text", (F.length("text") < 500).alias("weak"))
     return D.validate_against_source(detected(spark, d).select("doc_id", "name", "confidence"), texts)
 
 
 @query("d08_d09_hallucination")
 def d08(spark, d):
     names = detected(spark, d).select("doc_id", "name")
-    checked = D.check_hallucination(names, t(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("text")))
-    return checked.where("ratio >= 0.5")
+    checked = D.check_hallucination(names, t(spark, d, "documents").select("doc_id", "text"))
+    return D.filter_hallucinated(checked)
 
 
 @query("d10_post_validate", f"""
-WITH {GAZ_SQL} SELECT t.doc_id, t.name FROM top t JOIN documents x ON t.doc_id = x.doc_id WHERE rank <= 40 AND contains(lower(substring(x.text, 1, 1000)), t.name)""")
+WITH {GAZ_SQL} SELECT t.doc_id, t.name FROM top t JOIN documents x ON t.doc_id = x.doc_id WHERE rank <= 40 AND contains(lower(x.text), t.name)""")
 def d10(spark, d):
     names = detected(spark, d).select("doc_id", F.col("name").alias("ord"), "name", "confidence")
-    return D.post_validate(names, t(spark, d, "documents").select("doc_id", F.substring("text", 1, 1000).alias("text"))).select("doc_id", "name")
+    return D.post_validate(names, t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "name")
 
 
 @query("d11_dedup_entities", f"""
@@ -351,11 +351,11 @@ def d12(spark, d):
 
 
 @query("t24_filter_search_hits", f"""
-WITH h AS (SELECT d.lang AS entity, d.doc_id AS ord, d.source AS title, substring(d.text, 1, 80) AS snippet FROM documents d),
+WITH h AS (SELECT d.lang AS entity, d.doc_id AS ord, d.source AS title, d.text AS snippet FROM documents d),
 k AS (SELECT entity, ord, row_number() OVER (PARTITION BY entity ORDER BY ord) AS rank FROM h WHERE length(snippet) >= 20 AND contains(lower(title || ' ' || snippet), lower(entity)))
 SELECT entity, ord, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
 def t24(spark, d):
-    hits = t(spark, d, "documents").select(F.col("lang").alias("entity"), F.col("doc_id").alias("ord"), F.concat(F.lit("https://"), "source", F.lit(".example.com/")).alias("url"), F.col("source").alias("title"), F.substring("text", 1, 80).alias("snippet"))
+    hits = t(spark, d, "documents").select(F.col("lang").alias("entity"), F.col("doc_id").alias("ord"), F.concat(F.lit("https://"), "source", F.lit(".example.com/")).alias("url"), F.col("source").alias("title"), F.col("text").alias("snippet"))
     return D.filter_search_hits(hits, ["facebook.com"]).select("entity", "ord", "rank")
 
 

@@ -30,6 +30,39 @@ def dedup_stream(events: DataFrame, key: list[str], late: str = "1 day") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
+#: What an outbox event does: the table it is about and whether it deletes.
+KINDS = {"entity.upsert": ("entity", False), "entity.delete": ("entity", True), "relationship.upsert": ("relationship", False), "relationship.delete": ("relationship", True), "chunk.upsert": ("chunk", False), "content.delete": ("content", True)}
+
+
+def effects(events: DataFrame) -> DataFrame:
+    """X01. events (event_id, ts, kind, id, a, b) -> what they do: grp, id, deleted and the rest. a and b are a relationship's ends, a
+    is a chunk's content. A deletion also stands as a row of gone:grp, for what hangs on the deleted; unknown kinds fail."""
+    grp = F.element_at(F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v[0]))]), F.col("kind"))
+    deleted = F.col("kind").isin([k for k, v in KINDS.items() if v[1]])
+    rows = events.withColumn("grp", F.coalesce(grp, F.lit("failed"))).withColumn("deleted", deleted)
+    rows = rows.withColumn("id", F.when(F.col("grp") == "failed", F.col("event_id").cast("string")).otherwise(F.col("id")))
+    gone = rows.where("deleted AND grp IN ('entity', 'content')").withColumn("grp", F.concat(F.lit("gone:"), "grp"))
+    return rows.where("grp <> 'content'").unionByName(gone).select("grp", "id", "deleted", "a", "b", "event_id", "ts")
+
+
+def latest_effects(rows: DataFrame) -> DataFrame:
+    """The last effect on each thing: of the others nothing is left to see."""
+    last = F.max(F.struct("ts", "event_id", "deleted", "a", "b")).alias("x")
+    return rows.groupBy("grp", "id").agg(last).select("grp", "id", "x.deleted", "x.a", "x.b", "x.event_id", "x.ts")
+
+
+def projection(state: DataFrame) -> DataFrame:
+    """grp, id, event_id of what stands: entities, relationships both of whose ends weren't deleted since, chunks whose content wasn't
+    deleted since, and failed events."""
+    when = F.struct("ts", "event_id")
+    gone = state.where("grp LIKE 'gone:%'").select(F.substring_index("grp", ":", -1).alias("of"), F.col("id").alias("gone_id"), when.alias("gone_at"))
+    stands = state.where("NOT deleted AND grp IN ('entity', 'relationship', 'chunk', 'failed')")
+    ends = stands.where("grp IN ('relationship', 'chunk')").withColumn("at", when).withColumn("of", F.when(F.col("grp") == "chunk", "content").otherwise("entity"))
+    ends = ends.select("grp", "id", "at", "of", F.explode(F.array_compact(F.array("a", "b"))).alias("gone_id"))
+    lost = ends.join(gone, ["of", "gone_id"]).where("gone_at > at").select("grp", "id").distinct()
+    return stands.join(lost, ["grp", "id"], "left_anti").select("grp", "id", "event_id")
+
+
 def latest_per_key(events: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The last event of each key, of which a projection needs no other."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
@@ -37,16 +70,15 @@ def latest_per_key(events: DataFrame, key: str = "user_id", order: tuple[str, ..
 
 
 def project_outbox(events: DataFrame, state: str, checkpoint: str) -> None:
-    """X01. Fold the stream into a table below `state`, one folder a batch; a batch that is run again writes the same folder.
-
-    A key's state is its latest event. Older batches are folded in, so re-applying converges.
+    """X01. Fold a stream of outbox events into a table of effects below `state`, one folder a batch; a batch that is run again writes
+    the same folder. Older batches are folded in, so re-applying converges; projection() reads what stands.
     """
     spark = events.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        now = latest_per_key(batch.select("user_id", "event_type", "value", "ts", "event_id"))
+        now = latest_effects(effects(batch))
         if number:
-            now = latest_per_key(now.unionByName(spark.read.parquet(f"{state}/{number - 1}")))
+            now = latest_effects(now.unionByName(spark.read.parquet(f"{state}/{number - 1}")))
         now.write.mode("overwrite").parquet(f"{state}/{number}")
 
     query = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -235,6 +235,30 @@ def test_near_copies_equal_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_copies_in_crowded_buckets(spark):
+    """Texts of which four fifths are one common passage share buckets without being copies of each other."""
+    rng = random.Random(31)
+    common = words_of(rng, 120)
+    texts = []
+    for i in range(120):
+        own = [f"{w}{i}" for w in words_of(rng, 40)]
+        texts.append(common[:60] + own[:20] + common[60:] + own[20:])
+        if i % 3 == 0:
+            copy = list(texts[-1])
+            copy[rng.randrange(60, 80)] = "else"
+            texts.append(copy)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    want, first = {}, {}
+    for doc_id, i in enumerate(order):
+        own = {w[-4:] for w in texts[i] if w[-1].isdigit() and w not in common}
+        mates = [j for j in (i - 1, i, i + 1) if 0 <= j < len(texts) and edit_distance(texts[i], texts[j]) <= 0.2 * 160 and own & {w[-4:] for w in texts[j]}]
+        want[doc_id] = first.setdefault(min(mates), doc_id)
+    rows = [(doc_id, " ".join(texts[i])) for doc_id, i in enumerate(order)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == want
+
+
 def test_passages_equal_planted(spark):
     rng = random.Random(21)
     rows, planted = [], {}

@@ -6,6 +6,8 @@ from .nn_descent import op2_nn_descent
 from .order_minhash import op8_order_minhash
 from .packing import op4_best_fit_packing
 from .ppm import op7_ppm_scoring
+from .shallot import op11_shallot_clusters
+from .shallot import oracle as shallot_oracle
 from .tiling import op1_string_tiling
 from .token_files import op6_token_files
 from .toxicity import op3_boosted_toxicity
@@ -24,6 +26,7 @@ QUERIES = {
         op8_order_minhash,
         op9_wrapper_induction,
         op10_collinear_chaining,
+        op11_shallot_clusters,
     )
 }
 SQL: dict[str, str] = {
@@ -37,4 +40,5 @@ degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT r.vec_id, coalesce(d.n, 0) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
 FROM roots r LEFT JOIN degrees d ON r.vec_id = d.vec_id
 """,
+    "op11_shallot_clusters": shallot_oracle(),
 }

@@ -11,6 +11,8 @@ from .shallot import oracle as shallot_oracle
 from .tiling import op1_string_tiling
 from .token_files import op6_token_files
 from .toxicity import op3_boosted_toxicity
+from .variants import ORACLE as VARIANTS_SQL
+from .variants import op12_qchunk_variants
 from .wrappers import op9_wrapper_induction
 
 QUERIES = {
@@ -27,6 +29,7 @@ QUERIES = {
         op9_wrapper_induction,
         op10_collinear_chaining,
         op11_shallot_clusters,
+        op12_qchunk_variants,
     )
 }
 SQL: dict[str, str] = {
@@ -41,4 +44,5 @@ SELECT r.vec_id, coalesce(d.n, 0) AS n_links, r.component_id, r.vec_id = r.compo
 FROM roots r LEFT JOIN degrees d ON r.vec_id = d.vec_id
 """,
     "op11_shallot_clusters": shallot_oracle(),
+    "op12_qchunk_variants": VARIANTS_SQL,
 }

@@ -2,6 +2,7 @@
 
 from .chaining import op10_collinear_chaining
 from .column_bwt import op5_column_bwt
+from .combinations import op13_least_squares_packing
 from .nn_descent import op2_nn_descent
 from .order_minhash import op8_order_minhash
 from .packing import op4_best_fit_packing
@@ -30,6 +31,7 @@ QUERIES = {
         op10_collinear_chaining,
         op11_shallot_clusters,
         op12_qchunk_variants,
+        op13_least_squares_packing,
     )
 }
 SQL: dict[str, str] = {

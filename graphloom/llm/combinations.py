@@ -40,14 +40,15 @@ from .common import discard, materialize, sliced
 from .packing import GROUP, best_fit_decreasing, deal_out
 from .tokens import ODD
 
-#: What the vocabulary's own pattern makes of lower-case text within Latin-1 that has no white space (fixed by the vocabulary).
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+#: What the vocabulary's own pattern makes of lower-case text within Latin-1 whose only white space is \n (fixed by the vocabulary).
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|\n|[^\n0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 END = "</w>"  # how tokens end that end a word
 
 
 class WordEncoder:
     """encode(texts) gives the ids of each text as little-endian 32-bit bytes, equal to encoding it whole, for a vocabulary that drops
-    white space and lowers letters. Words are encoded once, many at a time, told apart by tokens that end a word; `limit` bounds the memos."""
+    white space and lowers letters. Each piece between white space is looked at once for a batch of texts, each word encoded once, many at
+    a time, told apart by tokens that end a word. `limit` bounds the memo of words; when it is reached it starts anew."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,40 +59,54 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
-        self.limit, self.memo, self.words = limit, {}, {}
+        self.limit, self.words = limit, {"\n": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_words(self, words: list[str], run: int = 400) -> None:
-        for i in range(0, len(words), run):
-            own = words[i : i + run]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        runs = [words[i : i + run] for i in range(0, len(words), run)]
+        for own, got in zip(runs, self.whole([" ".join(r) for r in runs])):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(got, "<u4")]) + 1) * 4
             if len(cuts) == len(own):
-                got, begins = ids.tobytes(), [0, *cuts.tolist()]
+                begins = [0, *cuts.tolist()]
                 self.words.update((w, got[a:b]) for w, a, b in zip(own, begins, begins[1:]))
             else:
                 self.words.update(zip(own, self.whole(own)))
 
-    def learn(self, pieces: list[str]) -> None:
-        """Pieces without white space. Those within Latin-1 fall into words as the pattern has it; others are encoded whole."""
-        plain = [p for p in pieces if p.isascii() or max(p) < "Ā"]
-        parts = [WORD.findall(p.lower()) for p in plain]
-        self.learn_words(list(set(itertools.chain.from_iterable(parts)) - self.words.keys()))
-        get = self.words.__getitem__
-        self.memo.update((p, b"".join(map(get, own))) for p, own in zip(plain, parts))
-        other = [p for p in pieces if not (p.isascii() or max(p) < "Ā")]
-        self.memo.update(zip(other, self.whole(other)))
+    def piece_ids(self, pieces: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of all pieces (without white space) and how many each has. Within Latin-1 they fall into words as the pattern has it;
+        other pieces are encoded whole."""
+        text = "\n".join(pieces)
+        try:
+            text.encode("latin-1")
+            words = WORD.findall(text.lower())
+        except UnicodeEncodeError:
+            words = ["\n"] * (2 * len(pieces) - 1)
+            words[::2] = [p if max(p) >= "Ā" else WORD.findall(p.lower()) for p in pieces]
+            others = list({p for p in words[::2] if isinstance(p, str)} - self.words.keys())
+            self.words.update(zip(others, self.whole(others)))
+            words = [w for own in words for w in ([own] if isinstance(own, str) else own)]
+        self.learn_words(list(set(words) - self.words.keys()))
+        ids = list(map(self.words.__getitem__, words))
+        of = np.cumsum(np.fromiter(map("\n".__eq__, words), np.int64, len(words)))
+        return b"".join(ids), np.bincount(of, np.fromiter(map(len, ids), np.int64, len(ids)), len(pieces)).astype(np.int64) // 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) + len(self.words) > self.limit:
-            self.memo.clear()
-            self.words.clear()
-        cut = [None if ODD.search(t) else t.split() for t in texts]
-        self.learn(list(set().union(*(c for c in cut if c)) - self.memo.keys()))
-        get = self.memo.__getitem__
-        return [self.whole([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, cut)]
+        if len(self.words) > self.limit:
+            self.words = {"\n": b""}
+        cut = [[] if ODD.search(t) else t.split() for t in texts]
+        pieces = pa.array(itertools.chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+        out = [b""] * len(texts)
+        if len(pieces):
+            data, n = self.piece_ids(pieces.dictionary.to_pylist())
+            begins, codes = np.cumsum(n) - n, pieces.indices.to_numpy()
+            each = n[codes]
+            ends = np.cumsum(each)
+            ids = np.frombuffer(data, "<u4")[np.repeat(begins[codes] - ends + each, each) + np.arange(int(ends[-1]))].tobytes()
+            at = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])] * 4
+            out = [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+        return [self.whole([t])[0] if ODD.search(t) else x for t, x in zip(texts, out)]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -181,12 +181,12 @@ def cluster(table: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64, scale
         if bounds is not None:
             drop_bucketed(bounds)
         bounds = now
-        changes = now.where("row IS NULL").select("first", F.posexplode("sums").alias("i", "x"))  # at most k rows a task; summed by Spark to k
-        for c, i, x in changes.groupBy("first", "i").agg(F.sum(F.col("x").cast("decimal(38,0)"))).collect():
+        changes = now.where("row IS NULL").groupBy("first").agg(*(F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")) for i in range(dim + 1)))
+        for c, *more in changes.collect():  # of at most k rows a task Spark makes k
             if c >= 0:
-                sums[c, i] += int(x)
+                sums[c] += [int(x) for x in more]
             elif took is not None:
-                took.append(int(x))
+                took.append(int(more[0]))
         if number == rounds:
             break
         new = np.array([[x // n for x in own] if n else old.tolist() for (*own, n), old in zip(sums, centroids)], np.int64)

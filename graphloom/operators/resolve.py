@@ -60,22 +60,30 @@ def sparse_cosine(left: DataFrame, right: DataFrame, least: float = 0.0) -> Data
     return dots.join(norm(left, "a"), "a").join(norm(right, "b"), "b").withColumn("score", F.col("dot") / (F.col("n_a") * F.col("n_b"))).where(F.col("score") >= least).select("a", "b", "score")
 
 
-def likely_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def likely_pairs(left: DataFrame, right: DataFrame, least: float, share: float = 0.8) -> DataFrame:
     """left (a, gram, tf), right (b, gram, tf) -> a, b of a superset of the pairs with a cosine of `least` at least.
 
-    Prefix filter: of a left text's grams the most frequent ones whose squares sum to less than `least` squared of all may be left
-    out, since without a common gram among the rest the cosine is below `least` (Cauchy and Schwarz)."""
+    Of a left text's grams the most frequent ones whose squares sum to less than `share` times `least`, squared, of all are left out. The
+    rest meet the right texts' grams, which gives a part of the dot product; by Cauchy and Schwarz what was left out adds at most its
+    length times that of the right text without the grams that met. Pairs whose bound is below `least` are dropped: without a
+    common gram among the rest the cosine is below `least` anyway."""
     df = right.groupBy("gram").agg(F.count("*").alias("df"))
     square = F.col("tf") * F.col("tf")
     frequent = Window.partitionBy("a").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = left.join(df, "gram", "left").fillna(0, ["df"]).withColumn("dropped", F.sum(square).over(frequent)).withColumn("all", F.sum(square).over(Window.partitionBy("a")))
-    return ranked.where((F.col("dropped") >= least * least * F.col("all") * (1 - 1e-9)) & (F.col("df") > 0)).select("a", "gram").join(right.select("b", "gram"), "gram").select("a", "b").distinct()
+    ranked = left.join(df, "gram", "left").fillna(0, ["df"]).withColumn("sum", F.sum(square).over(frequent)).withColumn("all_a", F.sum(square).over(Window.partitionBy("a")))
+    out = F.col("sum") < share * share * least * least * F.col("all_a") * (1 - 1e-9)
+    ranked = ranked.withColumn("out", F.max(F.when(out, F.col("sum")).otherwise(F.lit(0))).over(Window.partitionBy("a"))).where(~out & (F.col("df") > 0))
+    other = right.withColumn("all_b", F.sum(square).over(Window.partitionBy("b"))).select("b", "gram", F.col("tf").alias("tf_b"), "all_b")
+    met = ranked.select("a", "gram", "tf", "all_a", "out").join(other, "gram").groupBy("a", "b").agg(F.sum(F.col("tf") * F.col("tf_b")).alias("part"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("met"), F.first("all_a").alias("all_a"), F.first("out").alias("out"), F.first("all_b").alias("all_b"))
+    bound = F.col("part") + F.sqrt(F.col("out").cast("double")) * F.sqrt((F.col("all_b") - F.col("met")).cast("double"))
+    return met.where(bound >= least * (1 - 1e-9) * F.sqrt(F.col("all_a").cast("double")) * F.sqrt(F.col("all_b").cast("double"))).select("a", "b")
 
 
 def cosine_of(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) -> a, b, score of those with a cosine of `least` at least; each text's grams as one map."""
     counts = lambda df, k, c: df.groupBy(k).agg(F.map_from_entries(F.collect_list(F.struct("gram", "tf"))).alias(c), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias(f"n_{c}"))
-    both = pairs.join(counts(left, "a", "x"), "a").join(counts(right, "b", "y"), "b")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes a pair, but much work: not to be joined into one task
+    both = pairs.repartition(parts, "a", "b").join(counts(left, "a", "x"), "a").join(counts(right, "b", "y"), "b")
     product = F.aggregate(F.transform(F.map_entries("x"), lambda e: e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
     return both.withColumn("score", product / (F.col("n_x") * F.col("n_y"))).where(F.col("score") >= least).select("a", "b", "score")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import batches as B
 from ..sources.tables import table as t
-from .graph_queries import written
+from ..streaming import jobs as X
+from ..streaming import ordered as O
+from .graph_queries import scratch, written
 from .registry import query
 
 GRAMS_SQL = "list_concat(list_transform(range(1, length(k) + 1), lambda i: substr(k, i, 1)), list_transform(range(1, length(k)), lambda i: substr(k, i, 2)), list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3)))"
@@ -46,3 +49,75 @@ def j05_batch(spark, d):
     base = t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") < 5).alias("old"), name.alias("name"), F.col("p_type").alias("type"), F.col("p_retailprice").cast("string").alias("description"))
     new = base.where("NOT old").withColumn("name", F.when(F.col("id") % 5 == 0, alias).when(F.col("id") % 5 == 1, typo).otherwise(F.col("name")))
     return B.resolve_batch(new.drop("old"), base.where("old").drop("old"), written(spark))
+
+
+LATE = "8 days"  # a slice of the log is shorter
+
+
+def in_slices(spark, d, slices: int = 4) -> DataFrame:
+    """The event log as a stream of micro-batches, each a stretch of time, written one after the other as a log would be."""
+    log, folder = t(spark, d, "events"), scratch(spark, "log")
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(slices):
+        begin, end = (F.lit(first + (last - first) * k / slices) for k in (i, i + 1))
+        log.where((F.col("ts") >= begin) & ((F.col("ts") < end) | F.lit(i + 1 == slices))).write.parquet(f"{folder}/{i}")
+    stream = spark.readStream.schema(X.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def run_timed(spark, stream: DataFrame, name: str) -> DataFrame:
+    path = scratch(spark, name)
+    with O.state_with_timers(spark):
+        return X.run_to_table(stream, path, f"{path}-checkpoint")
+
+
+MARK_SQL = "m AS (SELECT epoch_us(max(ts)) // 1000 - 8 * 86400000 AS mark FROM events), e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events, m WHERE epoch_us(ts) // 1000 <= mark)"
+
+
+@query("x02_retry_stream", f"""
+WITH {MARK_SQL},
+r AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS id, ms, event_id, event_type <> 'purchase' AS failed, mark FROM e),
+c AS (SELECT *, sum(CAST(failed AS INT)) OVER w AS failures, sum(CAST(NOT failed AS INT)) OVER w AS successes, lead(ms) OVER (PARTITION BY id ORDER BY ms, event_id) AS next FROM r WINDOW w AS (PARTITION BY id ORDER BY ms, event_id)),
+o AS (SELECT *, coalesce(lag(failures >= 3 OR successes > 0) OVER (PARTITION BY id ORDER BY ms, event_id), false) AS ended FROM c),
+s AS (SELECT *, CASE WHEN NOT failed THEN 'done' WHEN failures >= 3 THEN 'dead' ELSE 'pending' END AS status, ms + 1000 * least(300, 5 * 2 ** (failures - 1))::BIGINT AS retry FROM o WHERE NOT ended)
+SELECT id, ms, CAST(failures AS INT) AS attempts, status, CASE WHEN status = 'pending' THEN retry END AS retry_ms FROM s
+UNION ALL SELECT id, retry, CAST(failures AS INT), 'claimable', NULL FROM s WHERE status = 'pending' AND retry <= coalesce(next, mark)""")
+def x02_stream(spark, d):
+    """A user's events of a day are the attempts at one outbox event; a purchase is a success."""
+    e = in_slices(spark, d)
+    tries = e.select(F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("id"), "ts", F.col("event_id").alias("n"), (F.col("event_type") != "purchase").alias("flag"))
+    return run_timed(spark, O.retry_stream(tries, "id", LATE), "retries")
+
+
+@query("x04_rate_limit_stream", f"""
+WITH RECURSIVE {MARK_SQL}, r AS (SELECT user_id, event_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS n FROM e),
+walk(user_id, event_id, n, recent, accepted) AS (
+  SELECT user_id, event_id, n, [ms], true FROM r WHERE n = 1
+  UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN len(list_filter(w.recent, lambda x: x > r.ms - 86400000)) < 3 THEN list_append(list_filter(w.recent, lambda x: x > r.ms - 86400000), r.ms) ELSE list_filter(w.recent, lambda x: x > r.ms - 86400000) END,
+    len(list_filter(w.recent, lambda x: x > r.ms - 86400000)) < 3 FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+SELECT user_id, event_id, accepted FROM walk""")
+def x04_stream(spark, d):
+    e = in_slices(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), F.lit(True).alias("flag"))
+    return run_timed(spark, O.limit_stream(e, "user_id", 3, 86400.0, LATE), "limits").withColumnRenamed("n", "event_id")
+
+
+@query("x05_stale_stream", f"""
+WITH {MARK_SQL}, g AS (SELECT user_id, ms, mark, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS next FROM e)
+SELECT user_id, ms + 21600000 AS reset_ms, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ms) AS INT) AS attempt, 'pending' AS status FROM g WHERE coalesce(next, mark) > ms + 21600000""")
+def x05_stream(spark, d):
+    """A user's events as the heartbeats of a job that is stale after six hours."""
+    e = in_slices(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), F.lit(True).alias("flag"))
+    return run_timed(spark, O.stale_stream(e, "user_id", 21_600, LATE), "stale")
+
+
+@query("x05_reset_stale", """
+WITH j AS (SELECT o_orderkey AS job_id, o_orderstatus = 'P' AS processing, o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1995-01-01 00:10:00' - INTERVAL 600 SECOND AS old, o_orderkey % 3 AS attempt, o_orderstatus FROM orders)
+SELECT job_id, CASE WHEN old THEN 'pending' WHEN processing THEN 'processing' ELSE lower(o_orderstatus) END AS job_status, attempt + CAST(old AS INT) AS attempt, l_linenumber AS step, CASE WHEN l_linestatus = 'F' THEN 'done' WHEN coalesce(old, false) THEN 'pending' ELSE 'running' END AS step_status
+FROM j JOIN lineitem ON l_orderkey = job_id""")
+def x05_reset(spark, d):
+    """Orders as jobs, their lines as steps: what is on the way is in processing, its date the heartbeat."""
+    status = F.when(F.col("o_orderstatus") == "P", "processing").otherwise(F.lower("o_orderstatus"))
+    jobs = t(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("heartbeat"), (F.col("o_orderkey") % 3).alias("attempt"))
+    steps = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("step"), F.when(F.col("l_linestatus") == "F", "done").otherwise("running").alias("status"))
+    jobs, steps = O.reset_stale(jobs, steps, F.expr("timestamp_ntz'1995-01-01 00:10:00'"))
+    return jobs.select("job_id", F.col("status").alias("job_status"), "attempt").join(steps.withColumnRenamed("status", "step_status"), "job_id")

@@ -54,15 +54,8 @@ def j05_batch(spark, d):
 LATE = "8 days"  # a slice of the log is shorter
 
 
-def in_slices(spark, d, slices: int = 4) -> DataFrame:
-    """The event log as a stream of micro-batches, each a stretch of time, written one after the other as a log would be."""
-    log, folder = t(spark, d, "events"), scratch(spark, "log")
-    first, last = log.agg(F.min("ts"), F.max("ts")).first()
-    for i in range(slices):
-        begin, end = (F.lit(first + (last - first) * k / slices) for k in (i, i + 1))
-        log.where((F.col("ts") >= begin) & ((F.col("ts") < end) | F.lit(i + 1 == slices))).write.parquet(f"{folder}/{i}")
-    stream = spark.readStream.schema(X.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def log(spark, d) -> DataFrame:
+    return X.in_slices(t(spark, d, "events"), scratch(spark, "log"))
 
 
 def run_timed(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -84,7 +77,7 @@ SELECT id, ms, CAST(failures AS INT) AS attempts, status, CASE WHEN status = 'pe
 UNION ALL SELECT id, retry, CAST(failures AS INT), 'claimable', NULL FROM s WHERE status = 'pending' AND retry <= coalesce(next, mark)""")
 def x02_stream(spark, d):
     """A user's events of a day are the attempts at one outbox event; a purchase is a success."""
-    e = in_slices(spark, d)
+    e = log(spark, d)
     tries = e.select(F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("id"), "ts", F.col("event_id").alias("n"), (F.col("event_type") != "purchase").alias("flag"))
     return run_timed(spark, O.retry_stream(tries, "id", LATE), "retries")
 
@@ -97,7 +90,7 @@ walk(user_id, event_id, n, recent, accepted) AS (
     len(list_filter(w.recent, lambda x: x > r.ms - 86400000)) < 3 FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
 SELECT user_id, event_id, accepted FROM walk""")
 def x04_stream(spark, d):
-    e = in_slices(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), F.lit(True).alias("flag"))
+    e = log(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), F.lit(True).alias("flag"))
     return run_timed(spark, O.limit_stream(e, "user_id", 3, 86400.0, LATE), "limits").withColumnRenamed("n", "event_id")
 
 
@@ -106,7 +99,7 @@ WITH {MARK_SQL}, g AS (SELECT user_id, ms, mark, lead(ms) OVER (PARTITION BY use
 SELECT user_id, ms + 21600000 AS reset_ms, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ms) AS INT) AS attempt, 'pending' AS status FROM g WHERE coalesce(next, mark) > ms + 21600000""")
 def x05_stream(spark, d):
     """A user's events as the heartbeats of a job that is stale after six hours."""
-    e = in_slices(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), F.lit(True).alias("flag"))
+    e = log(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), F.lit(True).alias("flag"))
     return run_timed(spark, O.stale_stream(e, "user_id", 21_600, LATE), "stale")
 
 

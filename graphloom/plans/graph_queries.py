@@ -584,7 +584,7 @@ AND NOT EXISTS (SELECT 1 FROM g WHERE l.grp = 'chunk' AND g.grp = 'content' AND
 def x01(spark, d):
     """The event log as outbox events of all kinds: signups make entities, purchases relationships, views chunks, clicks delete."""
     state, kind, k = scratch(spark, "outbox"), F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
-    e = events(spark, d).withColumn("k", k)
+    e = X.in_slices(t(spark, d, "events"), scratch(spark, "log")).withColumn("k", k)
     deletes = F.when(F.col("k") % 3 == 0, "entity.delete").when(F.col("k") % 3 == 1, "relationship.delete").otherwise("content.delete")
     kinds = F.when(kind == "signup", "entity.upsert").when(kind == "view", "chunk.upsert").when(kind == "purchase", "relationship.upsert").when(kind == "click", deletes).otherwise(kind)
     user, pair = F.col("user_id").cast("string"), F.concat_ws("-", "user_id", "k")
@@ -592,7 +592,7 @@ def x01(spark, d):
     whole = F.col("kind").isin("entity.upsert", "entity.delete", "content.delete")
     e = e.select("event_id", "ts", "kind", F.when(whole, F.col("a")).otherwise(F.col("pair")).alias("id"), "a", F.when(F.col("kind").startswith("relationship"), F.col("b")).alias("b"))
     X.project_outbox(e, state, f"{state}-checkpoint")
-    return X.projection(spark.read.parquet(f"{state}/0"))
+    return X.projection(X.outbox_state(spark, state))
 
 
 @query("x02_retry_state", """

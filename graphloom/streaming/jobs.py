@@ -69,22 +69,74 @@ def latest_per_key(events: DataFrame, key: str = "user_id", order: tuple[str, ..
     return events.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def project_outbox(events: DataFrame, state: str, checkpoint: str) -> None:
-    """X01. Fold a stream of outbox events into a table of effects below `state`, one folder a batch; a batch that is run again writes
-    the same folder. Older batches are folded in, so re-applying converges; projection() reads what stands.
-    """
-    spark = events.sparkSession
-
-    def apply(batch: DataFrame, number: int) -> None:
-        now = latest_effects(effects(batch))
-        if number:
-            now = latest_effects(now.unionByName(spark.read.parquet(f"{state}/{number - 1}")))
-        now.write.mode("overwrite").parquet(f"{state}/{number}")
-
-    query = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def pointer(spark: SparkSession, state: str, before: int | None = None) -> dict[int, int]:
+    """Of each bucket of the state the batch that wrote it last, as the last whole batch (or the last one before a number) has left it: as
+    many rows as there are buckets."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        seen = spark.read.schema("bucket int, version long, batch long").option("recursiveFileLookup", True).parquet(f"{state}/pointer")
+    except AnalysisException:  # no batch yet
+        return {}
+    seen = seen if before is None else seen.where(F.col("batch") < before)
+    last = seen.agg(F.max("batch")).first()[0]
+    return {r["bucket"]: r["version"] for r in seen.where(F.col("batch") == last).collect() if r["bucket"] >= 0} if last is not None else {}
+
+
+def buckets_of(spark: SparkSession, state: str, versions: dict[int, int]) -> DataFrame | None:
+    paths = [f"{state}/versions/{v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def outbox_state(spark: SparkSession, state: str) -> DataFrame | None:
+    """X01. The table of effects as the last whole batch left it; None before the first."""
+    return buckets_of(spark, state, pointer(spark, state))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fold_batch(batch: DataFrame, number: int, state: str, buckets: int) -> None:
+    """X01. Fold a micro-batch into the state. Only buckets (by hash of grp and id) that the batch has effects in are read and written anew;
+    a pointer, written last, tells where each bucket is. A batch that is run again starts from the pointer before it and so writes the
+    same. What neither this pointer nor the one before needs is removed."""
+    spark = batch.sparkSession
+    batch.persist()
+    now = latest_effects(effects(batch)).withColumn("bucket", F.pmod(F.xxhash64("grp", "id"), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in now.select("bucket").distinct().collect()]
+    before = pointer(spark, state, number)
+    old = buckets_of(spark, state, {b: before[b] for b in touched if b in before})
+    merged = latest_effects(now.drop("bucket") if old is None else now.drop("bucket").unionByName(old))
+    merged = merged.withColumn("bucket", F.pmod(F.xxhash64("grp", "id"), F.lit(buckets)).cast("int"))
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/versions/{number}")
+    batch.unpersist()
+    after = before | dict.fromkeys(touched, number)
+    rows = [(b, v, number) for b, v in after.items()] or [(-1, -1, number)]
+    spark.createDataFrame(rows, "bucket int, version long, batch long").coalesce(1).write.mode("overwrite").parquet(f"{state}/pointer/{number}")
+    for b, v in pointer(spark, state, number - 1).items():
+        if before.get(b) != v:
+            remove(spark, f"{state}/versions/{v}/bucket={b}")
+
+
+def project_outbox(events: DataFrame, state: str, checkpoint: str, buckets: int = 16) -> None:
+    """X01. Fold a stream of outbox events into a table of effects below `state`. Re-applying converges; outbox_state() reads the table,
+    projection() what stands."""
+    query = events.writeStream.foreachBatch(lambda batch, number: fold_batch(batch, number, state, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def in_slices(log: DataFrame, folder: str, slices: int = 4, at: str = "ts") -> DataFrame:
+    """The event log as a stream of micro-batches, each a stretch of time, written one after the other as a log would be."""
+    first, last = log.agg(F.min(at), F.max(at)).first()
+    for i in range(slices):
+        begin, end = (F.lit(first + (last - first) * k / slices) for k in (i, i + 1))
+        log.where((F.col(at) >= begin) & ((F.col(at) < end) | F.lit(i + 1 == slices))).write.parquet(f"{folder}/{i}")
+    stream = log.sparkSession.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return stream.withColumn(at, F.col(at).cast("timestamp"))
+
+
 class RateLimiter:
     """X04. State of one key: times of its accepted events within the window (transformWithStateInPandas)."""
 

@@ -1,4 +1,4 @@
-"""Entity resolution and similarity joins."""
+"""Entity resolution and similarity joins."""
 
 from __future__ import annotations
 
@@ -158,19 +158,6 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     return full.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
-def correlated_pairs(vectors: DataFrame, over: float, blocks: int = 16) -> DataFrame:
-    """W11. vectors (id, label, v) -> a, b of one label whose correlation is over `over`. Each label is compared block by block."""
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    centred = vectors.withColumn("c", F.transform("v", lambda x: x - mean))
-    unit = centred.withColumn("n", F.sqrt(dot("c", "c"))).where("n > 0").select("id", "label", F.transform("c", lambda x: x / F.col("n")).alias("u"))
-    own = unit.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    side = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "u")
-    left, right = side.where("own = i").select("label", "i", "j", F.col("id").alias("x"), F.col("u").alias("p")), side.where("own = j").select("label", "i", "j", F.col("id").alias("y"), F.col("u").alias("q"))
-    pairs = left.join(right, ["label", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    return pairs.where(dot("p", "q") > over).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def word_classes(sets: DataFrame) -> DataFrame:
     """sets (id, tokens) -> class_id (the smallest id), tokens, members: one row for each different set of words."""
     return sets.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("id").alias("class_id"), F.count("*").alias("members"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import batches as B
+from ..operators import inverted as I
 from ..sources.tables import table as t
 from ..streaming import jobs as X
 from ..streaming import ordered as O
-from .graph_queries import scratch, written
+from .graph_queries import KNN_SQL, scratch, written
 from .registry import query
 
 GRAMS_SQL = "list_concat(list_transform(range(1, length(k) + 1), lambda i: substr(k, i, 1)), list_transform(range(1, length(k)), lambda i: substr(k, i, 2)), list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3)))"
@@ -114,3 +116,31 @@ def x05_reset(spark, d):
     steps = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("step"), F.when(F.col("l_linestatus") == "F", "done").otherwise("running").alias("status"))
     jobs, steps = O.reset_stale(jobs, steps, F.expr("timestamp_ntz'1995-01-01 00:10:00'"))
     return jobs.select("job_id", F.col("status").alias("job_status"), "attempt").join(steps.withColumnRenamed("status", "step_status"), "job_id")
+
+
+@query("j03_knn_index", f"WITH {KNN_SQL} SELECT query_id, base_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM knn WHERE rank <= 10")
+def j03_index(spark, d):
+    """The queries of j03_knn_join through the inverted file: a vector's own row is the eleventh."""
+    v = t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    found = I.knn_index_join(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "base_id"), 11, 0.2, written(spark), 64, "label")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "base_id"))
+    return found.where("query_id <> base_id").withColumn("rank", rank).where("rank <= 10").select("query_id", "base_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query("w11_greedy_unique", """
+WITH RECURSIVE given AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL UNION ALL
+  SELECT vec_id + 1000000000, label, list_transform(embedding, lambda x, i: CAST(CAST(x AS DOUBLE) * (1 + 0.02 * (i % 5)) AS FLOAT)) FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 3 = 0),
+v AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - list_avg(list_transform(embedding, lambda y: CAST(y AS DOUBLE)))) AS e FROM given),
+near AS MATERIALIZED (SELECT b.id, list(a.id ORDER BY a.id) AS before FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) > 0.95 GROUP BY b.id),
+w AS MATERIALIZED (SELECT v.id, v.label, v.n, coalesce(near.before, CAST([] AS BIGINT[])) AS before FROM v LEFT JOIN near ON near.id = v.id),
+walk(label, n, id, leader, kept) AS (
+  SELECT label, n, id, id, [id] FROM w WHERE n = 1
+  UNION ALL SELECT w.label, w.n, w.id, coalesce(list_min(list_intersect(w.before, k.kept)), w.id), CASE WHEN list_has_any(w.before, k.kept) THEN k.kept ELSE list_append(k.kept, w.id) END FROM walk k JOIN w ON w.label = k.label AND w.n = k.n + 1)
+SELECT id, leader FROM walk""")
+def w11(spark, d):
+    """Every vector, and a near copy of every third, with the vector that stands for it: the first of its label that correlates with it by
+    over 0.95 and stands for itself."""
+    v = t(spark, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    near = F.transform("v", lambda x, i: (x.cast("double") * (1 + 0.02 * ((i + 1) % 5))).cast("float"))
+    copies = v.where("id % 3 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "label", near.alias("v"))
+    return I.greedy_unique(v.union(copies), 0.95, written(spark), 64)

@@ -435,13 +435,6 @@ def w05(spark, d):
     return S.type_diversity(t(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("type")))
 
 
-@query("w11_greedy_unique")
-def w11(spark, d):
-    """Every vector with the vector that stands for it: the first of its label that correlates with it by over 0.95 and stands for itself."""
-    v = t(spark, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
-    return R.elect_leaders(v, R.correlated_pairs(v, 0.95), written(spark))
-
-
 @query("w12_fixed_interval", """
 WITH e AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS t FROM events), s AS (SELECT *, CAST(floor(t / 21600 + 0.5) AS BIGINT) AS step FROM e),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY abs(t - step * 21600), t) AS n FROM s) SELECT user_id, step, t AS "at" FROM r WHERE n = 1""")

@@ -154,11 +154,11 @@ def block_pairs(asked: DataFrame, held: DataFrame, keys: list[str], over: float)
     return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(near, f"a {kind}, b {kind}")
 
 
-def correlated_pairs(vectors: DataFrame, over: float, materialize: Materialize, dim: int, pivots: int = 64, sample: int = 10_000, block: int = 4096, most: int = 16_384, rings: int = 64, looked: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+def correlated_pairs(vectors: DataFrame, over: float, materialize: Materialize, dim: int, pivots: int = 64, sample: int = 10_000, block: int = 4096, most: int = 16_384, looked: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """W11. vectors (id, label, v) -> copies (id, of: the smallest id of its label with an equal vector) and a, b (a < b) of the `of`s of one label
     whose correlation is over `over`: all of them.
 
-    Every vector lies in a ring around its nearest pivot. Two vectors of a small angle differ by no more than that in their angles to any pivot,
+    Every vector lies in a ring around its nearest pivot; a pivot has as many rings as its vectors fill blocks. Two vectors of a small angle differ by no more than that in their angles to any pivot,
     so a vector meets only the rings that come that near, in blocks. Vectors that are null, constant, not finite or not `dim` long have
     no correlation and stand for themselves. looked: gets how many pairs were compared and how many there are."""
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
@@ -171,8 +171,9 @@ def correlated_pairs(vectors: DataFrame, over: float, materialize: Materialize,
     if not len(centres):
         return copies, rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     reach, keys = math.acos(max(-1.0, min(1.0, over))) + SLACK, ["label", "list", "ring"]
-    held = with_angles(rows, centres, None).withColumn("ring", F.floor(F.col("angle") * (rings / math.pi)).cast("int"))
-    held = materialize(held)
+    held = materialize(with_angles(rows, centres, None))
+    whole = held.groupBy("label", "list").agg(F.ceil(F.count("*") / block).alias("rings"), F.min("angle").alias("begin"), (F.max("angle") - F.min("angle") + SLACK).alias("width"))
+    held = held.join(whole, ["label", "list"]).withColumn("ring", F.floor((F.col("angle") - F.col("begin")) / F.col("width") * F.col("rings")).cast("int")).drop("rings", "begin", "width")
     stats = held.groupBy(*keys).agg(F.count("*").alias("n"), F.min("angle").alias("inner"), F.max("angle").alias("outer"))
     met = with_angles(rows, centres, 0).drop("near").join(stats, ["label", "list"]).where((F.col("angle") - F.col("outer") <= reach) & (F.col("inner") - F.col("angle") <= reach))
     met = materialize(met.select(*keys, "n", "id", "v"))

@@ -158,7 +158,8 @@ def correlated_pairs(vectors: DataFrame, over: float, materialize: Materialize,
     """W11. vectors (id, label, v) -> copies (id, of: the smallest id of its label with an equal vector) and a, b (a < b) of the `of`s of one label
     whose correlation is over `over`: all of them.
 
-    Every vector lies in a ring around its nearest pivot; a pivot has as many rings as its vectors fill blocks. Two vectors of a small angle differ by no more than that in their angles to any pivot,
+    Every vector lies in a ring around its nearest pivot; there are no more pivots than blocks in a label, and a pivot has
+    as many rings as its vectors fill blocks. Two vectors of a small angle differ by no more than that in their angles to any pivot,
     so a vector meets only the rings that come that near, in blocks. Vectors that are null, constant, not finite or not `dim` long have
     no correlation and stand for themselves. looked: gets how many pairs were compared and how many there are."""
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
@@ -167,7 +168,8 @@ def correlated_pairs(vectors: DataFrame, over: float, materialize: Materialize,
     first = own.groupBy("label", "v").agg(F.min("id").alias("of")).where("v IS NOT NULL")
     copies = own.join(first, ["label", "v"], "left").select("id", F.coalesce("of", "id").alias("of"))
     rows = materialize(unit_rows(first.select(F.col("of").alias("id"), "label", "v").dropna(subset=["label"]), dim))
-    centres = fit_centroids(rows, pivots, sample)
+    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    centres = fit_centroids(rows, min(pivots, -(-largest // block)), sample)
     if not len(centres):
         return copies, rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     reach, keys = math.acos(max(-1.0, min(1.0, over))) + SLACK, ["label", "list", "ring"]

@@ -1,4 +1,4 @@
-"""Ordered operators."""
+"""Ordered operators."""
 
 from __future__ import annotations
 
@@ -14,19 +14,6 @@ def retain_recent(df: DataFrame, key: str, order: list, most: int = 50, keep: in
     return df.withColumn("__n", n).withColumn("__r", rank).where((F.col("__n") <= most) | (F.col("__r") <= keep)).drop("__n", "__r")
 
 
-def spaced(df: DataFrame, key: str, at: str, gap: float) -> DataFrame:
-    """W09. Rows at least `gap` after the last row kept, in order of `at` (a number): a fold over each group's times."""
-    times = df.groupBy(key).agg(F.array_sort(F.collect_set(at)).alias("times"))
-    kept = F.aggregate("times", F.expr("cast(array() as array<double>)"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t.cast("double")))).otherwise(acc))
-    return times.select(key, F.explode(kept).alias(at))
-
-
-def change_points(df: DataFrame, key: str, at: str, value: str, threshold: float, gap: float) -> DataFrame:
-    """W09. Rows whose value differs from the row before by over the threshold, at least `gap` apart."""
-    step = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(at)))
-    return spaced(df.withColumn("__step", step).where(F.col("__step") > threshold), key, at, gap)
-
-
 def valid_at(df: DataFrame, moment) -> DataFrame:
     """W10."""
     return df.where((F.col("valid_from") <= moment) & (F.col("valid_until").isNull() | (F.col("valid_until") > moment)))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import batches as B
 from ..operators import inverted as I
+from ..operators import scenes
 from ..sources.tables import table as t
 from ..streaming import jobs as X
 from ..streaming import ordered as O
@@ -144,3 +145,33 @@ def w11(spark, d):
     near = F.transform("v", lambda x, i: (x.cast("double") * (1 + 0.02 * ((i + 1) % 5))).cast("float"))
     copies = v.where("id % 3 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "label", near.alias("v"))
     return I.greedy_unique(v.union(copies), 0.95, written(spark), 64)
+
+
+def spaced_sql(rows: str, key: str, order: str, step: str, gap: str) -> str:
+    """Change points one by one, of rows (key, moment, order, ...) with `before`, the value of the row before."""
+    return f"""
+WITH RECURSIVE {rows},
+c AS (SELECT {key}, moment, min({order}) AS {order}, row_number() OVER (PARTITION BY {key} ORDER BY moment) AS n FROM f WHERE r = 1 OR {step} GROUP BY {key}, moment),
+walk({key}, n, moment, {order}, last, kept) AS (
+  SELECT {key}, n, moment, {order}, moment, true FROM c WHERE n = 1
+  UNION ALL SELECT c.{key}, c.n, c.moment, c.{order}, CASE WHEN w.last + {gap} <= c.moment THEN c.moment ELSE w.last END, w.last + {gap} <= c.moment FROM walk w JOIN c ON c.{key} = w.{key} AND c.n = w.n + 1)
+SELECT {key}, moment AS "at", {order} FROM walk WHERE kept"""
+
+
+@query("w09_change_points", spaced_sql(
+    "f AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS moment, event_id, value, lag(value) OVER w AS before, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id))",
+    "user_id", "event_id", "abs(value - before) > 20", "3600"))
+def w09(spark, d):
+    """A user's events that differ from the one before by over 20, an hour apart."""
+    e = t(spark, d, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), "event_id", "value")
+    return scenes.change_points(e, "user_id", "at", "event_id", "value", 20.0, 3600.0, written(spark))
+
+
+@query("w09_scene_changes", spaced_sql(
+    """g AS (SELECT label, vec_id // 2 AS moment, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - list_avg(list_transform(embedding, lambda y: CAST(y AS DOUBLE)))) AS e FROM embeddings WHERE label IS NOT NULL),
+f AS (SELECT label, CAST(moment AS DOUBLE) AS moment, vec_id, e, lag(e) OVER w AS before, row_number() OVER w AS r FROM g WINDOW w AS (PARTITION BY label ORDER BY moment, vec_id))""",
+    "label", "vec_id", "len(e) = len(before) AND 1 - list_cosine_similarity(e, before) > 0.95", "12"))
+def w09_scenes(spark, d):
+    """Vectors of a label as a film's frames, two a second: scenes whose features correlate by under 0.05 with the frame before, 12 seconds apart."""
+    frames = t(spark, d, "embeddings").select("label", F.expr("vec_id div 2").alias("at"), "vec_id", "embedding")
+    return scenes.change_points(frames, "label", "at", "vec_id", "embedding", 0.95, 12.0, written(spark), scenes.correlation_gap)

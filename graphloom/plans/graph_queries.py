@@ -417,12 +417,6 @@ def w06(spark, d):
     return W.retain_recent(t(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("event_id", "user_id")
 
 
-@query("w09_change_points")
-def w09(spark, d):
-    e = t(spark, d, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), "value")
-    return W.change_points(e, "user_id", "at", "value", 20.0, 3600.0)
-
-
 @query("w10_valid_at", "WITH v AS (SELECT o_custkey, o_orderkey, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_until FROM orders) SELECT o_custkey, o_orderkey FROM v WHERE valid_from <= TIMESTAMP '1996-06-30' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1996-06-30')")
 def w10(spark, d):
     until = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))

@@ -141,19 +141,39 @@ def graph_similarity(new: DataFrame, existing: DataFrame, edges: DataFrame) -> D
     return best.select("query_id", "base_id", F.lit(0.7).alias("score"))
 
 
+CLASSES = 32  # token classes of the suffix bound
+
+
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """sets (id, tokens) -> a, b, jaccard of pairs with at least `least`. Exact; each pair meets in its shared rare tokens.
+    """sets (id, tokens) -> a, b, jaccard of pairs with at least `least` (over 0). Exact; tokens are distinct, sets without any pair with nothing.
+
+    Tokens stand in order of rising frequency. Two sets of sizes x and y are that similar if they share at least least / (1 + least) *
+    (x + y) tokens, which three bounds rule out before sets are compared:
+
+    * prefix: they share one of the first |s| - ceil(least |s|) + 1 tokens of each, so frequent tokens make no candidates;
+    * position: of a shared token at places i and j at most min(i, j) tokens up to it and min(x - i, y - j) after it are shared;
+    * suffix: tokens fall into classes by a hash, and of a class no more are shared than either set has of it.
 
-    Prefix filter: two sets that similar share a token among the first |s| - ceil(least |s|) + 1 of each, in order of rising
-    frequency, so frequent tokens make no candidates.
+    A candidate then has all its shared prefix tokens together, whose count replaces min(i, j) of the last of them.
     """
-    exploded = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    own = sets.where(F.size("tokens") > 0)
+    exploded = own.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     freq = exploded.groupBy("token").agg(F.count("*").alias("df"))
     by = Window.partitionBy("id").orderBy("df", "token")
-    ranked = exploded.join(freq, "token").withColumn("at", F.row_number().over(by)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    r = ranked.select("id", "n", "token")
-    pairs = r.toDF("a", "n_a", "token").join(r.toDF("b", "n_b", "token"), "token").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
-    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
+    ranked = exploded.join(freq, "token").withColumn("at", F.row_number().over(by)).where((F.col("at") <= prefix) & (F.col("df") > 1))
+    of_class = lambda k: F.size(F.filter("tokens", lambda t: F.pmod(F.hash(t), F.lit(CLASSES)) == k))
+    classes = own.select("id", F.array(*[of_class(k) for k in range(CLASSES)]).alias("classes"))
+    r = ranked.join(classes, "id").select("id", "n", "at", "classes", "token")
+    shared = least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    position = F.least("at_a", "at_b") + after >= shared
+    suffix = F.aggregate(F.zip_with("classes_a", "classes_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, x: s + x) >= shared
+    left, right = (r.toDF(*(f"{c}_{side}" for c in r.columns[:-1]), "token") for side in "ab")
+    met = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9) & position & suffix)
+    some = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("met"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    pairs = some.where(F.col("met") + after >= shared).select("a", "b")
+    full = pairs.join(own.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     jaccard = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     return full.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 

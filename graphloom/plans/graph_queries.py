@@ -227,6 +227,48 @@ def j19_clusters(spark, d):
     return j19_classes(spark, d).join(leaders, "class_id").select("id", "leader")
 
 
+#: Sets of words of documents by class, and the pairs of classes as DuckDB finds them: all with all.
+TEXT_SETS_SQL = """
+w AS MATERIALIZED (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> ''))) AS s FROM documents),
+c AS MATERIALIZED (SELECT s, min(id) AS class_id, count(*) AS members FROM w GROUP BY s),
+j AS MATERIALIZED (SELECT * FROM (SELECT a.class_id AS a, b.class_id AS b, len(list_intersect(a.s, b.s)) AS common, len(a.s) + len(b.s) AS summed FROM c a JOIN c b ON a.class_id < b.class_id
+  AND least(len(a.s), len(b.s)) >= 0.9 * greatest(len(a.s), len(b.s)) AND len(a.s) > 0) WHERE common / (summed - common) >= 0.9)
+"""
+
+
+def document_classes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Of each document the class of its set of words, and the classes. A set's key is the SHA-256 of its words, as a whole set would be a long key."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")))
+    sets = t(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", " "), 256))
+    classes = written(spark)(sets.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.min_by("tokens", "id").alias("tokens")))
+    return sets.select("id", "key"), classes
+
+
+@query("j19_document_pairs", f"WITH {TEXT_SETS_SQL} SELECT j.a, j.b, x.members AS members_a, y.members AS members_b, round(common / (summed - common), 6) AS jaccard FROM j JOIN c x ON x.class_id = j.a JOIN c y ON y.class_id = j.b")
+def j19_documents(spark, d):
+    """Pairs of different sets of words of documents of Jaccard 0.9 and more, each by its smallest document, and how many documents have them."""
+    _, classes = document_classes(spark, d)
+    pairs = R.jaccard_pairs(classes.select(F.col("class_id").alias("id"), "tokens"), 0.9)
+    size = classes.select("class_id", "members")
+    return pairs.join(size.toDF("a", "members_a"), "a").join(size.toDF("b", "members_b"), "b").select("a", "b", "members_a", "members_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("j19_document_clusters", f"""
+WITH RECURSIVE {TEXT_SETS_SQL},
+o AS MATERIALIZED (SELECT class_id AS id, row_number() OVER (ORDER BY class_id) AS n, (SELECT list(a ORDER BY a) FROM j WHERE b = class_id) AS before FROM c),
+walk(n, id, leader, leaders) AS (
+  SELECT n, id, id, [id] FROM o WHERE n = 1
+  UNION ALL SELECT o.n, o.id, coalesce(list_min(list_intersect(coalesce(o.before, []), w.leaders)), o.id), CASE WHEN list_has_any(coalesce(o.before, []), w.leaders) THEN w.leaders ELSE list_append(w.leaders, o.id) END FROM walk w JOIN o ON o.n = w.n + 1)
+SELECT w.id, walk.leader, CAST(count(*) OVER (PARTITION BY walk.leader) AS BIGINT) AS members FROM w JOIN c USING (s) JOIN walk ON walk.id = c.class_id""")
+def j19_document_clusters(spark, d):
+    """Every document with the leader of its cluster and the cluster's size: in order of ids a class joins the first leader it resembles or leads itself."""
+    members, classes = document_classes(spark, d)
+    nodes = classes.select(F.col("class_id").alias("id"), "tokens")
+    leaders = written(spark)(R.elect_leaders(nodes, R.jaccard_pairs(nodes, 0.9), written(spark)).select(F.col("id").alias("class_id"), "leader").join(classes.select("class_id", "key", "members"), "class_id"))
+    sizes = leaders.groupBy("leader").agg(F.sum("members").alias("members"))
+    return members.join(leaders.select("key", "leader"), "key").join(sizes, "leader").select("id", "leader", "members")
+
+
 @query("j20_merge_nodes", f"WITH {COOC_SQL}, m AS (SELECT src - src % 10 AS src, dst - dst % 10 AS dst, weight FROM e) SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM m WHERE src <> dst GROUP BY 1, 2")
 def j20(spark, d):
     leaders = t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 10).alias("leader"))

@@ -139,6 +139,17 @@ def test_pairs_equal_brute_force(spark):
     assert few == many and len(few) >= 60
 
 
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.75, 0.9, 1.0])
+def test_jaccard_pairs_equal_brute_force(spark, least):
+    rng = random.Random(12)
+    base = [rng.sample(range(60), rng.randint(1, 20)) for _ in range(25)]
+    sets = base + [sorted({*b, *rng.sample(range(60), rng.randint(0, 3))} - set(rng.sample(b, rng.randint(0, 1)))) for b in base for _ in range(2)] + [[], [], [1], [1]]
+    table = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "id int, tokens array<string>")
+    got = {(r["a"], r["b"]): round(r["jaccard"], 9) for r in resolve.jaccard_pairs(table, least).collect()}
+    want = {(i, k): round(len({*x} & {*y}) / len({*x} | {*y}), 9) for i, x in enumerate(sets) for k, y in enumerate(sets) if i < k and x and y and len({*x} & {*y}) >= least * len({*x} | {*y})}
+    assert got == want and len(want) > 1
+
+
 def test_outbox_projection(spark):
     rows = [
         (1, 1, "entity.upsert", "a", None, None), (2, 2, "entity.upsert", "b", None, None), (3, 3, "relationship.upsert", "a-b", "a", "b"), (4, 4, "relationship.upsert", "b-b", "b", "b"),

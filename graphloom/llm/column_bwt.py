@@ -23,9 +23,9 @@ The rounds of step 3 run over the sorted shuffle files of Spark, which each task
 positional form of the column-wise method: suffixes are ordered among those that begin in the same column, which is all that
 equal windows need.
 
-Nulls and odd input: a null text is an empty text; texts shorter than `length` bytes lose nothing. A null doc_id sorts before
-all others. Rows that repeat doc_id and text are one document and get the same result; rows that repeat only doc_id are ordered
-by a hash of the text. Extra columns are ignored. An empty table gives no rows.
+Nulls and odd input: a null text is an empty text; texts shorter than `length` bytes lose nothing. Rows with a null doc_id sort before
+all others, by a hash of their text. Rows that repeat doc_id and text are one document and get the same result; rows that repeat
+only doc_id are ordered by a hash of the text, of 24 bits: some thousand different texts of one doc_id would make two of them one. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,13 +42,15 @@ from pyspark.sql import functions as F
 from .common import discard, in_blocks, materialize, mix64, read_block, shuffle_partitions, sliced, write_by_block
 
 GRAM = 16
-LEAST = -(1 << 62)  # stands for a null doc_id
+LEAST = -(1 << 62)  # null doc_ids stand below it, told apart by 62 bits of a hash of the text
 
 
 def tagged_blocks(docs: DataFrame) -> DataFrame:
     """doc_id (never null), a tag of the text (it tells rows of one doc_id apart), the text, row and block."""
-    tag = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 40)
-    return in_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), tag.alias("tag"), "text"))
+    text = F.coalesce("text", F.lit(""))
+    tag = F.shiftrightunsigned(F.xxhash64(text), 40)
+    without = F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 2) + F.lit(-(1 << 63))  # below LEAST
+    return in_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), without).alias("doc_id"), tag.alias("tag"), "text"))
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:
@@ -284,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, large: int = 2000) -> Dat
                     until = max(until, s["end"])
                 kept.append(data[max(until, 0) :])
                 left = b"".join(kept)
-                rows.append((None if doc_id == LEAST else doc_id, len(data), len(data) - len(left), n, left))
+                rows.append((None if doc_id < LEAST else doc_id, len(data), len(data) - len(left), n, left))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -1,5 +1,6 @@
 """The operators against brute force and exact round trips on small fixtures, with nulls, empty texts, repeats and ties."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -117,6 +118,16 @@ def test_repeated_bytes(spark, docs, large):
         assert r["n_spans"] == sum(1 for k in range(len(gone)) if gone[k] and (not k or not gone[k - 1]))
 
 
+def test_repeated_bytes_of_many_rows_without_an_id(spark):
+    """So many that texts' 24-bit tags collide: all but the first lose the line they share, and only it."""
+    line = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(3))[:150]
+    docs = spark.range(14_000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"sha2(string(id), 256) || '|{line}' AS text")
+    got = column_bwt.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").toPandas()
+    assert got["doc_id"].isna().all() and len(got) == 14_000 and (got["n_bytes"] == 215).all()
+    removed = sorted(got["n_removed"])
+    assert removed[0] == 0 and removed[1] >= 151 and removed[-1] < 160 and sorted(got["n_spans"])[1:] == [1] * 13_999
+
+
 def test_near_duplicates(spark, docs):
     got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in order_minhash.near_duplicates(docs).collect()}
     assert got[30] == (3, False) and got[37] == (LONG, False)

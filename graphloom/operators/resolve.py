@@ -141,13 +141,14 @@ def graph_similarity(new: DataFrame, existing: DataFrame, edges: DataFrame) -> D
     return best.select("query_id", "base_id", F.lit(0.7).alias("score"))
 
 
-CLASSES = 32  # token classes of the suffix bound
+CLASSES = 8  # token classes of the suffix bound
+FREQUENT = 65_536  # tokens of over one in as many occurrences are frequent, so there are fewer than that
 
 
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     """sets (id, tokens) -> a, b, jaccard of pairs with at least `least` (over 0). Exact; tokens are distinct, sets without any pair with nothing.
 
-    Tokens stand in order of rising frequency. Two sets of sizes x and y are that similar if they share at least least / (1 + least) *
+    Frequent tokens stand last, in order of rising frequency; their table is bounded and broadcast. Two sets of sizes x and y are that similar if they share at least least / (1 + least) *
     (x + y) tokens, which three bounds rule out before sets are compared:
 
     * prefix: they share one of the first |s| - ceil(least |s|) + 1 tokens of each, so frequent tokens make no candidates;
@@ -156,14 +157,16 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
 
     A candidate then has all its shared prefix tokens together, whose count replaces min(i, j) of the last of them.
     """
-    own = sets.where(F.size("tokens") > 0)
+    own = sets.where(F.size("tokens") > 0).select("id", "tokens").repartition("id")  # the one shuffle of whole sets, used four times
     exploded = own.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    freq = exploded.groupBy("token").agg(F.count("*").alias("df"))
-    by = Window.partitionBy("id").orderBy("df", "token")
+    total = sets.agg(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0
+    freq = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") * FREQUENT > total)
+    by = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "token")
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
-    ranked = exploded.join(freq, "token").withColumn("at", F.row_number().over(by)).where((F.col("at") <= prefix) & (F.col("df") > 1))
-    of_class = lambda k: F.size(F.filter("tokens", lambda t: F.pmod(F.hash(t), F.lit(CLASSES)) == k))
-    classes = own.select("id", F.array(*[of_class(k) for k in range(CLASSES)]).alias("classes"))
+    ranked = exploded.join(F.broadcast(freq), "token", "left").withColumn("at", F.row_number().over(by)).where(F.col("at") <= prefix)
+    of_class = lambda k: F.size(F.filter("h", lambda x: x == k))
+    hashed = own.select("id", F.transform("tokens", lambda t: F.pmod(F.hash(t), F.lit(CLASSES))).alias("h"))
+    classes = hashed.select("id", F.array(*[of_class(k) for k in range(CLASSES)]).alias("classes"))
     r = ranked.join(classes, "id").select("id", "n", "at", "classes", "token")
     shared = least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
     after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))

@@ -237,9 +237,11 @@ j AS MATERIALIZED (SELECT * FROM (SELECT a.class_id AS a, b.class_id AS b, len(l
 
 
 def document_classes(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Of each document the class of its set of words, and the classes. A set's key is the SHA-256 of its words, as a whole set would be a long key."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")))
-    sets = t(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", " "), 256))
+    """Of each document the class of its set of words, and the classes. Words stand as 64-bit hashes,
+    so two words of one hash would count as one; a set's key is the SHA-256 of these, as a whole set would be a long key."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    tokens = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    sets = t(spark, d, "documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")).withColumn("key", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " "), 256))
     classes = written(spark)(sets.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.min_by("tokens", "id").alias("tokens")))
     return sets.select("id", "key"), classes
 

@@ -106,3 +106,36 @@ EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 # Task budgets: input tokens, output tokens; prices of 1000 tokens.
 BUDGETS = {"extraction": (12000, 4000), "summary": (16000, 2000), "categorization": (4000, 1000), "validation": (8000, 1000), "classification": (2000, 500)}
 PRICE_IN, PRICE_OUT = 0.00015, 0.0006
+# Captions: what a login page shows in its first 200 characters, and what the feed around a post looks like.
+LOGIN_MARKERS = ["Log in", "Password"]
+FEED = [
+    r"•\s*\nFollow",
+    r"(?:Blood Soul|CLASH|Effects pack)",
+    r"(?:Watch Story|𝐖𝐚𝐭𝐜𝐡 𝐒𝐭𝐨𝐫𝐲)",
+    r"(?:Japanese|ジャンプ|サーブ|バレーボール)",
+    r"(?:Free Certifications|Google & Microsoft)",
+    r"(?:Automatic bridge in Minecraft)",
+    r"(?:弥渡山歌|YANGYINYUE)",
+    r"(?:Follow button kon)",
+    r"(?:Surjit Bindrakhia|Lakk Tunoo)",
+    r"(?:Lo aa gay|new trend)",
+    r"·\s*[A-Z]",
+    r"(?:trend|viral|fyp|explore)",
+]
+# Names of tools in a text, and the address of a video.
+TOOL_NAMES = [r"(?:using|use|try|download)\s+([A-Z][a-zA-Z]+)", r"([A-Z][a-zA-Z]+)\s+(?:tool|software|app)"]
+TEXT_URL = r"https?://[^\s<>\"]+"
+VIDEO_URL = "https://www.youtube.com/watch?v="
+# Search hits that are never kept: by host, by title.
+HIT_HOSTS = ["google.com", "www.google.com", "accounts.google.com", "facebook.com", "www.facebook.com", "m.facebook.com", "twitter.com", "www.twitter.com", "x.com", "instagram.com", "www.instagram.com", "linkedin.com", "www.linkedin.com", "reddit.com", "www.reddit.com", "youtube.com", "www.youtube.com", "tiktok.com", "www.tiktok.com", "pinterest.com", "www.pinterest.com", "medium.com", "dev.to", "quora.com", "www.quora.com", "wikipedia.org", "en.wikipedia.org"]
+HIT_TITLES = r"(sign.?in|log.?in|log.?on|sign.?up|register|create.?account|forgot.?password|cookie|privacy|terms.?of|sponsored|advertisement|ad\b|page.?not.?found|404|error|download.?now|install|upgrade|privacy.?policy|terms.?and.?conditions)"
+# Hits about something else: by part of the address, by words of title or snippet.
+OFF_TOPIC_DOMAINS = ["uidai.gov.in", "aadhaar", "heromotocorp.com", "hero.in", "bikewale.com", "bikedekho.com", "ktmindia.com", "ktm.com", "bajaj.com", "tvs.com", "scroll.in", "scrolller.com", "timesofindia.com", "hindustantimes.com", "ndtv.com", "news18.com", "republicworld.com", "wikipedia.org", "britannica.com", "amazon.com", "flipkart.com", "ebay.com", "myntra.com", "ajio.com", "facebook.com", "twitter.com", "instagram.com", "whatsapp.com", "wa.me", "linkedin.com", "reddit.com", "quora.com", "smartprix.com", "91mobiles.com", "gadgets360.com", "merriam-webster.com", "dictionary.com", "cambridge.org", "techcrunch.com", "theverge.com", "wired.com", "naukri.com", "indeed.com", "glassdoor.com"]
+OFF_TOPIC_PATHS = ["/dictionary/", "/definition/", "/encyclopedia/", "/buy/", "/price/", "/shop/", "/news/", "/sports/", "/entertainment/"]
+OFF_TOPIC_WORDS = ["motorcycle", "bike", "scooter", "vehicle", "automobile", "car", "price", "mileage", "on-road", "ex-showroom", "engine", "news", "article", "blog post", "opinion", "editorial", "recipe", "cooking", "food", "restaurant", "cricket", "football", "sports", "match", "movie", "film", "celebrity", "bollywood", "buy", "discount", "offer", "sale", "salary", "hiring", "job opening", "interview"]
+# Hits that are no reference: by part of the address, by part of the title; names that are an address themselves.
+NO_REFERENCE_DOMAINS = ["whatsapp.com", "wa.me", "facebook.com", "twitter.com", "instagram.com", "linkedin.com", "reddit.com", "quora.com", "myntra.com", "ajio.com", "amazon.com", "flipkart.com", "merriam-webster.com", "dictionary.com", "cambridge.org", "wikipedia.org", "britannica.com", "naukri.com", "indeed.com", "glassdoor.com", "timesofindia.com", "hindustantimes.com", "ndtv.com"]
+NO_REFERENCE_TITLES = ["sign in", "log in", "login", "register", "privacy policy", "terms of service", "cookie", "advertisement"]
+SITE_NAME = r"^[a-zA-Z0-9-]+\.(com|org|net|io|dev|app|co)$"
+# Types of entities that have no site of their own.
+SITELESS_TYPES = ["concept", "principle", "technique", "unknown"]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.assembly import key_info
+from ..functions.patterns import VIDEO_URL
+from ..functions.text import keyword_category, words
 
 #: Pairs of tags whose content is no text, and where a page's body is looked for, in order.
 DROPPED = "script|style|nav|footer|header|aside"
@@ -96,3 +98,24 @@ def chunk_graph(chunks: DataFrame, sources: DataFrame, mentions: DataFrame) -> t
     own = chunks.select(F.concat(F.lit("chunk-"), F.col("chunk_id").cast("string")).alias("src"), F.concat(F.lit("source-"), "source").alias("dst"), F.lit("EXTRACTED_FROM").alias("rel_type"), F.lit("").alias("evidence"))
     held = mentions.select(F.concat(F.lit("entity-"), "entity").alias("src"), F.concat(F.lit("chunk-"), F.col("chunk_id").cast("string")).alias("dst"), F.lit("EXTRACTED_FROM").alias("rel_type"), F.substring("evidence", 1, 500).alias("evidence"))
     return nodes, own.union(held)
+
+
+def ocr_entry(frames: DataFrame, group: str, order: list[str], as_of: str, text: str = "text") -> DataFrame:
+    """S15. One row a video of what its frames show: address, theme, topic, category, preview, counts, addresses and tools; frames without text
+    are left out, and so are videos without any."""
+    key, full = F.col(group).cast("string"), F.col(text)
+    whole = concat_parts(frames, group, order, text).withColumn("info", key_info(full))
+    title = F.col("info.title")
+    return whole.select(
+        F.col(group).alias("video_id"),
+        F.concat(F.lit(VIDEO_URL), key).alias("url"),
+        F.when(title != "", F.substring(title, 1, 100)).otherwise(key).alias("theme"),
+        title.alias("topic"),
+        keyword_category(full).alias("category"),
+        F.substring(full, 1, 500).alias("preview"),
+        "info.word_count",
+        "info.urls",
+        "info.tools",
+        F.lit("ocr_frame_extraction").alias("origin"),
+        F.lit(as_of).cast("date").alias("processed_at"),
+    )

@@ -4,6 +4,7 @@
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "source", "fbclid", "gclid", "mc_cid", "mc_eid"]
 # Hosts that must not be fetched.
 BLOCKED_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0", "::1", "metadata.google.internal", "169.254.169.254", "instance-data", "100.100.100.200"]
+PRIVATE_HOST = r"^(10\.\d+|127\.\d+|0\.\d+|169\.254|192\.168|172\.(1[6-9]|2\d|3[01]))\.\d+\.\d+$"
 # Prompt injection.
 INJECTION = [
     r"ignore\s+(all\s+)?previous\s+instructions",

@@ -40,8 +40,7 @@ def content_hash(url: Column) -> Column:
 def is_safe_url(url: Column) -> Column:
     """T03. http(s) only; no blocked host and no private, loopback or link-local address."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    private = r"^(10\.\d+|127\.\d+|0\.\d+|169\.254|192\.168|172\.(1[6-9]|2\d|3[01]))\.\d+\.\d+$"
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & ~host.isin(P.BLOCKED_HOSTS) & ~host.rlike(private), F.lit(False))
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & ~host.isin(P.BLOCKED_HOSTS) & ~host.rlike(P.PRIVATE_HOST), F.lit(False))
 
 
 def has_injection(text: Column) -> Column:
@@ -200,16 +199,6 @@ def first_line(text: Column) -> Column:
     return F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 3), F.lit(0))
 
 
-def urls(text: Column, most: int = 5) -> Column:
-    """T22. Distinct URLs, sorted, at most `most`."""
-    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(https?://[^\s]+)")))), 1, most)
-
-
-def tools(text: Column, most: int = 5) -> Column:
-    """T22. Distinct capitalized compounds, sorted, at most `most`."""
-    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+[A-Z][A-Za-z]+)\b")))), 1, most)
-
-
 def classify_error(status: Column, message: Column) -> Column:
     """T23. struct(error_type, should_retry, retry_after)."""
     made = lambda kind, retry, after: F.struct(F.lit(kind).alias("error_type"), F.lit(retry).alias("should_retry"), F.lit(after).cast("double").alias("retry_after"))

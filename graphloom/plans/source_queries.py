@@ -10,17 +10,12 @@ from ..functions import patterns as P
 from ..operators import hits as H
 from ..sources import tables as S
 from .registry import any_sql, contains_sql, list_sql, query
-from .text_queries import WORDS_SQL, scores, t
+from .text_queries import WORDS_SQL, pick, scores, t
 
 #: A phrase for each pattern of a feed, in its order.
 FEED_PHRASES = ["name •\nFollow", "clash", "watch story", "サーブ", "free certifications", "AUTOMATIC bridge in minecraft", "YangYinYue", "follow button kon", "lakk tunoo", "lo aa gay", "Artist · song", "FYP"]
 
 
-def pick(values: list[str], at: str) -> str:
-    """SQL, of Spark and of DuckDB alike: the value whose place is `at`."""
-    return f"CASE {at} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
-
-
 POST = f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Log in\n' || text WHEN 1 THEN text || '\n' || coalesce({pick(FEED_PHRASES, "doc_id // 5 % 14")}, '') WHEN 2 THEN source WHEN 3 THEN text END AS caption,
 CASE doc_id // 2 % 4 WHEN 0 THEN text WHEN 1 THEN source WHEN 2 THEN '' END AS description, CASE WHEN doc_id % 3 > 0 THEN source END AS uploader, CASE WHEN doc_id % 11 > 0 THEN lang END AS title,
 CASE doc_id // 3 % 3 WHEN 0 THEN text WHEN 1 THEN lang END AS transcript, CASE doc_id // 7 % 3 WHEN 0 THEN text WHEN 1 THEN '' END AS ocr FROM documents"""

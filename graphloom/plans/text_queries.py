@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import assembly as A
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import chunking as C
@@ -110,51 +111,68 @@ def t02(spark, d):
     return t(spark, d, "pages").select("page_id", T.content_hash(F.col("url")).alias("hash"))
 
 
-@query("t03_is_safe_url", f"SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) IN ('http', 'https') AND lower(regexp_extract(url, '://([^/:?#]*)', 1)) NOT IN {list_sql(P.BLOCKED_HOSTS)} AS safe FROM pages")
-def t03(spark, d):
-    return t(spark, d, "pages").select("page_id", T.is_safe_url(F.col("url")).alias("safe"))
-
-
 def host():
     return F.regexp_extract("url", "://([^/:?#]*)", 1)
 
 
-def flags(name: str, table: str, key: str, columns: dict[str, tuple]) -> None:
-    """Register one query of several columns: name -> (function that makes the Spark column, SQL)."""
-    sql = f"SELECT {key}, " + ", ".join(f"{s} AS {c}" for c, (_, s) in columns.items()) + f" FROM {table}"
+def pick(values: list[str], at: str) -> str:
+    """SQL, of Spark and of DuckDB alike: the value whose place is `at`, else null."""
+    return f"CASE {at} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def flags(name: str, table: str, key: str, columns: dict[str, tuple], planted: dict[str, str] | None = None) -> None:
+    """Register one query of several columns: name -> (function that makes the Spark column, SQL). planted: columns of the table that take
+    another value first, as SQL of both engines, so that every rule fires on some rows."""
+    given = f"(SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in planted.items())}) FROM {table})" if planted else table
+    sql = f"SELECT {key}, " + ", ".join(f"{s} AS {c}" for c, (_, s) in columns.items()) + f" FROM {given}"
 
     @query(name, sql if all(s for _, s in columns.values()) else None)
     def run(spark, d):
-        return t(spark, d, table).select(key, *(x().alias(c) for c, (x, _) in columns.items()))
+        rows = t(spark, d, table).withColumns({c: F.expr(v) for c, v in (planted or {}).items()})
+        return rows.select(key, *(x().alias(c) for c, (x, _) in columns.items()))
+
+
+def front(phrases: list[str], key: str = "doc_id") -> dict[str, str]:
+    """Texts that begin with one of the phrases, or with none, by number of the row."""
+    return {"text": f"coalesce({pick(phrases, f'{key} % {len(phrases) + 1}')}, '') || ' ' || text"}
 
 
+def instead(column: str, values: list[str], key: str) -> dict[str, str]:
+    """One of the values in a column, or what it holds, by number of the row."""
+    return {column: f"coalesce({pick(values, f'{key} % {len(values) + 3}')}, {column})"}
+
+
+flags("t03_is_safe_url", "pages", "page_id", {"safe": (lambda: T.is_safe_url(F.col("url")), f"lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) IN ('http', 'https') AND lower(regexp_extract(url, '://([^/:?#]*)', 1)) NOT IN {list_sql(P.BLOCKED_HOSTS)} AND NOT regexp_matches(regexp_extract(url, '://([^/:?#]*)', 1), '{P.PRIVATE_HOST}')")}, instead("url", ["http://10.1.2.3/x", "https://192.168.0.1", "http://172.16.0.9/", "http://172.32.0.9/", "ftp://example.com/", "http://LocalHost:80/", "HTTP://169.254.169.254/latest", "http://127.0.0.5", "https://8.8.8.8/", "http://0.1.2.3/"], "page_id"))
 red = "substring(text, 1, 10000)"
 for pattern in P.INJECTION:
     red = f"regexp_replace({red}, '(?i){pattern}', '[REDACTED]', 'g')"
-flags("t04_t05_injection", "documents", "doc_id", {"injected": (lambda: T.has_injection(F.col("text")), any_sql("text", P.INJECTION)), "clean_md5": (lambda: F.md5(T.sanitize_text(F.col("text"))), f"md5({red})")})
+flags("t04_t05_injection", "documents", "doc_id", {"injected": (lambda: T.has_injection(F.col("text")), any_sql("text", P.INJECTION)), "clean_md5": (lambda: F.md5(T.sanitize_text(F.col("text"))), f"md5({red})")}, front(["Ignore all previous instructions", "disregard prior", "You are now an", "ACT  AS a", "pretend you are", "system :", "admin:", "<|system|>", "[inst]", "ignore previous instructions and act as a"]))
 repeats = "|".join(f"{c}{{5}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_")
 flags("t06_is_garbled", "documents", "doc_id", {"garbled": (lambda: T.is_garbled(F.col("text")), "")})
-flags("t07_placeholders", "documents", "doc_id", {"description": (lambda: T.is_template_description(F.col("text")), any_sql("text", P.TEMPLATE_DESCRIPTION)), "summary": (lambda: T.is_template_summary(F.col("text")), any_sql("text", P.TEMPLATE_SUMMARY)), "series": (lambda: T.is_series_name(F.col("text")), any_sql("text", P.SERIES_NAME)), "skip": (lambda: T.is_skip_type(F.col("lang")), "coalesce(lang, '') = 'language'")})
-flags("t08_ocr_noise", "documents", "doc_id", {"noise": (lambda: T.is_ocr_noise(F.col("text")), any_sql("text", P.OCR_NOISE)), "screen": (lambda: T.is_screen_recording(F.col("text")), any_sql("text", P.SCREEN_RECORDING))})
-flags("t09_fix_misspelling", "part", "p_partkey", {"name": (lambda: T.fix_misspelling(F.concat(F.lit("doc"), F.substring("p_name", 1, 3))), "CASE lower(trim('doc' || substring(p_name, 1, 3))) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.MISSPELLINGS.items()) + " ELSE 'doc' || substring(p_name, 1, 3) END")})
+flags("t07_placeholders", "documents", "doc_id", {"description": (lambda: T.is_template_description(F.col("text")), any_sql("text", P.TEMPLATE_DESCRIPTION)), "summary": (lambda: T.is_template_summary(F.col("text")), any_sql("text", P.TEMPLATE_SUMMARY)), "series": (lambda: T.is_series_name(F.col("text")), any_sql("text", P.SERIES_NAME)), "skip": (lambda: T.is_skip_type(F.col("lang")), "coalesce(lang, '') = 'language'")}, front(["EntityType.TOOL", "x is a EntityType", "in the source content", "Day 3 of ", "Episode 12", "part 2 of "]) | {"lang": "CASE WHEN doc_id % 5 = 0 THEN 'language' WHEN doc_id % 5 = 1 THEN NULL ELSE lang END"})
+flags("t08_ocr_noise", "documents", "doc_id", {"noise": (lambda: T.is_ocr_noise(F.col("text")), any_sql("text", P.OCR_NOISE)), "screen": (lambda: T.is_screen_recording(F.col("text")), any_sql("text", P.SCREEN_RECORDING))}, front(["share this", "12k views", "youtube video", "tap here", "day 3 of ", "link in bio", "check out my page", "drop a like", "new reel every", "thanks for watching", "DM us for", "comment below", "share with", "save for later", "link in the comments", "follow @me", "screencast", "mouse over", "browser tab", "url bar shows", "typing into the"]))
+flags("t09_fix_misspelling", "part", "p_partkey", {"name": (lambda: T.fix_misspelling(F.col("p_name")), "CASE lower(trim(p_name)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.MISSPELLINGS.items()) + " ELSE p_name END")}, instead("p_name", [f" {k.title()}" for k in P.MISSPELLINGS], "p_partkey"))
 domain = "regexp_extract(url, '://([^/:?#]*)', 1)"
 known = " ".join(f"WHEN starts_with(regexp_replace(lower({domain}), '[ -]', '', 'g'), '{x.replace('.', '').replace('-', '')[:5]}') THEN '{x}'" for x in P.DOMAINS)
 suspicious = f"regexp_matches({domain}, '^[a-zA-Z0-9]([a-zA-Z0-9\\-]*[a-zA-Z0-9])?(\\.[a-zA-Z]{{2,}})+$') AND {any_sql(domain, P.SUSPICIOUS_DOMAIN)}"
 flags("t11_validate_domain", "pages", "page_id", {"domain": (lambda: T.validate_domain(host()), f"CASE WHEN NOT (contains({domain}, '.') AND length({domain}) > 3) THEN {domain} {known} WHEN {suspicious} THEN NULL ELSE {domain} END")})
 low = "lower(trim(coalesce(p_type, '')))"
-flags("t12_validate_entity_name", "part", "p_partkey", {"reason": (lambda: T.name_reject_reason(F.col("p_type")), f"CASE WHEN length(trim(coalesce(p_type, ''))) < 2 THEN 'length' WHEN {low} IN {list_sql(P.PLATFORMS)} THEN 'platform' WHEN {low} IN {list_sql(P.GENERIC_TERMS)} THEN 'generic' WHEN {any_sql('p_type', P.OCR_NOISE)} THEN 'noise' END")})
+dotless = f"contains(p_type, '.') AND length(trim(p_type)) > 3 AND {suspicious} AND (CASE {known} END) IS NULL".replace(domain, "trim(p_type)")
+flags("t12_validate_entity_name", "part", "p_partkey", {"reason": (lambda: T.name_reject_reason(F.col("p_type")), f"CASE WHEN length(trim(coalesce(p_type, ''))) < 2 THEN 'length' WHEN {low} IN {list_sql(P.PLATFORMS)} THEN 'platform' WHEN {low} IN {list_sql(P.GENERIC_TERMS)} THEN 'generic' WHEN regexp_matches(trim(p_type), '^[0-9]+[%+]?\\s+\\w') THEN 'numeric' WHEN {any_sql('p_type', P.OCR_NOISE)} THEN 'noise' WHEN {any_sql('p_type', P.SCREEN_RECORDING)} THEN 'screen' WHEN {dotless} THEN 'domain' END"), "name": (lambda: T.clean_entity_name(F.col("p_type")).isNotNull(), "reason IS NULL")}, instead("p_type", ["x", "", "YouTube", " Button ", "100+ websites", "20 free things", "7% more", "link in bio", "cursor on it", "shop.in", "my.shop7.com", "shop12.com", "github.in", "docker.com", "a.b", "figma 2.in"], "p_partkey"))
 flags("t13_min_confidence", "events", "event_id", {"ok": (lambda: T.min_confidence(F.col("value") / 100), "coalesce(value / 100, 0) >= 0.3")})
 flags("t14_transcript_quality", "conversations", "conv_id, turn".split(", ")[0], {"turn": (lambda: F.col("turn"), "turn"), "quality": (lambda: T.transcript_quality(F.col("text")), f"CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN {contains_sql('text', P.MUSIC_MARKERS)} THEN 'music_only' WHEN length(trim(text)) < 50 THEN 'short' WHEN NOT {contains_sql('text', P.ACTION_VERBS)} THEN 'no_actions' ELSE 'real_content' END")})
 markers = " + ".join(f"CAST(contains(lower(text), '{m}') AS INT)" for m in P.HINGLISH_MARKERS)
-flags("t15_script_language", "documents", "doc_id", {"script": (lambda: T.script_language(F.col("text")), f"CASE WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) > length(text) * 0.1 THEN 'hindi' WHEN {markers} >= 3 THEN 'hinglish' ELSE 'other' END")})
+flags("t15_script_language", "documents", "doc_id", {"script": (lambda: T.script_language(F.col("text")), f"CASE WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) > length(text) * 0.1 THEN 'hindi' WHEN {markers} >= 3 THEN 'hinglish' ELSE 'other' END")}, instead("text", ["यह हिन्दी में है", "a long text with one letter: ह", "kya hai yeh aur woh", "hai kya", "KYA hai aur that"], "doc_id"))
 noise = "(?i)^(?:" + "|".join(P.NOISE_LINES) + ")"
 flags("t16_drop_noise_lines", "documents", "doc_id", {"text_md5": (lambda: F.md5(T.drop_noise_lines(F.col("text"))), f"md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR (length(trim(x)) >= 3 AND NOT regexp_matches(trim(x), '{noise}'))), chr(10)))")})
 flags("t18_isolate_post", "documents", "doc_id", {"post_md5": (lambda: F.md5(T.isolate_post(F.col("text"))), "")})
 flags("t19_post_type", "pages", "page_id", {"kind": (lambda: T.post_type(F.col("url"), F.col("page_id") % 3, F.col("page_id") % 2), "CASE WHEN contains(url, '/reel/') OR contains(url, '/tv/') THEN 'reel' WHEN page_id % 3 > 1 THEN 'carousel' WHEN page_id % 2 > 0 THEN 'reel' ELSE 'carousel' END")})
-flags("t20_clean_text", "documents", "doc_id", {"text_md5": (lambda: F.md5(T.clean_text(F.col("text"))), f"md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '{P.BOILERPLATE}', '', 'g'), ' '))")})
+flags("t20_clean_text", "documents", "doc_id", {"text_md5": (lambda: F.md5(T.clean_text(F.col("text"))), f"md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '{P.BOILERPLATE}', '', 'g'), ' '))")}, front(["two   blanks", "a\n\n\n\nb \t c", "Cookie", "PRIVACY Policy and terms of service", "subscribe to the newsletter", "   "]))
 scores = ", ".join("{'n': " + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in kws) + f", 'o': {-i}, 'c': '{c}'}}" for i, (c, kws) in enumerate(P.CATEGORY_KEYWORDS.items()))
 flags("t21_keyword_category", "documents", "doc_id", {"category": (lambda: T.keyword_category(F.col("text")), f"(SELECT CASE WHEN s.n > 0 THEN s.c ELSE 'other' END FROM (SELECT list_max([{scores}]) AS s))")})
-flags("t22_key_info", "documents", "doc_id", {"first_line": (lambda: T.first_line(F.col("text")), "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3)[1]"), "n_urls": (lambda: F.size(T.urls(F.col("text"))), "least(5, len(list_distinct(regexp_extract_all(text, 'https?://[^\\s]+'))))"), "n_words": (lambda: F.size(T.words(F.col("text"))), WORDS_SQL.format(c="text")), "n_lines": (lambda: F.size(F.split("text", "\n")), "len(string_split(text, chr(10)))")})
+info = lambda part: A.key_info(F.col("text"))[part]
+named = ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in P.TOOL_NAMES)
+flags("t22_key_info", "documents", "doc_id", {"first_line": (lambda: info("title"), "coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3)[1], '')"), "urls": (lambda: F.array_join(info("urls"), " "), f"array_to_string(regexp_extract_all(text, '{P.TEXT_URL}')[1:5], ' ')"), "tools": (lambda: F.array_join(info("tools"), " "), f"array_to_string(list_sort(list_distinct(list_concat({named})))[1:5], ' ')"), "n_words": (lambda: info("word_count"), WORDS_SQL.format(c="text")), "n_lines": (lambda: info("line_count"), "len(string_split(text, chr(10)))")}, front(["using Figma and the Notion app", "https://b.example/1 http://a.example/2> https://c.example", "a\nb\n\n", "try Docker or Docker software or use Rust", "".join(f"https://u{i}.example download Tool{c} " for i, c in enumerate("FEDCBA"))]))
 status = "400 + event_id % 110"
 
 
@@ -168,14 +186,14 @@ flags("t31_tags", "part", "p_partkey", {"tags": (lambda: F.array_join(T.tags(F.c
 flags("t32_valid_subtopics", "part", "p_partkey", {"subtopics": (lambda: F.array_join(T.valid_subtopics(F.split("p_type", " "), F.array(F.lit("SMALL"), F.lit("BRASS"), F.lit("PLATED"), F.lit("STEEL"))), ","), "array_to_string(list_filter(string_split(p_type, ' '), lambda s: s IN ('SMALL', 'BRASS', 'PLATED', 'STEEL'))[1:3], ',')")})
 flags("t33_fallback_category", "labels", "doc_id", {"category": (lambda: F.coalesce(F.when(F.col("toxic") == 1, "toxic"), F.lit("other")), "coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, 'other')")})
 flags("t34_prompt_text", "documents", "doc_id", {"prompt_md5": (lambda: F.md5(T.prompt_text(F.col("source"), F.col("text"), F.split("text", "\n"))), "md5(substring(source, 1, 400) || chr(10) || substring(text, 1, 800) || chr(10) || array_to_string(string_split(text, chr(10))[1:5], chr(10)))")})
-flags("t35_split_projects", "documents", "doc_id", {"project": (lambda: T.is_project(F.col("lang"), F.col("source"), F.col("text")), f"({any_sql('text', P.PROJECT_INDICATORS)} OR {any_sql('source', P.PROJECT_INDICATORS)})"), "note_md5": (lambda: F.md5(T.with_setup_note(F.col("text"))), f"md5(CASE WHEN coalesce(text, '') = '' OR {contains_sql('text', P.BUILD_WORDS)} THEN text ELSE regexp_replace(text, '\\.+$', '') || '. See repository for setup instructions.' END)")})
+flags("t35_split_projects", "documents", "doc_id", {"project": (lambda: T.is_project(F.col("lang"), F.col("source"), F.col("text")), f"({any_sql('text', P.PROJECT_INDICATORS)} OR {any_sql('source', P.PROJECT_INDICATORS)})"), "note_md5": (lambda: F.md5(T.with_setup_note(F.col("text"))), f"md5(CASE WHEN coalesce(text, '') = '' OR {contains_sql('text', P.BUILD_WORDS)} THEN text ELSE regexp_replace(text, '\\.+$', '') || '. See repository for setup instructions.' END)")}, {"text": f"CASE doc_id % 4 WHEN 0 THEN source || '...' WHEN 1 THEN source ELSE coalesce({pick(['build a ', 'Create YOUR ', 'project : ', 'app: ', 'repository: ', 'see github.com/', 'install. '], 'doc_id % 9')}, '') || text END", "source": "CASE WHEN doc_id % 10 = 7 THEN 'build the ' || source ELSE source END"})
 flags("t36_guide_title", "conversations", "conv_id", {"turn": (lambda: F.col("turn"), "turn"), "title": (lambda: T.guide_title(F.col("text"), F.col("role")), "CASE WHEN text IS NULL OR len(list_filter(string_split(trim(text, ' '), chr(10))[1:3], lambda x: starts_with(trim(x), '#') OR contains(lower(x), 'step') OR contains(lower(x), 'guide'))) > 0 THEN '' WHEN coalesce(role, '') = '' THEN 'Step-by-Step Guide' ELSE 'How to Use ' || role END"), "first_md5": (lambda: F.md5(T.order_sections(F.col("text"), F.col("role"))["first"]), "md5(CASE WHEN instr(lower(text), 'summary') > 0 AND instr(lower(role), 'step') > 0 AND instr(lower(role), 'step') < instr(lower(text), 'summary') THEN role ELSE text END)")})
 flags("t37_slugify", "part", "p_partkey", {"slug": (lambda: T.slugify(F.col("p_name")), "regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")})
 flags("t38_is_tutorial", "documents", "doc_id", {"tutorial": (lambda: T.is_tutorial(F.col("text")), f"{contains_sql('text', P.TUTORIAL_WORDS)} AND length(text) >= 100")})
 flags("t39_est_tokens", "documents", "doc_id", {"tokens": (lambda: T.est_tokens(F.col("text")), "CAST(floor(length(text) / 4) AS BIGINT)")})
 flags("t40_fit_dim", "embeddings", "vec_id", {"n": (lambda: F.size(T.fit_dim(F.col("embedding"), 96)), "96"), "total": (lambda: F.round(F.aggregate(T.fit_dim(F.col("embedding"), 32), F.lit(0.0), lambda s, x: s + x.cast("double")), 4), "round(list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))), 4)")})
 flags("t41_parse_model_response", "events", "event_id", {"k": (lambda: T.parse_model_response(F.concat(F.lit("answer: "), F.col("props")), "k int")["k"], "CAST(json_extract(props, '$.k') AS INT)")})
-flags("t43_query_class", "conversations", "conv_id", {"turn": (lambda: F.col("turn"), "turn"), "kind": (lambda: T.query_class(F.col("text")), f"CASE WHEN {WORDS_SQL.format(c='text')} <= 2 AND NOT {contains_sql('text', P.QUESTION_WORDS)} THEN 'lookup' WHEN {contains_sql('text', P.SEMANTIC_WORDS)} THEN 'semantic' WHEN {contains_sql('text', P.RELATION_WORDS)} THEN 'relationship' ELSE 'balanced' END")})
+flags("t43_query_class", "conversations", "conv_id", {"turn": (lambda: F.col("turn"), "turn"), "kind": (lambda: T.query_class(F.col("text")), f"CASE WHEN {WORDS_SQL.format(c='text')} <= 2 AND NOT {contains_sql('text', P.QUESTION_WORDS)} THEN 'lookup' WHEN {contains_sql('text', P.SEMANTIC_WORDS)} THEN 'semantic' WHEN {contains_sql('text', P.RELATION_WORDS)} THEN 'relationship' ELSE 'balanced' END")}, instead("text", ["docker", "what now", "tools similar to that one", "all that is ABOUT it", "which parts depend on it", "modules that import the parser", "the first second third"], "(conv_id + turn)"))
 flags("t44_budget", "documents", "doc_id", {"fits": (lambda: T.within_budget(F.lit("classification"), T.est_tokens(F.col("text"))), "floor(length(text) / 4) <= 2000"), "cost": (lambda: F.round(T.call_cost(T.est_tokens(F.col("text")), F.lit(500)), 6), "round(floor(length(text) / 4) / 1000 * 0.00015 + 0.5 * 0.0006, 6)")})
 flags("t45_sampling_interval", "lineitem", "l_orderkey", {"l_linenumber": (lambda: F.col("l_linenumber"), "l_linenumber"), "step": (lambda: F.round(T.sampling_interval(F.col("l_quantity") * 10), 6), "round(CASE WHEN l_quantity * 10 <= 0 THEN 2.0 ELSE greatest(0.5, least(10.0, l_quantity * 10 / 30)) END, 6)::DOUBLE")})
 flags("t46_node_id", "part", "p_partkey", {"node": (lambda: T.node_id(F.col("p_partkey")), "'entity-' || p_partkey"), "rel": (lambda: T.relation_type(F.split("p_type", " ")[0], ["SMALL", "LARGE"]), "CASE WHEN upper(string_split(p_type, ' ')[1]) IN ('SMALL', 'LARGE') THEN upper(string_split(p_type, ' ')[1]) ELSE 'RELATED_TO' END")})
@@ -308,12 +326,16 @@ def d06(spark, d):
     return D.validate_mentions(detected(spark, d).select("doc_id", "name"), t(spark, d, "documents").select("doc_id", F.col("text").alias("caption")), P.GENERIC_TERMS)
 
 
+SEEN = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN repeat('no ', 200) ELSE source END AS text FROM documents"
+
+
 @query("d07_validate_against_source", f"""
 WITH {GAZ_SQL} SELECT t.doc_id, t.name, round(CASE WHEN contains(lower(x.half), t.name) THEN 0.9 ELSE 0.8 END, 6)::DOUBLE AS confidence
-FROM top t JOIN (SELECT doc_id, text AS half, length(text) < 500 AS weak FROM documents) x ON t.doc_id = x.doc_id
+FROM top t JOIN (SELECT doc_id, text AS half, length(text) < 500 AS weak FROM ({SEEN})) x ON t.doc_id = x.doc_id
 WHERE rank <= 40 AND (contains(lower(x.half), t.name) OR NOT x.weak)""")
 def d07(spark, d):
-    texts = t(spark, d, "documents").select("doc_id", "text", (F.length("text") < 500).alias("weak"))
+    """A third of the documents is seen as it is, a third as another long text, a third as a short one."""
+    texts = spark.sql(SEEN.replace("FROM documents", "FROM {documents}"), documents=t(spark, d, "documents")).select("doc_id", "text", (F.length("text") < 500).alias("weak"))
     return D.validate_against_source(detected(spark, d).select("doc_id", "name", "confidence"), texts)
 
 
@@ -340,14 +362,14 @@ def d11(spark, d):
 
 
 @query("d12_accept_relationships", """
-WITH r AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS source, split_part(p_type, ' ', 3) AS target FROM part), k AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS k FROM part UNION SELECT DISTINCT lower(split_part(p_type, ' ', 3)) FROM part WHERE p_size > 25)
-SELECT source, target, 'MADE_OF' AS rel_type FROM r WHERE lower(source) <> lower(target) AND lower(source) IN (SELECT k FROM k) AND lower(target) IN (SELECT k FROM k)""")
+WITH r AS (SELECT DISTINCT p_brand AS source, p_type AS target FROM part UNION SELECT p_type, lower(p_type) FROM part), k AS (SELECT lower(p_brand) AS k FROM part WHERE p_brand NOT LIKE '%3' UNION SELECT lower(p_type) FROM part WHERE p_type NOT LIKE 'S%')
+SELECT source, target, 'MADE_OF' AS rel_type, CASE WHEN target LIKE 'P%' THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence FROM r WHERE lower(source) <> lower(target) AND lower(source) IN (SELECT k FROM k) AND lower(target) IN (SELECT k FROM k)""")
 def d12(spark, d):
-    part = t(spark, d, "part").withColumn("w", F.split("p_type", " "))
-    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
-    rels = part.select(word(0).alias("source"), word(2).alias("target")).distinct().withColumn("rel_type", F.lit("made_of")).withColumn("confidence", F.lit(None).cast("double"))
-    names = part.select(word(0).alias("name")).union(part.where("p_size > 25").select(word(2)))
-    return D.accept_relationships(rels, names).select("source", "target", "rel_type")
+    """Brands and the types of their parts, some of both unknown, and types that are related to themselves."""
+    part = t(spark, d, "part")
+    rels = part.select(F.col("p_brand").alias("source"), F.col("p_type").alias("target")).union(part.select("p_type", F.lower("p_type"))).distinct()
+    names = part.where("p_brand NOT LIKE '%3'").select(F.col("p_brand").alias("name")).union(part.where("p_type NOT LIKE 'S%'").select(F.upper("p_type")))
+    return D.accept_relationships(rels.withColumn("rel_type", F.lit("made_of")).withColumn("confidence", F.when(F.col("target").startswith("P"), 0.5)), names)
 
 
 @query("t24_filter_search_hits", f"""

@@ -47,6 +47,20 @@ def test_oracle(spark, con, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+#: Queries of flags, with the columns that must take more than one value in the oracle, lest agreement shows nothing.
+BITES = {
+    "t03_is_safe_url": ["safe"], "t04_t05_injection": ["injected"], "t07_placeholders": ["description", "summary", "series", "skip"], "t08_ocr_noise": ["noise", "screen"], "t09_fix_misspelling": ["name"],
+    "t12_validate_entity_name": ["reason", "name"], "t15_script_language": ["script"], "t22_key_info": ["urls", "tools", "n_lines"], "t24_relevant_hits": ["rank"], "t25_assemble_text": ["origin", "has_caption"], "t27_reference_links": ["origin"], "t28_fill_urls": ["url"],
+    "t35_split_projects": ["project"], "t43_query_class": ["kind"], "d07_validate_against_source": ["confidence"], "x02_retry_state": ["status"], "s15_ocr_entry": ["category", "tools", "urls"], "a11_group_by_topic": ["subtopic"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(BITES))
+def test_oracles_take_several_values(con, name):
+    want = con.execute(plans.SQL[name]).df()
+    assert all(want[c].nunique(dropna=False) > 1 for c in BITES[name])
+
+
 def test_golden_resolution(spark):
     kinds = "id string, name string, type string, description string"
     old = spark.createDataFrame([

@@ -106,6 +106,40 @@ def x05_stream(spark, d):
     return run_timed(spark, O.stale_stream(e, "user_id", 21_600, LATE), "stale")
 
 
+ARRIVAL = "least(day(ts) // 8 + CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 11 = 0 THEN 2 ELSE 0 END, 5)"
+HOURS, DAY = 6 * 3_600_000_000, 24 * 3_600_000_000
+
+
+def sessions_sql() -> str:
+    """Slice by slice: what is not late joins the rows of open sessions; sessions that end before the new watermark are put out."""
+    steps = [f"e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS us, {ARRIVAL} AS slice FROM events)", "open0 AS (SELECT user_id, us FROM e WHERE false)"]
+    mark = lambda k: f"(SELECT coalesce(max(us) // 1000 * 1000 - {DAY}, 0) FROM e WHERE slice < {k})"
+    for k in range(6):
+        steps += [
+            f"in{k} AS (SELECT user_id, us FROM open{k} UNION ALL SELECT user_id, us FROM e WHERE slice = {k} AND us + {HOURS} > {mark(k)})",
+            f"run{k} AS (SELECT user_id, us, sum(begins) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= {HOURS} THEN 0 ELSE 1 END AS begins FROM in{k}))",
+            f"s{k} AS MATERIALIZED (SELECT user_id, us, min(us) OVER w AS first, max(us) OVER w AS last, max(us) OVER w + {HOURS} <= {mark(k + 1)} OR {k} = 5 AS closed FROM run{k} WINDOW w AS (PARTITION BY user_id, s))",
+            f"open{k + 1} AS (SELECT user_id, us FROM s{k} WHERE NOT closed)",
+        ]
+    put = " UNION ALL ".join(f"SELECT user_id, first, last, count(*) AS n FROM s{k} WHERE closed GROUP BY ALL" for k in range(6))
+    return f"WITH {', '.join(steps)}, put AS MATERIALIZED ({put}) SELECT 'session' AS kind, user_id, make_timestamp(first) AS start, make_timestamp(last) AS last, n FROM put UNION ALL SELECT 'late', e.user_id, NULL, NULL, count(*) - coalesce(any_value(p.held), 0) FROM e LEFT JOIN (SELECT user_id, sum(n)::BIGINT AS held FROM put GROUP BY 1) p ON p.user_id = e.user_id GROUP BY e.user_id"
+
+
+@query("x08_sessions", sessions_sql())
+def x08_sessions(spark, d):
+    """Sessions of users, six hours apart at most, from a log that arrives in six slices, each read by a run of its own; a seventh of the events
+    comes a slice late, some two. Each user's late events are counted."""
+    folder, out = scratch(spark, "arrivals"), scratch(spark, "sessions")
+    log = t(spark, d, "events").select("user_id", "ts", F.expr(ARRIVAL.replace("//", "div")).alias("slice"))
+    for part in (*(log.where(F.col("slice") == k) for k in range(6)), X.closed_by(log, "3 days")):
+        part.drop("slice").write.mode("append").parquet(folder)
+        arrived = spark.readStream.schema("user_id long, ts timestamp_ntz").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+        found = X.run_to_table(X.session_windows(arrived), out, f"{out}-checkpoint")
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    late = X.late_rows(log, found).select(F.lit("late").alias("kind"), "user_id", F.lit(None).cast("timestamp_ntz").alias("start"), F.lit(None).cast("timestamp_ntz").alias("last"), F.col("n_late").alias("n"))
+    return found.select(F.lit("session").alias("kind"), "user_id", plain("start"), plain("last"), "n").union(late)
+
+
 @query("x05_reset_stale", """
 WITH j AS (SELECT o_orderkey AS job_id, o_orderstatus = 'P' AS processing, o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1995-01-01 00:10:00' - INTERVAL 600 SECOND AS old, o_orderkey % 3 AS attempt, o_orderstatus FROM orders)
 SELECT job_id, CASE WHEN old THEN 'pending' WHEN processing THEN 'processing' ELSE lower(o_orderstatus) END AS job_status, attempt + CAST(old AS INT) AS attempt, l_linenumber AS step, CASE WHEN l_linestatus = 'F' THEN 'done' WHEN coalesce(old, false) THEN 'pending' ELSE 'running' END AS step_status

@@ -20,9 +20,24 @@ def event_windows(events: DataFrame, size: str = "1 day", late: str = "1 day") -
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def session_windows(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
-    """X08."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
+def session_windows(events: DataFrame, key: str = "user_id", gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """X08. Sessions of a key: rows less than `gap` apart, put out once the watermark has passed a session's end. A row that comes when the
+    watermark of the batch before has passed its time and the gap is late and in no session; one that comes in time, but after its
+    neighbours' session was put out, begins another."""
+    made = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return made.select(F.col("session_window.start").alias("start"), "last", key, "n")
+
+
+def late_rows(rows: DataFrame, sessions: DataFrame, key: str = "user_id") -> DataFrame:
+    """X08. key, n_rows, n_late: how many rows of a log that was read to its end are in none of the sessions put out."""
+    given, held = rows.groupBy(key).agg(F.count("*").alias("n_rows")), sessions.groupBy(key).agg(F.sum("n").alias("held"))
+    return given.join(held, key, "left").select(key, "n_rows", (F.col("n_rows") - F.coalesce("held", F.lit(0))).alias("n_late"))
+
+
+def closed_by(log: DataFrame, wait: str, key: str = "user_id", at: str = "ts") -> DataFrame:
+    """X08. The log's last row, again, without a key and `wait` later: it lets the watermark pass all sessions before it."""
+    end = log.agg(F.max(at).alias(at)).where(f"{at} IS NOT NULL").select((F.col(at) + F.expr(f"INTERVAL {wait}")).alias(at))
+    return log.limit(0).unionByName(end, allowMissingColumns=True)
 
 
 def dedup_stream(events: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:

@@ -51,7 +51,7 @@ def test_oracle(spark, con, name):
 BITES = {
     "t03_is_safe_url": ["safe"], "t04_t05_injection": ["injected"], "t07_placeholders": ["description", "summary", "series", "skip"], "t08_ocr_noise": ["noise", "screen"], "t09_fix_misspelling": ["name"],
     "t12_validate_entity_name": ["reason", "name"], "t15_script_language": ["script"], "t22_key_info": ["urls", "tools", "n_lines"], "t24_relevant_hits": ["rank"], "t25_assemble_text": ["origin", "has_caption"], "t27_reference_links": ["origin"], "t28_fill_urls": ["url"],
-    "t35_split_projects": ["project"], "t43_query_class": ["kind"], "d07_validate_against_source": ["confidence"], "x02_retry_state": ["status"], "s15_ocr_entry": ["category", "tools", "urls"], "a11_group_by_topic": ["subtopic"],
+    "t35_split_projects": ["project"], "t43_query_class": ["kind"], "d07_validate_against_source": ["confidence"], "x02_retry_state": ["status"], "s15_ocr_entry": ["category", "tools", "urls"], "a11_group_by_topic": ["subtopic"], "d12_accept_relationships": ["target", "confidence"], "x08_sessions": ["kind", "n"],
 }
 
 
@@ -61,6 +61,11 @@ def test_oracles_take_several_values(con, name):
     assert all(want[c].nunique(dropna=False) > 1 for c in BITES[name])
 
 
+def test_some_events_are_late_and_some_are_not(con):
+    late = con.execute(plans.SQL["x08_sessions"]).df().query("kind == 'late'")
+    assert 0 < late["n"].sum() < con.execute("SELECT count(*) FROM events").fetchone()[0] and (late["n"] >= 0).all()
+
+
 def test_golden_resolution(spark):
     kinds = "id string, name string, type string, description string"
     old = spark.createDataFrame([

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,13 @@ def any_of(column: Column, patterns: list[str]) -> Column:
     return F.coalesce(column, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is computed once for a row, not for each word that a lambda compares it with."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(column: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(column), w))
+    return once(F.lower(column), lambda low: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
 
 
 def words(column: Column) -> Column:
@@ -147,7 +154,7 @@ def transcript_quality(text: Column) -> Column:
 
 def script_language(text: Column) -> Column:
     """T15."""
-    found = F.size(F.filter(F.array(*map(F.lit, P.HINGLISH_MARKERS)), lambda m: F.contains(F.lower(text), m)))
+    found = once(F.lower(text), lambda low: F.size(F.filter(F.array(*map(F.lit, P.HINGLISH_MARKERS)), lambda m: F.contains(low, m))))
     return F.when(F.regexp_count(text, F.lit(r"[ऀ-ॿ]")) > F.length(text) * 0.1, "hindi").when(found >= 3, "hinglish").otherwise("other")
 
 
@@ -189,9 +196,9 @@ def clean_text(text: Column) -> Column:
 
 def keyword_category(text: Column) -> Column:
     """T21. Category with most of its keywords in the text, the first of equals; other if none."""
-    scores = [F.struct(F.size(F.filter(F.array(*map(F.lit, kws)), lambda k: F.contains(F.lower(text), k))).alias("n"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, kws) in enumerate(P.CATEGORY_KEYWORDS.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["category"]).otherwise("other")
+    hits = lambda low, kws: F.size(F.filter(F.array(*map(F.lit, kws)), lambda k: F.contains(low, k)))
+    scores = lambda low: F.array(*[F.struct(hits(low, kws).alias("n"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, kws) in enumerate(P.CATEGORY_KEYWORDS.items())])
+    return once(once(F.lower(text), lambda low: F.array_max(scores(low))), lambda best: F.when(best["n"] > 0, best["category"]).otherwise("other"))
 
 
 def first_line(text: Column) -> Column:

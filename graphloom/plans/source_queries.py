@@ -49,7 +49,7 @@ FRAMES = "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN ' ' ELSE text END ||
 WITH f AS ({FRAMES}), w AS (SELECT conv_id, string_agg(text, '\n\n' ORDER BY turn) AS text FROM f WHERE trim(text) <> '' GROUP BY conv_id),
 i AS (SELECT conv_id, text, coalesce(list_filter(list_transform(string_split(text, '\n'), lambda x: trim(x)), lambda x: length(x) > 3)[1], '') AS title FROM w)
 SELECT conv_id AS video_id, '{P.VIDEO_URL}' || conv_id AS url, CASE WHEN title <> '' THEN substring(title, 1, 100) ELSE CAST(conv_id AS VARCHAR) END AS theme, title AS topic, (SELECT CASE WHEN s.n > 0 THEN s.c ELSE 'other' END FROM (SELECT list_max([{scores}]) AS s)) AS category, substring(text, 1, 500) AS preview,
-{WORDS_SQL.format(c='text')} AS word_count, array_to_string(regexp_extract_all(text, '{P.TEXT_URL}')[1:5], ' ') AS urls, array_to_string(list_sort(list_distinct(list_concat({', '.join(f"regexp_extract_all(text, '{p}', 1)" for p in P.TOOL_NAMES)})))[1:5], ' ') AS tools, 'ocr_frame_extraction' AS origin, DATE '2024-02-01' AS processed_at FROM i""")
+{WORDS_SQL.format(c='text')} AS word_count, array_to_string(regexp_extract_all(text, '{P.TEXT_URL}')[1:5], ' ') AS urls, array_to_string(list_sort(list_distinct(list_concat({', '.join(f"regexp_extract_all(text, '{p}', 1)" for p in P.TOOL_NAMES)})))[1:5], ' ') AS tools, 'ocr_frame_extraction' AS origin, '2024-02-01' AS processed_at FROM i""")
 def s15(spark, d):
     """Conversations as videos, their turns as frames: every third frame is blank, the others name tools and addresses."""
     return S.ocr_entry(selected(spark, d, FRAMES, "conversations"), "conv_id", ["turn"], "2024-02-01").withColumn("urls", F.array_join("urls", " ")).withColumn("tools", F.array_join("tools", " "))

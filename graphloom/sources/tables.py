@@ -117,5 +117,5 @@ def ocr_entry(frames: DataFrame, group: str, order: list[str], as_of: str, text:
         "info.urls",
         "info.tools",
         F.lit("ocr_frame_extraction").alias("origin"),
-        F.lit(as_of).cast("date").alias("processed_at"),
+        F.lit(as_of).alias("processed_at"),
     )

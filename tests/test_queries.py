@@ -190,3 +190,12 @@ def test_merge_entities(spark):
     one = got[1]
     assert one["description"] == "old | new" and [tuple(w) for w in one["web_info"]] == [("s", "u"), ("y", ""), ("x", "")] and one["tools"] == ["Git", "B"] and one["tags"] == ["p", "q"]
     assert (one["confidence"], one["version"], one["content_type"]) == (0.7, 2, "tool") and got[2]["content_type"] == "unknown" and got[2]["description"] is None
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_tokens(spark):
+    rng = random.Random(13)
+    base = rng.sample(range(10_000), 300)
+    sets = [base, *([*base[n:], *rng.sample(range(10_000, 20_000), n)] for n in (0, 1, 5, 20, 150))]
+    bits = [r["bits"] for r in spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, tokens array<int>").select("id", resolve.parities("tokens").alias("bits")).orderBy("id").collect()]
+    differ = [sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(bits[0], b)) for b in bits]
+    assert all(d <= len({*base} ^ {*s}) for d, s in zip(differ, sets)) and differ[1] == 0 and differ[-1] > 60  # so far over 2 * 300 - 2 * 0.9 / 1.9 * 600 = 31

@@ -199,3 +199,52 @@ def test_parities_differ_in_no_more_bits_than_sets_in_tokens(spark):
     bits = [r["bits"] for r in spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, tokens array<int>").select("id", resolve.parities("tokens").alias("bits")).orderBy("id").collect()]
     differ = [sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(bits[0], b)) for b in bits]
     assert all(d <= len({*base} ^ {*s}) for d, s in zip(differ, sets)) and differ[1] == 0 and differ[-1] > 60  # so far over 2 * 300 - 2 * 0.9 / 1.9 * 600 = 31
+
+
+def joined_rows(df):
+    """The most rows that a join or generator of a query has put out."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name, below = node.nodeName(), node.children()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [below.apply(i) for i in range(below.length())]
+    return most
+
+
+def test_graph_similarity_pairs_texts_not_copies(spark):
+    rng = random.Random(14)
+    words = ["red", "blue", "hot", "bolt", "ring", "a"]
+    old = [(i, " ".join(rng.choices(words, k=2)), rng.choice([None, "", "blue ring", "hot"])) for i in range(400)]
+    new = [(i, rng.choice(["red", "Blue ring", "hot bolt", "ring", "a", None])) for i in range(300)]
+    base, asked = spark.createDataFrame(old, "id int, name string, description string"), spark.createDataFrame(new, "id int, name string")
+    found = resolve.graph_similarity(asked, base, base.where("id % 3 > 0").select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    parts = lambda *c: {w for w in " ".join(x for x in c if x is not None).lower().split(" ")}
+    want = {}
+    for q, name in new:
+        near = [(-len(parts(name) & parts(n, d)), i, d or "") for i, n, d in old if name and i % 3 and {w for w in parts(name) & parts(n, d) if len(w) > 2}]
+        hit = [i for _, i, d in sorted(near)[:5] if name.lower() in d or d and d[:20] in name.lower()]
+        want |= {q: min(hit)} if hit else {}
+    assert {r["query_id"]: r["base_id"] for r in found.collect()} == want and want
+    assert joined_rows(found) < 3000  # pairs of rows with a common word: over 20,000
+
+
+def test_fulltext_search_pairs_token_sets_not_copies(spark):
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(7)]
+    docs = [(i, " ".join(rng.choices(words, k=2))) for i in range(500)]
+    asked = [(i, " ".join(rng.choices([*words, "none"], k=2))) for i in range(200)] + [(900, None), (901, "")]
+    found = search.fulltext_search(spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(docs, "id int, body string"), 12)
+    df = {w: sum(w in b.split() for _, b in docs) for w in words}
+    want = set()
+    for q, text in asked:
+        scores = [(-round(sum(1 / df[w] for w in {*(text or "").split()} & {*b.split()}), 9), i) for i, b in docs if {*(text or "").split()} & {*b.split()}]
+        want |= {(q, i) for _, i in sorted(scores)[:12]}
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == want and len(want) > 1000
+    assert joined_rows(found) < 5000  # pairs of rows with a common token: some 40,000

@@ -248,3 +248,10 @@ def test_fulltext_search_pairs_token_sets_not_copies(spark):
         want |= {(q, i) for _, i in sorted(scores)[:12]}
     assert {(r["query_id"], r["id"]) for r in found.collect()} == want and len(want) > 1000
     assert joined_rows(found) < 5000  # pairs of rows with a common token: some 40,000
+
+
+def test_exact_name_join_deals_out_copies_of_a_name(spark):
+    base = spark.range(4000).coalesce(1).select("id", F.lit("Bolt").alias("name"))
+    found = resolve.exact_name_join(base.where("id % 100 = 0").withColumn("name", F.lower("name")), base)
+    tasks = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == 40 * 4000 and max(tasks) < sum(tasks) / 2  # one task put out all of them

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import names_align, normalize_name
-from .resolve import cosine_of, likely_pairs, ngram_vector, resolve
+from .resolve import cosine_of, ngram_vector, resolve, similar_texts
 
 GOLDEN = "existing_entities array<struct<id string, name string, type string, description string>>, pairs array<struct<id string, category string, query struct<name string, type string, description string>, expected struct<decision string, canonical_id string>>>"
 Materialize = Callable[[DataFrame], DataFrame]
@@ -67,7 +67,7 @@ def resolve_batch(new: DataFrame, existing: DataFrame, materialize: Materialize,
     earlier node of highest score from `similar` on, or NEW. Names without ASCII letters and digits are compared lower-cased. Scores
     compare entities as they came, not as merged.
 
-    Equal names never meet in pairs: their key has one node at most. Scores are found once for different texts (prefix filter).
+    Equal names never meet in pairs: their key has one node at most. Scores are found once for different texts, in blocks.
     """
     against = materialize(resolve(new, existing, edges, merge, similar, candidate))
     text = F.concat_ws(" ", "name", "type", "description")
@@ -77,7 +77,7 @@ def resolve_batch(new: DataFrame, existing: DataFrame, materialize: Materialize,
     nodes = rest.where("id = a").select("a", "key", "name", "text")
     grams = materialize(ngram_vector(nodes, "a"))
     other = grams.withColumnRenamed("a", "b")
-    near = materialize(cosine_of(likely_pairs(grams, other, similar).where("a > b"), grams, other, similar))
+    near = materialize(similar_texts(nodes.select("a", "text"), nodes.select(F.col("a").alias("b"), "text"), similar).where("a > b"))
     names = nodes.select("a", "key", "name")
     named = near.join(names, "a").join(names.select(F.col("a").alias("b"), F.col("key").alias("key_b"), F.col("name").alias("name_b")), "b").where("key <> key_b")
     merges = (F.col("score") >= merge) | names_align(F.col("name"), F.col("name_b"))

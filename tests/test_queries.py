@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -255,3 +256,21 @@ def test_exact_name_join_deals_out_copies_of_a_name(spark):
     found = resolve.exact_name_join(base.where("id % 100 = 0").withColumn("name", F.lower("name")), base)
     tasks = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(tasks) == 40 * 4000 and max(tasks) < sum(tasks) / 2  # one task put out all of them
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, k):
+    monkeypatch.setattr(resolve, "LEFT_ROWS", 7)
+    monkeypatch.setattr(resolve, "RIGHT_ROWS", 11)
+    rng = random.Random(16)
+    words = ["red", "blue", "hot", "bolt", "ring", "x1"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60)] + ["", "--", "q" * 3000]
+    rows = [(f"id{i:02d}", t) for i, t in enumerate(texts)]
+    got = [(r["a"], r["b"], r["score"]) for r in resolve.similar_texts(spark.createDataFrame(rows, "a string, text string"), spark.createDataFrame(rows, "b string, text string"), 0.6, k).collect()]
+    grams = {i: Counter(s[j : j + n] for s in [t.replace(" ", "").replace("-", "")] for n in (1, 2, 3) for j in range(len(s) - n + 1)) for i, t in rows}
+    norm = {i: sum(n * n for n in c.values()) ** 0.5 for i, c in grams.items()}
+    want = set()
+    for a in grams:
+        close = sorted((-s, b) for b in grams if norm[a] and norm[b] and (s := sum(n * grams[b][g] for g, n in grams[a].items()) / (norm[a] * norm[b])) >= 0.6)
+        want |= {(a, b, -s) for s, b in close[:k]}
+    assert want <= {*got} and len(got) == len({*got}) and all(s >= 0.6 for *_, s in got) and (k or {*got} == want) and len(want) > 100

@@ -143,12 +143,15 @@ def project_outbox(events: DataFrame, state: str, checkpoint: str, buckets: int
 
 
 def in_slices(log: DataFrame, folder: str, slices: int = 4, at: str = "ts") -> DataFrame:
-    """The event log as a stream of micro-batches, each a stretch of time, written one after the other as a log would be."""
+    """The event log as a stream of micro-batches, each a stretch of time, written one after the other as a log would be. A slice is as many
+    files as the session has cores, and a micro-batch takes as many, so their number doesn't depend on how the log lies in files."""
+    spark = log.sparkSession
+    files = spark.sparkContext.defaultParallelism
     first, last = log.agg(F.min(at), F.max(at)).first()
     for i in range(slices):
         begin, end = (F.lit(first + (last - first) * k / slices) for k in (i, i + 1))
-        log.where((F.col(at) >= begin) & ((F.col(at) < end) | F.lit(i + 1 == slices))).write.parquet(f"{folder}/{i}")
-    stream = log.sparkSession.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+        log.where((F.col(at) >= begin) & ((F.col(at) < end) | F.lit(i + 1 == slices))).repartition(files).write.parquet(f"{folder}/{i}")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
     return stream.withColumn(at, F.col(at).cast("timestamp"))
 
 

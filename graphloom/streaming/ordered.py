@@ -18,46 +18,73 @@ Fold = Callable[[tuple | None, list[tuple[int, int, bool]], int], tuple[tuple |
 
 
 class InOrder(StatefulProcessor):
-    """Folds the rows of a key in the order of (ms, n)."""
+    """Folds the rows of each key in the order of (ms, n). It is given buckets of keys, so state is fetched and stored once for all keys of a
+    bucket, not once a key; a bucket has one timer, the earliest of its keys."""
 
     def __init__(self, fold: Fold, state: str, columns: list[str]):
         self.fold, self.schema, self.columns = fold, state, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, n long, flag boolean")
-        self.state = handle.getValueState("state", self.schema)
+        self.waiting = handle.getListState("waiting", "id string, ms long, n long, flag boolean")
+        self.states = handle.getListState("states", f"id string, again long, {self.schema}")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def set_timer(self, at: int | None) -> None:
+        """The bucket's timer goes to `at` unless it stands earlier."""
+        stands = self.timer.get()[0] if self.timer.exists() else None
+        if at is None or stands is not None and stands <= at:
+            return
+        if stands is not None:
+            self.handle.deleteTimer(stands)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(m), int(n), bool(f)) for frame in rows for m, n, f in zip(frame["ms"], frame["n"], frame["flag"])]
+        new = [(i, int(m), int(n), bool(f)) for frame in rows for i, m, n, f in zip(frame["id"], frame["ms"], frame["n"], frame["flag"])]
         self.waiting.appendList(new)
-        self.handle.registerTimer(min(new)[0])
+        self.set_timer(min(m for _, m, _, _ in new))
         yield pd.DataFrame([], columns=[*self.columns])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        held = sorted((int(m), int(n), bool(f)) for m, n, f in self.waiting.get())
-        ready, later = [r for r in held if r[0] <= upto], [r for r in held if r[0] > upto]
-        state, out, again = self.fold(self.state.get() if self.state.exists() else None, ready, upto)
-        if ready:
+        ready: dict[str | None, list[tuple[int, int, bool]]] = {}
+        later, n_held = [], 0
+        for i, m, n, f in self.waiting.get():
+            n_held += 1
+            if m <= upto:
+                ready.setdefault(i, []).append((int(m), int(n), bool(f)))
+            else:
+                later.append((i, int(m), int(n), bool(f)))
+        known = {i: (again, tuple(state)) for i, again, *state in self.states.get()}
+        due = ready.keys() | {i for i, (again, _) in known.items() if again is not None and again <= upto}
+        put_out = []
+        for i in due:
+            state, out, again = self.fold(known[i][1] if i in known else None, sorted(ready.get(i, [])), upto)
+            known[i] = (again, tuple(state))
+            put_out += [(i, *row) for row in out]
+        if len(later) < n_held:
             self.waiting.put(later) if later else self.waiting.clear()
-        if state is not None:
-            self.state.update(state)
-        for at in {later[0][0]} if later else set():
-            self.handle.registerTimer(at)
-        if again is not None:
-            self.handle.registerTimer(again)
-        yield pd.DataFrame([(*key, *row) for row in out], columns=self.columns)
+        if due:
+            self.states.put([(i, again, *state) for i, (again, state) in known.items()])
+        self.timer.clear()
+        self.set_timer(min([m for _, m, _, _ in later] + [again for again, _ in known.values() if again is not None], default=None))
+        yield pd.DataFrame(put_out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def in_order(rows: DataFrame, key: str, fold: Fold, state: str, output: str, late: str) -> DataFrame:
-    """rows (key, ts, n, flag) as a stream, up to `late` out of order -> what the fold puts out, as `output` (the key first)."""
-    timed = rows.withWatermark("ts", late).select(key, "ts", "n", "flag", F.unix_millis("ts").alias("ms"))
+def in_order(rows: DataFrame, key: str, fold: Fold, state: str, output: str, late: str, buckets: int = 1024) -> DataFrame:
+    """rows (key, ts, n, flag) as a stream, up to `late` out of order -> what the fold puts out, as `output` (the key first). Keys are dealt
+    into `buckets` by their hash; a task holds the rows in wait and the states of one bucket at a time."""
+    timed = rows.withWatermark("ts", late).withColumn("id", F.col(key).cast("string"))
+    timed = timed.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "ts", "id", "n", "flag", F.unix_millis("ts").alias("ms"))
     columns = [part.split()[0] for part in output.split(", ")]
-    return timed.groupBy(key).transformWithStateInPandas(InOrder(fold, state, columns), outputStructType=output, outputMode="append", timeMode="EventTime")
+    kind = output.split(", ")[0].split()[1]
+    plain = ", ".join([f"{columns[0]} string", *output.split(", ")[1:]])
+    out = timed.groupBy("bucket").transformWithStateInPandas(InOrder(fold, state, columns), outputStructType=plain, outputMode="append", timeMode="EventTime")
+    return out.withColumn(columns[0], F.col(columns[0]).cast(kind))
 
 
 @contextlib.contextmanager

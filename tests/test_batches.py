@@ -125,6 +125,29 @@ def test_stream_rows_out_of_order(spark, tmp_path):
     assert {tuple(r) for r in got} == want and {r["accepted"] for r in got} == {True, False}
 
 
+def test_slices_are_micro_batches_however_many_files_the_log_has(spark, tmp_path):
+    begin = datetime(2024, 1, 1)
+    log = spark.createDataFrame([(i, begin + timedelta(minutes=i)) for i in range(2000)], "n long, ts timestamp").repartition(23)
+    sizes = []
+    stream = jobs.in_slices(log, f"file://{tmp_path}/log")
+    stream.writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count())).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) == 4 and sum(sizes) == 2000
+
+
+def test_state_is_stored_once_a_bucket(spark, tmp_path):
+    begin = datetime(2024, 1, 1)
+    rows = [(i, begin + timedelta(seconds=i), None if i % 300 == 7 else i % 300, True) for i in range(900)] + [(900, begin + timedelta(days=1), 0, True)]
+    spark.createDataFrame(rows, "n long, ts timestamp, user long, flag boolean").coalesce(1).write.parquet(f"file://{tmp_path}/log")
+    log = spark.readStream.schema("n long, ts timestamp, user long, flag boolean").parquet(f"file://{tmp_path}/log")
+    with ordered.state_with_timers(spark):
+        stream = ordered.in_order(log, "user", ordered.accepted(2, 3600), "recent array<long>", "user long, n long, accepted boolean", "1 minute", 4)
+        query = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert 0 < sum(o["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for o in p["stateOperators"]) < 20
+    got = {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {(u, n, n < 600) for n, _, u, _ in rows[:900]}
+
+
 def test_reset_of_stale_jobs(spark):
     now = datetime(2024, 1, 1)
     table = spark.createDataFrame([(1, "processing", now - timedelta(seconds=601), 0), (2, "processing", now - timedelta(seconds=600), 4), (3, "done", now - timedelta(days=1), 1), (4, "processing", None, 0)], "job_id long, status string, heartbeat timestamp, attempt int")

@@ -17,16 +17,18 @@ WORDS = r"[^\p{L}\p{N}_]+"
 def detect_entities(chunks: DataFrame, gazetteer: DataFrame, most: int = 40, longest: int = 3, max_broadcast_rows: int = 200_000) -> DataFrame:
     """D01. chunks (doc_id, chunk, text), gazetteer (term, type, confidence) -> doc_id, chunk, name, type, confidence.
 
-    Every run of one to `longest` words is looked up in the gazetteer by a hash join; per document the first `most` names stay.
+    Every run of words as long as a term of the gazetteer, `longest` at most, is looked up in it by a hash join; runs are made within a
+    text's row, each once, so only hits are shuffled. Per document the first `most` names stay.
     """
-    words = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
-    placed = chunks.select("doc_id", "chunk", F.posexplode(words).alias("at", "w1"))
-    by = Window.partitionBy("doc_id", "chunk").orderBy("at")
-    placed = placed.select("doc_id", "chunk", "w1", *[F.lead("w1", n).over(by).alias(f"w{n + 1}") for n in range(1, longest)])
-    runs = [F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)])) for n in range(1, longest + 1)]
-    found = placed.select("doc_id", "chunk", F.explode(F.array_compact(F.array(*runs))).alias("term"))
     terms = gazetteer.where(F.length("term") >= 3)
-    terms = F.broadcast(terms) if terms.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows else terms
+    n_words = F.size(F.split("term", " "))
+    seen = terms.where(n_words <= longest).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(n_words)).alias("sizes")).first()  # `longest` numbers at most
+    words = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice("words", i, n), " "))
+    runs = [F.col("words") if n == 1 else F.when(F.size("words") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in seen["sizes"]]
+    split = chunks.select("doc_id", "chunk", words.alias("words"))
+    found = split.select("doc_id", "chunk", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("term"))
+    terms = F.broadcast(terms) if seen["n"] <= max_broadcast_rows else terms
     hits = found.join(terms, "term").groupBy("doc_id", F.col("term").alias("name")).agg(F.min("chunk").alias("chunk"), F.max(F.struct("confidence", "type")).alias("best"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk", "name"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "chunk", "name", F.col("best.type").alias("type"), F.col("best.confidence").alias("confidence"))
@@ -71,21 +73,31 @@ def merge_detectors(*sources: DataFrame) -> DataFrame:
 
 def validate_mentions(mentions: DataFrame, captions: DataFrame, generic: list[str], least: int = 2) -> DataFrame:
     """D06. mentions (doc_id, name), captions (doc_id, caption): names that stand in the caption, not within another name; all of a document if fewer than `least` would stay."""
-    low = F.lower("name")
-    rows = mentions.join(captions, "doc_id", "left")
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), low, F.lit(r"\E(?![\p{L}\p{N}_])"))
-    sound = ~F.col("name").rlike(P.EMAIL) & ~any_of(low, P.PROGRESS_MARKER) & ~low.isin(generic)
-    ok = rows.withColumn("ok", F.when(F.col("caption").isNull(), True).otherwise(sound & F.regexp_like(F.lower("caption"), pattern)))
-    kept = ok.where("ok").select("doc_id", F.col("name").alias("other"))
-    inside = ok.join(kept, "doc_id").where((F.length("other") > F.length("name")) & F.contains(F.lower("other"), low) & F.col("caption").isNotNull()).select("doc_id", "name").distinct().withColumn("inside", F.lit(True))
-    final = ok.join(inside, ["doc_id", "name"], "left").withColumn("keep", F.col("ok") & F.col("inside").isNull())
-    return final.withColumn("n_keep", F.sum(F.col("keep").cast("int")).over(Window.partitionBy("doc_id"))).where(F.col("keep") | (F.col("n_keep") < least)).select("doc_id", "name")
+    names = mentions.groupBy("doc_id").agg(F.collect_list(F.struct("name")).alias("names"))
+    rows = names.join(captions.select("doc_id", F.lower("caption").alias("caption")), "doc_id", "left")  # a caption meets all names of its document at once
+
+    def checked(x: Column) -> Column:
+        low = F.lower(x["name"])
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), low, F.lit(r"\E(?![\p{L}\p{N}_])"))
+        sound = ~x["name"].rlike(P.EMAIL) & ~any_of(low, P.PROGRESS_MARKER) & ~low.isin(generic)
+        there = F.col("caption").isNotNull()
+        return F.struct(x["name"].alias("name"), F.when(~there, True).otherwise(sound & F.contains("caption", low) & F.regexp_like("caption", pattern)).alias("ok"), there.alias("there"))
+
+    every = rows.select("doc_id", F.transform("names", checked).alias("checked")).groupBy("doc_id").agg(F.flatten(F.collect_list("checked")).alias("every"))
+
+    def kept(x: Column) -> Column:
+        within = lambda o: o["ok"] & (F.length(o["name"]) > F.length(x["name"])) & F.contains(F.lower(o["name"]), F.lower(x["name"]))
+        inside = F.exists("every", lambda o: (o["name"] == x["name"]) & o["there"]) & F.exists("every", within)
+        return F.struct(x["name"].alias("name"), F.coalesce(x["ok"] & ~F.coalesce(inside, F.lit(False)), F.lit(False)).alias("keep"))
+
+    final = every.select("doc_id", F.transform("every", kept).alias("names")).withColumn("n_keep", F.size(F.filter("names", lambda x: x["keep"])))
+    return final.select("doc_id", "n_keep", F.explode("names").alias("x")).where(F.col("x.keep") | (F.col("n_keep") < least)).select("doc_id", "x.name")
 
 
 def validate_against_source(mentions: DataFrame, texts: DataFrame) -> DataFrame:
     """D07. mentions (doc_id, name, confidence), texts (doc_id, text, weak): found names gain 0.1, on weak transcripts others halve and must stay over 0.5."""
-    rows = mentions.join(texts, "doc_id", "left")
-    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = mentions.join(texts.withColumn("text", F.lower("text")), "doc_id", "left")  # lower case once a text, not once a name
+    low = F.coalesce("text", F.lit(""))
     some_word = F.exists(F.filter(F.split(F.lower("name"), " "), lambda w: F.length(w) > 3), lambda w: F.contains(low, w))
     found = F.contains(low, F.lower("name")) | some_word
     confidence = F.when(found, F.least(F.lit(1.0), F.col("confidence") + 0.1)).when(F.coalesce("weak", F.lit(False)), F.col("confidence") * 0.5).otherwise(F.col("confidence"))
@@ -130,14 +142,14 @@ def fuzzy_to_known(names: DataFrame, known: DataFrame, least: float = 0.85) -> D
 def check_hallucination(mentions: DataFrame, texts: DataFrame, least: float = 0.75, aliases: DataFrame | None = None) -> DataFrame:
     """D08. mentions (doc_id, name), texts (doc_id, text), aliases (name, alias) -> doc_id, name, status (exact, alias, fuzzy, suspected),
     ratio, and the document's confidence: the share of its names that aren't suspected."""
-    rows = mentions.join(texts, "doc_id")
+    rows = mentions.join(texts.select("doc_id", F.lower("text").alias("text")), "doc_id")  # lower case once a text, not once a name
     if aliases is not None:
         known = aliases.groupBy(F.lower("name").alias("k")).agg(F.collect_set(F.lower("alias")).alias("aliases"))
         rows = rows.join(known, F.lower("name") == F.col("k"), "left").drop("k")
     else:
         rows = rows.withColumn("aliases", F.lit(None).cast("array<string>"))
-    by_alias = F.coalesce(F.exists("aliases", lambda x: F.contains(F.lower("text"), x)), F.lit(False))
-    exact = rows.withColumn("is_name", F.contains(F.lower("text"), F.lower("name"))).withColumn("exact", F.col("is_name") | by_alias)
+    by_alias = F.coalesce(F.exists("aliases", lambda x: F.contains("text", x)), F.lit(False))
+    exact = rows.withColumn("is_name", F.contains("text", F.lower("name"))).withColumn("exact", F.col("is_name") | by_alias)
     n = F.size(F.split(F.trim("name"), r"\s+"))
     left = exact.where("NOT exact").withColumn("n", n)
     words = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
@@ -166,8 +178,8 @@ def post_validate(entities: DataFrame, texts: DataFrame, least: float = 0.3) ->
     """D10. entities (doc_id, ord, name, confidence): clean names, the first of equals, then confidence, then presence in the text."""
     clean = entities.withColumn("clean", clean_entity_name(F.col("name"))).where("clean IS NOT NULL")
     first = clean.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", F.lower("clean")).orderBy("ord"))).where("rn = 1")
-    rows = first.where(F.coalesce("confidence", F.lit(0.0)) >= least).join(texts, "doc_id", "left")
-    low, text = F.lower("clean"), F.lower(F.coalesce("text", F.lit("")))
+    rows = first.where(F.coalesce("confidence", F.lit(0.0)) >= least).join(texts.withColumn("text", F.lower("text")), "doc_id", "left")
+    low, text = F.lower("clean"), F.coalesce("text", F.lit(""))
     word = F.exists(F.filter(F.split(low, " "), lambda w: F.length(w) > 3), lambda w: F.contains(text, w))
     return rows.where((text == "") | (F.length(low) <= 3) | F.contains(text, low) | word).select("doc_id", F.col("clean").alias("name"), "confidence")
 

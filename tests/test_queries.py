@@ -274,3 +274,28 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch, k):
         close = sorted((-s, b) for b in grams if norm[a] and norm[b] and (s := sum(n * grams[b][g] for g, n in grams[a].items()) / (norm[a] * norm[b])) >= 0.6)
         want |= {(a, b, -s) for s, b in close[:k]}
     assert want <= {*got} and len(got) == len({*got}) and all(s >= 0.6 for *_, s in got) and (k or {*got} == want) and len(want) > 100
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_detection_makes_runs_in_the_row(spark):
+    texts = spark.createDataFrame([(1, 0, "Big red ring, red  ring big"), (2, 0, "ring"), (3, 0, None), (4, 0, ""), (2, 1, "a red ring")], "doc_id long, chunk long, text string")
+    terms = spark.createDataFrame([("ring", "x", 0.5), ("red ring", "y", 0.6), ("red ring big", "z", 0.7), ("ring red", "n", 0.1), ("ring big red ring", "n", 0.1), ("a", "n", 0.1)], "term string, type string, confidence double")
+    found = entities.detect_entities(texts, terms)
+    assert {tuple(r) for r in found.collect()} == {(1, 0, "red ring", "y", 0.6), (1, 0, "red ring big", "z", 0.7), (1, 0, "ring", "x", 0.5), (1, 0, "ring red", "n", 0.1), (2, 0, "ring", "x", 0.5), (2, 1, "red ring", "y", 0.6)}
+    assert plan_of(found).count("Window [") == 1  # the rank; words in order need none
+    assert entities.detect_entities(texts, terms.where("false")).count() == 0
+
+
+def test_names_meet_a_caption_once(spark):
+    names = spark.createDataFrame([(1, "ring"), (1, "red ring"), (1, "ring"), (1, "rin"), (2, "bolt"), (2, "nut"), (3, "odd"), (3, None), (None, "lost"), (4, "key"), (4, "keyring"), (4, "lock")], "doc_id long, name string")
+    captions = spark.createDataFrame([(1, "A Red Ring and RING"), (2, "bolts"), (4, "key keyring"), (4, "LOCK")], "doc_id long, caption string")
+    checked = entities.validate_mentions(names, captions, [])
+    want = [(None, "lost"), (1, "rin"), (1, "red ring"), (1, "ring"), (1, "ring"), (2, "bolt"), (2, "nut"), (3, None), (3, "odd"), (4, "keyring"), (4, "lock")]
+    assert Counter(map(tuple, checked.collect())) == Counter(want)
+    assert plan_of(checked).count("Join") == 1
+    texts = spark.createDataFrame([(1, "A Red Ring"), (4, None)], "doc_id long, text string")
+    for df in (entities.check_hallucination(names, texts), entities.post_validate(names.withColumn("ord", F.lit(1)).withColumn("confidence", F.lit(0.9)), texts)):
+        assert "lower(text" in plan_of(df).split("Join")[-1]  # below the join

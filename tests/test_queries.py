@@ -299,3 +299,31 @@ def test_names_meet_a_caption_once(spark):
     texts = spark.createDataFrame([(1, "A Red Ring"), (4, None)], "doc_id long, text string")
     for df in (entities.check_hallucination(names, texts), entities.post_validate(names.withColumn("ord", F.lit(1)).withColumn("confidence", F.lit(0.9)), texts)):
         assert "lower(text" in plan_of(df).split("Join")[-1]  # below the join
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_vectors_meet_in_blocks(spark, most):
+    draw = random.Random(5)
+    vectors = [[draw.gauss(0, 1) for _ in range(7)] for _ in range(60)]
+    vectors += [vectors[3]] * 30 + [[x * 2 for x in vectors[4]]] * 5 + [[0.0] * 7, None, [None] + [1.0] * 6, [1.0, 2.0], [2.0, 4.0]]
+    rows = [(i, i % 2, v) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    asked, k, least = [r for r in rows if r[0] % 3 == 0 or r[0] > 95], 4, 0.3
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y) or None in x + y or not any(x) or not any(y):
+            return None
+        dots = [0.0, 0.0, 0.0]
+        for a, b in zip(x, y):
+            dots = [dots[0] + a * b, dots[1] + a * a, dots[2] + b * b]
+        return dots[0] / (dots[1] ** 0.5 * dots[2] ** 0.5)
+
+    for on in (None, ["label"]):
+        want = set()
+        for q, label, x in asked:
+            scores = sorted((-s, b) for b, other, y in rows if (on is None or label == other) and (s := cosine(x, y)) is not None and s >= least)[:k]
+            want |= {(q, b, -s, n + 1) for n, (s, b) in enumerate(scores)}
+        queries = table.where(F.col("id").isin([r[0] for r in asked])).withColumnRenamed("id", "query_id")
+        found = resolve.knn_join(queries, table.withColumnRenamed("id", "base_id"), k, least, on, most)
+        assert "MapInArrow" in plan_of(found) and "zip_with(qv" not in plan_of(found)
+        assert {tuple(r) for r in found.collect()} == want

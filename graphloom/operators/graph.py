@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+TASK_ROWS = 1_000_000  # that a task sorts or counts at once
+
+
+def pair_tasks(mentions: DataFrame) -> tuple[int, int]:
+    """Of mentions (chunk, entity): how many tasks their rows and how many the pairs within a chunk are dealt out to."""
+    fewest = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = F.col("n").cast("double")
+    rows, pairs = mentions.groupBy("chunk").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(n), F.lit(0.0)), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))).first()
+    return max(fewest, int(rows // TASK_ROWS) + 1), max(fewest, int(pairs // TASK_ROWS) + 1)
+
+
 def cooccurrence_edges(mentions: DataFrame, least: int = 1) -> DataFrame:
-    """J07. mentions (chunk, entity) -> a, b (a < b), n: chunks that hold both. Triangle join on the chunk."""
-    m = mentions.select("chunk", "entity").distinct()
+    """J07. mentions (chunk, entity) -> a, b (a < b), n: chunks that hold both. Triangle join on the chunk; the number of tasks grows with
+    the rows and pairs, so that what one of them holds doesn't."""
+    own, paired = pair_tasks(mentions)
+    m = mentions.select("chunk", "entity").repartition(own, "chunk").distinct()
     pairs = m.toDF("chunk", "a").join(m.toDF("chunk", "b"), "chunk").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return pairs.select("a", "b").repartition(paired, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def relationship_edges(rels: DataFrame, entities: DataFrame) -> DataFrame:
@@ -39,12 +52,15 @@ def related(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """J12. nodes (id, topic), edges (src, dst, rel_type), taken either way -> the distinct edges around the nodes, with those to topics."""
+def neighborhood(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """J12. nodes (id, topic), edges (src, dst, rel_type), taken either way -> the distinct edges around the nodes, with those to topics. Edges
+    are dealt out to `tasks`, if given, before repeats are found."""
     own = nodes.select("id")
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
     around = edges.join(own.toDF("src"), "src", "left_semi").unionByName(edges.join(own.toDF("dst"), "dst", "left_semi"))
     topics = nodes.where("topic IS NOT NULL").select(F.col("id").cast("string").alias("src"), F.col("topic").alias("dst"), F.lit("BELONGS_TO").alias("rel_type"))
-    return around.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "rel_type").unionByName(topics).distinct()
+    around = around.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "rel_type").unionByName(topics)
+    return dealt(around, "src", "dst").distinct()
 
 
 def reconcile(entities: DataFrame, nodes: DataFrame, points: DataFrame) -> DataFrame:
@@ -67,11 +83,13 @@ def isolated(entities: DataFrame, links: DataFrame, edges: DataFrame) -> DataFra
     return entities.join(links.select("id"), "id", "left_anti").join(edges.select(F.col("src").alias("id")).union(edges.select("dst")), "id", "left_anti")
 
 
-def merge_nodes(edges: DataFrame, leaders: DataFrame) -> DataFrame:
-    """J20. Edges with members replaced by their leader, without self-edges and repeats; weight is the sum."""
+def merge_nodes(edges: DataFrame, leaders: DataFrame, tasks: int | None = None) -> DataFrame:
+    """J20. Edges with members replaced by their leader, without self-edges and repeats; weight is the sum. Edges are dealt out to `tasks`,
+    if given, before they are summed."""
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
     moved = edges.join(leaders.toDF("src", "ls"), "src", "left").join(leaders.toDF("dst", "ld"), "dst", "left")
     moved = moved.select(F.coalesce("ls", "src").alias("src"), F.coalesce("ld", "dst").alias("dst"), "weight").where("src <> dst")
-    return moved.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return dealt(moved, "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

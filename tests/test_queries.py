@@ -327,3 +327,19 @@ def test_vectors_meet_in_blocks(spark, most):
         found = resolve.knn_join(queries, table.withColumnRenamed("id", "base_id"), k, least, on, most)
         assert "MapInArrow" in plan_of(found) and "zip_with(qv" not in plan_of(found)
         assert {tuple(r) for r in found.collect()} == want
+
+
+def test_tasks_grow_with_pairs(spark, monkeypatch):
+    from graphloom.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_ROWS", 10)
+    mentions = spark.createDataFrame([(c, e) for c in range(20) for e in range(c, c + 4)] + [(1, 1), (None, 1), (None, 2)], "chunk long, entity long")
+    assert graph.pair_tasks(mentions) == (9, 13) and graph.pair_tasks(mentions.limit(0)) == (4, 4)
+    pairs = graph.cooccurrence_edges(mentions)
+    assert "13" in pairs._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].split("\n")[0]
+    assert {tuple(r) for r in pairs.collect()} == {(a, a + d, min(n, a + 1, 23 - a - d) if d else 0) for a in range(23) for d, n in ((1, 3), (2, 2), (3, 1)) if a + d < 23}
+    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("weight"))
+    leaders = spark.createDataFrame([(i, i - i % 3) for i in range(20)], "id long, leader long")
+    nodes = leaders.select("id", F.lit("t").alias("topic")).where("id < 5")
+    for one, other in ((graph.merge_nodes(edges, leaders), graph.merge_nodes(edges, leaders, 7)), (graph.neighborhood(nodes, edges.withColumn("rel_type", F.lit("x"))), graph.neighborhood(nodes, edges.withColumn("rel_type", F.lit("x")), 7))):
+        assert {tuple(r) for r in one.collect()} == {tuple(r) for r in other.collect()}

@@ -9,8 +9,9 @@ verified by banded alignment, which fills only the cells that such a pair can re
 Exact copies (equal word sequences) are one text from the start. Texts that share a sketch aren't compared all with all: each
 is compared with the first text of the bucket, and then, as long as buckets hold several components, with another text of the
 finer buckets that 2, 4, 8 and at last all equal sketches make, three ways for each sketch to choose them. That stays linear in
-the bucket; texts that are similar share about half of all sketches, so they meet in many buckets. Classes are the connected
-components of the links. A class with more than one in `FREQUENT` of all texts gets its number by broadcast (of fewer than
+the bucket; texts that are similar share about half of all sketches, so they meet in many buckets. What sketches leave out is found
+through windows of words (shared_windows.py): every pair of texts in different classes that can be linked is aligned too. Classes are
+the connected components of all links. A class with more than one in `FREQUENT` of all texts gets its number by broadcast (of fewer than
 `FREQUENT` rows), so its texts never gather in one task.
 
 Nulls and odd input: a null text and a text without words are alone in their class. A text with fewer words than k has one
@@ -33,6 +34,7 @@ from pyspark.sql.types import BinaryType, StructType
 from .align import edit_distance
 from .common import WordCodes, discard, materialize, mix64, shingles, sliced
 from .graph import components
+from .shared_windows import candidates, packed, unpacked
 
 
 FREQUENT = 4096  # a class of more than one in as many texts is frequent, so there are fewer than as many frequent classes
@@ -70,6 +72,12 @@ def order_sketches(codes: np.ndarray, k: int, picked: int, sketches: int) -> np.
     return out.view(np.int64)
 
 
+def count_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the sum over all words by how much their numbers differ; an edit adds no more than two to that."""
+    count = lambda c: np.bincount(c & 1023, minlength=1024)
+    return int(np.abs(count(x) - count(y)).sum())
+
+
 def sketched(docs: DataFrame, k: int, picked: int, sketches: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCodes()
@@ -113,6 +121,15 @@ def still_mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(placed.join(mixed, "value"), "mixed")
 
 
+def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots with further links, in place of the table they are in."""
+    if links.isEmpty():
+        return roots
+    out = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "roots")
+    discard(roots)
+    return out
+
+
 def numbered_classes(texts: DataFrame, roots: DataFrame) -> DataFrame:
     """content, class_id and class_content (the class's smallest document) of each text."""
     of_text = texts.select("content", "doc_id").join(roots, F.col("content") == F.col("node"), "left").withColumn("root", F.coalesce("root", "content"))
@@ -136,8 +153,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, picked:
     members = texts.select("content", "doc_id", "n_words", "sketches", F.posexplode("sketches").alias("slot", "value")).withColumn("value", F.xxhash64("slot", "value"))
     crowded = members.groupBy("value").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("value")
     members = materialize(members.join(crowded, "value"), "members")
-    involved = members.select("content").distinct()
-    codes = materialize(coded(docs).join(involved, "content", "left_semi").groupBy("content").agg(F.first("codes").alias("codes")), "codes")
+    every = materialize(coded(docs).groupBy("content").agg(F.first("codes").alias("codes")), "every")
+    codes = materialize(every.join(members.select("content").distinct(), "content", "left_semi"), "codes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -145,17 +162,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, picked:
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 most = int((1 - threshold) * max(len(x), len(y)) + 1e-9)
-                found.append(edit_distance(x, y, most) <= most)
+                found.append(count_difference(x, y) <= 2 * most and edit_distance(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, codes: DataFrame) -> DataFrame:
         size = texts.select("content", "n_words")
         pairs = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
         pairs = pairs.where(F.abs(F.col("n_a") - F.col("n_b")) <= (1 - threshold) * F.greatest("n_a", "n_b") + 1e-9).select("a", "b")
         both = pairs.join(codes.toDF("a", "codes_a"), "a").join(codes.toDF("b", "codes_b"), "b").select("a", "b", "codes_a", "codes_b")
         return materialize(both.mapInArrow(verify, "a binary, b binary"), "links")
 
-    links = linked(starred(members))
+    links = linked(starred(members), codes)
     roots = materialize(components(links), "roots")
     discard(links)
     mixed, equal = still_mixed(members, roots), 1  # what shares a sketch but no component yet
@@ -166,15 +183,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, picked:
         chosen = [F.element_at("sketches", F.pmod(F.col("slot") + i * F.col("step"), F.lit(sketches)) + 1) for i in range(equal)]
         finer = materialize(finer.withColumn("value", F.xxhash64("slot", "step", *chosen)), "finer")
         discard(mixed)
-        links = linked(starred(finer))
-        if not links.isEmpty():
-            known, roots = roots, materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "roots")
-            discard(known)
+        links = linked(starred(finer), codes)
+        roots = with_links(roots, links)
         mixed = still_mixed(finer.drop("root"), roots)
         for table in (links, finer):
             discard(table)
+    discard(mixed)
+    discard(codes)
+    placed = every.join(roots, F.col("content") == F.col("node"), "left").select("content", F.xxhash64(F.coalesce("root", "content")).alias("root"), "codes")
+    packs = materialize(packed(placed), "packs")
+    discard(every)
+    pairs = candidates(packs, texts.agg(F.sum("n_words")).first()[0] or 0, threshold)
+    codes = materialize(unpacked(packs).join(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "content", "left_semi"), "codes")
+    discard(packs)
+    links = linked(pairs, codes)
+    roots = with_links(roots, links)
     of_text = numbered_classes(texts, roots)
-    for table in (mixed, codes, roots, texts):
+    for table in (links, pairs, codes, roots, texts):
         discard(table)
     own = base.select("doc_id", "content", "n_words").join(of_text, "content", "left")
     alone = F.col("content").isNull()

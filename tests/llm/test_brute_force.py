@@ -235,6 +235,31 @@ def test_near_copies_equal_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_every_link_is_found(spark):
+    """Words are changed at even distances up to the threshold, so few sketches are shared; short texts too, and a passage that all share."""
+    rng = random.Random(77)
+    common = words_of(rng, 30)
+    texts = []
+    for i in range(70):
+        n = rng.choice([5, 6, 9, 10, 11, 15, 24, 40, 90])
+        base = [f"{w}{rng.randint(0, 40)}" for w in words_of(rng, n)] + (common if i % 5 == 0 else [])
+        texts.append(base)
+        for _ in range(rng.randint(1, 2)):
+            copy = list(base)
+            for at in reversed(range(rng.randint(0, 3), len(copy), 5)):
+                copy[at : at + 1] = rng.choice([[], ["other", copy[at]], [f"new{rng.randint(0, 99)}"]])
+            texts.append(copy)
+    rng.shuffle(texts)
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if edit_distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert 40 < len(set(root)) < len(texts) - 30
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(table(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_copies_in_crowded_buckets(spark):
     """Texts of which four fifths are one common passage share buckets without being copies of each other."""
     rng = random.Random(31)

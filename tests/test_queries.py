@@ -343,3 +343,17 @@ def test_tasks_grow_with_pairs(spark, monkeypatch):
     nodes = leaders.select("id", F.lit("t").alias("topic")).where("id < 5")
     for one, other in ((graph.merge_nodes(edges, leaders), graph.merge_nodes(edges, leaders, 7)), (graph.neighborhood(nodes, edges.withColumn("rel_type", F.lit("x"))), graph.neighborhood(nodes, edges.withColumn("rel_type", F.lit("x")), 7))):
         assert {tuple(r) for r in one.collect()} == {tuple(r) for r in other.collect()}
+
+
+def test_aligned_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "TASK_PAIRS", 100, raising=False)
+    monkeypatch.setattr(resolve, "NAME_IDS", 7, raising=False)
+    names = ["docker", "dockr", "kubernetes", "docker compose", "a"]
+    rows = [(i, names[i % 5]) for i in range(100)] + [(0, "dockr"), (3, "kubernets"), (8, "docker compose"), (200, None), (None, "docker")]
+    held = sorted({(i, n) for i, n in rows if i is not None and n})
+    near = {("docker", "dockr"), ("docker", "docker compose"), ("kubernetes", "kubernets")}
+    aligned = lambda x, y: x == y or (x, y) in near or (y, x) in near
+    want = sorted({(i, j) for i, x in held for j, y in held if i < j and aligned(x, y)})
+    got = resolve.aligned_pairs(spark.createDataFrame(rows, "id long, name string"))
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+    assert got.rdd.getNumPartitions() > len(want) // 100

@@ -18,6 +18,11 @@ def pair_tasks(mentions: DataFrame) -> tuple[int, int]:
     return max(fewest, int(rows // TASK_ROWS) + 1), max(fewest, int(pairs // TASK_ROWS) + 1)
 
 
+def row_tasks(rows: DataFrame) -> int:
+    """How many tasks the rows are dealt out to."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_ROWS + 1)
+
+
 def cooccurrence_edges(mentions: DataFrame, least: int = 1) -> DataFrame:
     """J07. mentions (chunk, entity) -> a, b (a < b), n: chunks that hold both. Triangle join on the chunk; the number of tasks grows with
     the rows and pairs, so that what one of them holds doesn't."""

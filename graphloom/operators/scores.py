@@ -29,11 +29,14 @@ def resolution_score(decisions: DataFrame) -> DataFrame:
     return scored.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
 
 
-def entity_match(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """J21. doc_id, name (lower, trimmed), expected, actual: which side has the name."""
-    side = lambda df, c: df.select("doc_id", F.lower(F.trim("name")).alias("name")).distinct().withColumn(c, F.lit(True))
-    both = side(expected, "expected").join(side(actual, "actual"), ["doc_id", "name"], "full_outer")
-    return both.fillna(False, ["expected", "actual"])
+def entity_match(expected: DataFrame, actual: DataFrame, tasks: int | None = None) -> DataFrame:
+    """J21. doc_id, name (lower, trimmed), expected, actual: which side has the name. Both sides' rows are grouped at once, documents
+    dealt out to `tasks`, if given."""
+    side = lambda df, *flags: df.select("doc_id", F.lower(F.trim("name")).alias("name"), *(F.lit(f).alias(c) for f, c in zip(flags, ("expected", "actual"))))
+    rows = side(expected, True, False).unionByName(side(actual, False, True))
+    rows = rows.repartition(tasks, "doc_id") if tasks else rows
+    unlike = F.when(F.col("doc_id").isNull() | F.col("name").isNull(), F.col("expected"))  # nulls equal nothing, so sides stay apart
+    return rows.groupBy("doc_id", "name", unlike.alias("unlike")).agg(F.bool_or("expected").alias("expected"), F.bool_or("actual").alias("actual")).drop("unlike")
 
 
 def extraction_prf(matches: DataFrame) -> DataFrame:

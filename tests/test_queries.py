@@ -357,3 +357,12 @@ def test_aligned_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
     got = resolve.aligned_pairs(spark.createDataFrame(rows, "id long, name string"))
     assert sorted((r["a"], r["b"]) for r in got.collect()) == want
     assert got.rdd.getNumPartitions() > len(want) // 100
+
+
+def test_entity_match_in_tasks(spark):
+    left = spark.createDataFrame([(1, "A "), (1, "a"), (2, "b"), (None, "c"), (3, None)], "doc_id long, name string")
+    right = spark.createDataFrame([(1, "a"), (2, "x"), (None, "c"), (3, None)], "doc_id long, name string")
+    want = [(1, "a", True, True), (2, "b", True, False), (2, "x", False, True), (None, "c", False, True), (None, "c", True, False), (3, None, False, True), (3, None, True, False)]
+    got = scored.entity_match(left, right, 9)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert got.rdd.getNumPartitions() == 9

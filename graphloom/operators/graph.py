@@ -59,10 +59,10 @@ def related(edges: DataFrame, k: int) -> DataFrame:
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """J12. nodes (id, topic), edges (src, dst, rel_type), taken either way -> the distinct edges around the nodes, with those to topics. Edges
-    are dealt out to `tasks`, if given, before repeats are found."""
+    are dealt out to `tasks`, if given, before they meet the nodes and before repeats are found."""
     own = nodes.select("id")
     dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
-    around = edges.join(own.toDF("src"), "src", "left_semi").unionByName(edges.join(own.toDF("dst"), "dst", "left_semi"))
+    around = dealt(edges, "src").join(own.toDF("src"), "src", "left_semi").unionByName(dealt(edges, "dst").join(own.toDF("dst"), "dst", "left_semi"))
     topics = nodes.where("topic IS NOT NULL").select(F.col("id").cast("string").alias("src"), F.col("topic").alias("dst"), F.lit("BELONGS_TO").alias("rel_type"))
     around = around.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "rel_type").unionByName(topics)
     return dealt(around, "src", "dst").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom import plans
 from graphloom.functions import text as T
-from graphloom.operators import chunking, entities, resolve, search
+from graphloom.operators import chunking, entities, graph, resolve, search
 from graphloom.operators import scores as scored
 from graphloom.streaming import jobs
 
@@ -366,3 +366,11 @@ def test_entity_match_in_tasks(spark):
     got = scored.entity_match(left, right, 9)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert got.rdd.getNumPartitions() == 9
+
+
+def test_neighborhood_deals_edges_out_before_they_meet_nodes(spark):
+    edges = spark.createDataFrame([(1, 2, "X"), (2, 3, "X"), (3, 4, "X")], "src long, dst long, rel_type string")
+    got = graph.neighborhood(spark.createDataFrame([(2, "t")], "id long, topic string"), edges, 9)
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "2", "X"), ("2", "3", "X"), ("2", "t", "BELONGS_TO")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("RepartitionByExpression [src" in x or "RepartitionByExpression [dst" in x for x in plan.splitlines()) == 3

@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from .align import edit_distance
-from .common import WordCodes, discard, materialize, mix64, shingles, sliced
+from .common import WordCodes, discard, materialize, mix64, read_block, remove, shingles, sliced, write_by_block
 from .graph import components
-from .shared_windows import candidates, packed, unpacked
+from .shared_windows import candidates, packed
 
 
+BLOCK = 8192  # rows of which one file tells what is wanted of them
 FREQUENT = 4096  # a class of more than one in as many texts is frequent, so there are fewer than as many frequent classes
 
 
@@ -79,6 +80,8 @@ def count_difference(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, k: int, picked: int, sketches: int) -> DataFrame:
+    """doc_id, content, n_words, sketches, a number of the row and its block, and codes (bytes; null for no words) of the documents."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCodes()
         for batch in sliced(batches):
@@ -86,21 +89,36 @@ def sketched(docs: DataFrame, k: int, picked: int, sketches: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "content": pa.array([content_id(c) for c in codes], pa.binary()), "n_words": pa.array([len(c) for c in codes], pa.int64()),
                 "sketches": pa.array([order_sketches(c, k, picked, sketches) if len(c) else [] for c in codes], pa.list_(pa.int64())),
+                "row": batch.column(2), "block": pa.array([r // BLOCK for r in batch.column(2).to_pylist()], pa.int64()),
+                "codes": pa.array([c.tobytes() if len(c) else None for c in codes], pa.binary()),
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, content binary, n_words long, sketches array<bigint>")
+    numbered = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id())  # partition, then 33 bits of place in it
+    return numbered.mapInArrow(sketch, "doc_id long, content binary, n_words long, sketches array<bigint>, row long, block long, codes binary")
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    """content, codes (bytes) of the documents."""
+def codes_of(base: DataFrame, path: str) -> DataFrame:
+    """content, root, codes of the rows (row, root) that write_by_block() wrote; so codes are never shuffled to find them."""
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordCodes()
-        for batch in sliced(batches):
-            codes = [c for c in text_codes(batch.column(0).to_pylist(), words) if len(c)]
-            yield pa.RecordBatch.from_pydict({"content": pa.array([content_id(c) for c in codes], pa.binary()), "codes": pa.array([c.tobytes() for c in codes], pa.binary())})
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, wanted = None, None
+        for batch in batches:
+            rows = batch.column("row").to_numpy()
+            blocks = batch.column("block").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)])).tolist()
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                if blocks[i] != last:
+                    last, wanted = blocks[i], read_block(path, int(blocks[i]))
+                    wanted = {} if wanted is None else dict(zip(wanted["row"].to_pylist(), wanted["root"].to_pylist()))
+                kept = [x for x in range(i, j) if int(rows[x]) in wanted]
+                if kept:
+                    found = batch.take(pa.array(kept))
+                    roots = pa.array([wanted[int(rows[x])] for x in kept], pa.int64())
+                    yield pa.RecordBatch.from_arrays([found.column("content"), roots, found.column("codes")], ["content", "root", "codes"])
 
-    return docs.select("text").mapInArrow(code, "content binary, codes binary")
+    return base.select("row", "block", "content", "codes").mapInArrow(pick, "content binary, root long, codes binary")
 
 
 def starred(members: DataFrame) -> DataFrame:
@@ -148,13 +166,21 @@ def numbered_classes(texts: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, picked: int = 3, sketches: int = 16) -> DataFrame:
     """doc_id, content, n_words, class_id (smallest doc_id of the class) and kept (it is that document) of each row."""
     base = materialize(sketched(docs, k, picked, sketches), "sketches")
-    texts = base.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
-    texts = materialize(texts, "texts")
-    members = texts.select("content", "doc_id", "n_words", "sketches", F.posexplode("sketches").alias("slot", "value")).withColumn("value", F.xxhash64("slot", "value"))
-    crowded = members.groupBy("value").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("value")
-    members = materialize(members.join(crowded, "value"), "members")
-    every = materialize(coded(docs).groupBy("content").agg(F.first("codes").alias("codes")), "every")
-    codes = materialize(every.join(members.select("content").distinct(), "content", "left_semi"), "codes")
+    texts = base.where("content IS NOT NULL").groupBy("content")
+    texts = texts.agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"), F.min(F.struct("row", "block")).alias("at"))
+    texts = materialize(texts.select("content", "doc_id", "n_words", "sketches", "at.row", "at.block"), "texts")
+    members = texts.select("content", "doc_id", F.posexplode("sketches").alias("slot", "sketch")).select("content", "doc_id", "slot", F.xxhash64("slot", "sketch").alias("value"))
+    crowded = members.groupBy("value").agg(F.count("*").alias("n_texts")).where("n_texts > 1").select(F.col("value").alias("shared"))
+    members = materialize(members.join(crowded, F.col("value") == F.col("shared")).drop("shared"), "members")
+
+    def codes_for(contents: DataFrame) -> DataFrame:
+        rows = texts.select("content", "row", "block").join(contents.distinct(), "content", "left_semi")
+        path = write_by_block(rows.select("block", "row", F.lit(0).cast("long").alias("root")), "rows")
+        out = materialize(codes_of(base, path).select("content", "codes"), "codes")
+        remove(base.sparkSession, path)
+        return out
+
+    codes = codes_for(members.select("content"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -165,43 +191,48 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, picked:
                 found.append(count_difference(x, y) <= 2 * most and edit_distance(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
-    def linked(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    def of_like_size(pairs: DataFrame) -> DataFrame:
         size = texts.select("content", "n_words")
         pairs = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
-        pairs = pairs.where(F.abs(F.col("n_a") - F.col("n_b")) <= (1 - threshold) * F.greatest("n_a", "n_b") + 1e-9).select("a", "b")
+        return pairs.where(F.abs(F.col("n_a") - F.col("n_b")) <= (1 - threshold) * F.greatest("n_a", "n_b") + 1e-9).select("a", "b")
+
+    def linked(pairs: DataFrame, codes: DataFrame) -> DataFrame:
         both = pairs.join(codes.toDF("a", "codes_a"), "a").join(codes.toDF("b", "codes_b"), "b").select("a", "b", "codes_a", "codes_b")
         return materialize(both.mapInArrow(verify, "a binary, b binary"), "links")
 
-    links = linked(starred(members), codes)
+    links = linked(of_like_size(starred(members)), codes)
     roots = materialize(components(links), "roots")
     discard(links)
     mixed, equal = still_mixed(members, roots), 1  # what shares a sketch but no component yet
     discard(members)
     while equal < sketches and not mixed.isEmpty():
         equal = min(2 * equal, sketches)
-        finer = mixed if equal > 2 else mixed.withColumn("step", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+        finer = mixed if equal > 2 else mixed.join(texts.select("content", "sketches"), "content").withColumn("step", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
         chosen = [F.element_at("sketches", F.pmod(F.col("slot") + i * F.col("step"), F.lit(sketches)) + 1) for i in range(equal)]
         finer = materialize(finer.withColumn("value", F.xxhash64("slot", "step", *chosen)), "finer")
         discard(mixed)
-        links = linked(starred(finer), codes)
+        links = linked(of_like_size(starred(finer)), codes)
         roots = with_links(roots, links)
         mixed = still_mixed(finer.drop("root"), roots)
         for table in (links, finer):
             discard(table)
     discard(mixed)
     discard(codes)
-    placed = every.join(roots, F.col("content") == F.col("node"), "left").select("content", F.xxhash64(F.coalesce("root", "content")).alias("root"), "codes")
-    packs = materialize(packed(placed), "packs")
-    discard(every)
+    placed = texts.join(roots, F.col("content") == F.col("node"), "left").select("block", "row", F.xxhash64(F.coalesce("root", "content")).alias("root"))
+    path = write_by_block(placed, "placed")
+    packs = materialize(packed(codes_of(base, path)), "packs")
+    remove(base.sparkSession, path)
     pairs = candidates(packs, texts.agg(F.sum("n_words")).first()[0] or 0, threshold)
-    codes = materialize(unpacked(packs).join(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "content", "left_semi"), "codes")
     discard(packs)
+    codes = codes_for(pairs.select(F.explode(F.array("a", "b")).alias("content")))
     links = linked(pairs, codes)
     roots = with_links(roots, links)
     of_text = numbered_classes(texts, roots)
     for table in (links, pairs, codes, roots, texts):
         discard(table)
-    own = base.select("doc_id", "content", "n_words").join(of_text, "content", "left")
+    slim = materialize(base.select("doc_id", "content", "n_words"), "documents")
+    discard(base)
+    own = slim.join(of_text, "content", "left")
     alone = F.col("content").isNull()
     return own.select("doc_id", "content", "n_words", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("content") == F.col("class_content")))).alias("kept"))
 

@@ -3,15 +3,19 @@
 A text a of n words and one no longer that it is linked with are at most `t` edits apart, t = (1 - threshold) * n. Of any t + 1 windows
 of a that don't overlap one at least is untouched, so it stands in the other text, at most t words away from its place in a. A
 window that occurs in no other class needs no look: a text with t + 1 such windows (most have them) has no such partner at all. Of the
-others the rarest t + 1 windows are looked up. That is exact: no pair is left out, whatever the number of windows or texts that share one.
+others those t + 1 windows are looked up that the fewest texts of other classes have. That is exact: no pair is left out, whatever the
+number of windows or texts that share one. Texts that share a window meet once for it, however often they repeat it, and only if
+the parities of their words' numbers, folded to `PARITIES` bits (an edit turns two at most), and their lengths and places allow a link.
 
 Windows are three words long, or shorter where n words don't hold t + 1 of three. Texts are put together in packs, whose window hashes
-are dealt out by bucket, about `BUCKET` of them each, to find those in several classes; a hash that two windows share, or an occurrence counted
-twice, only makes a window seem less rare. Classes are told apart by 32 bits of a hash.
+are dealt out by bucket, about `BUCKET` of them each, to find those in several classes. A window's place is not sent along: the answer
+has the order in which the pack dealt its windows, and the task that has the pack reads it from a file. A hash that two
+windows share only makes a window seem less rare. Classes are told apart by 32 bits of a hash.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,14 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, shingles, shuffle_partitions
+from .common import discard, materialize, mix64, read_block, remove, shingles, shuffle_partitions, write_by_block
 
 
 LONGEST = 3  # words of a window
 PACK, BUCKET = 1_000_000, 1_000_000  # words of a pack and windows of a bucket, about
+PARITIES = 256
 PACK_TYPE = "pack long, contents binary, roots binary, sizes binary, codes binary"
-SHARED_TYPE = "width int, bucket int, pack long, hashes binary, places binary, levels binary"
-WINDOW_TYPE = "width int, bucket int, hash long, content binary, root long, n_words int, place int"
+DEALT_TYPE = "width int, bucket int, pack long, hashes binary, roots binary, lengths binary"
+SHARED_TYPE = "width int, bucket int, pack long, levels binary, hashes binary"
+MET_TYPE = "width int, bucket int, pack long, hashes binary"
+BITS = [f"bits{i}" for i in range(PARITIES // 64)]
+WINDOW_COLUMNS = ["width", "bucket", "hash", "content", "root", "n_words", "low", "high", *BITS]
+WINDOW_TYPE = "width int, bucket int, hash long, content binary, root long, n_words int, low int, high int, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def most_edits(n: int, threshold: float) -> int:
@@ -47,6 +56,44 @@ def widths_met(n: int, threshold: float) -> frozenset[int]:
     return frozenset(width_of(m, threshold) for m in range(n, longest + 1)) - {0}
 
 
+def rows_of(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    """The rows as a batch of the columns of `kind`."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in kind.split(", ")]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], [name for name, _ in fields])
+
+
+class Pack:
+    """Texts of about PACK words: their contents, classes, sizes and codes."""
+
+    def __init__(self, contents: bytes, roots: bytes, sizes: bytes, codes: bytes):
+        self.contents, self.roots = contents, np.frombuffer(roots, np.int64)
+        self.sizes, self.codes = np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(codes, np.uint32)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def windows(self, width: int, buckets: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, bucket, text and place in the pack of the windows by which a text may be found, by bucket, then place."""
+        has = np.array([width in widths_met(n, threshold) for n in self.sizes.tolist()])
+        h = shingles(self.codes, width)
+        own = self.text[: len(h)]
+        places = np.flatnonzero(has[own] & (np.arange(len(h)) + width <= self.ends[own])) if len(h) else np.zeros(0, np.int64)
+        h = h[places]
+        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        places = places[order]
+        return h[order].astype(np.uint32), bucket[order], self.text[places], places
+
+    def rows(self, width: int, found: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+        """Rows of WINDOW_TYPE for (text, bucket, hash, lowest place, highest place)."""
+        texts = sorted({t for t, *_ in found})
+        bits = {t: np.packbits(np.bincount(self.codes[self.starts[t] : self.ends[t]] % PARITIES, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64).tolist() for t in texts}
+        rows = [(width, b, h, self.contents[16 * t : 16 * t + 16], int(self.roots[t]), int(self.sizes[t]), low, high, *bits[t]) for t, b, h, low, high in found]
+        return rows_of(rows, WINDOW_TYPE)
+
+
 def packed(texts: DataFrame) -> DataFrame:
     """texts (content, root, codes) in rows of about PACK words."""
 
@@ -56,8 +103,7 @@ def packed(texts: DataFrame) -> DataFrame:
         def row() -> pa.RecordBatch:
             contents, roots, codes = zip(*held)
             number = int.from_bytes(contents[0][:8], "little", signed=True)  # contents are distinct, so is the first of a pack
-            values = [number, b"".join(contents), np.array(roots, np.int64).tobytes(), np.array([len(c) // 4 for c in codes], np.int32).tobytes(), b"".join(codes)]
-            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, (pa.int64(), *[pa.binary()] * 4))], ["pack", "contents", "roots", "sizes", "codes"])
+            return rows_of([(number, b"".join(contents), np.array(roots, np.int64).tobytes(), np.array([len(c) // 4 for c in codes], np.int32).tobytes(), b"".join(codes))], PACK_TYPE)
 
         for batch in batches:
             for text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -72,50 +118,31 @@ def packed(texts: DataFrame) -> DataFrame:
     return texts.select("content", "root", "codes").mapInArrow(pack, PACK_TYPE)
 
 
-def unpacked(packs: DataFrame) -> DataFrame:
-    """content, codes of each text."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for contents, sizes, codes in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ends = np.cumsum(np.frombuffer(sizes, np.int32).astype(np.int64)) * 4
-                own = [codes[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([contents[i : i + 16] for i in range(0, len(contents), 16)], pa.binary()), pa.array(own, pa.binary())], ["content", "codes"])
-
-    return packs.select("contents", "sizes", "codes").mapInArrow(unpack, "content binary, codes binary")
+def packs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Pack]]:
+    for batch in batches:
+        for number, *columns in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            yield number, Pack(*columns)
 
 
 def dealt(packs: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """The windows of each pack by bucket: hashes, places in the pack, and for each run of places in one text its class and length."""
+    """The windows of each pack by bucket: hashes, and for each run of windows in one text its class and length."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, roots, sizes, codes in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                codes, sizes = np.frombuffer(codes, np.uint32), np.frombuffer(sizes, np.int32).astype(np.int64)
-                roots = mix64(np.frombuffer(roots, np.uint64)).astype(np.uint32)
-                text, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
-                met = [widths_met(n, threshold) for n in sizes.tolist()]
-                for width in range(1, LONGEST + 1):
-                    has = np.array([width in m for m in met])
-                    h = shingles(codes, width)
-                    own = text[: len(h)]
-                    places = np.flatnonzero(has[own] & (np.arange(len(h)) + width <= ends[own])) if len(h) else np.zeros(0, np.int64)
-                    if not len(places):
-                        continue
-                    h, own = h[places], own[places]
-                    bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
-                    order = np.argsort(bucket, kind="stable")
-                    h, own, places, bucket = h[order].astype(np.uint32), own[order], places[order].astype(np.uint32), bucket[order]
-                    cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-                    rows = []
-                    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                        runs = np.concatenate(([0], np.flatnonzero(own[i + 1 : j] != own[i : j - 1]) + 1))
-                        lengths = np.diff(np.append(runs, j - i)).astype(np.uint32)
-                        rows.append((width, int(bucket[i]), pack, h[i:j].tobytes(), places[i:j].tobytes(), roots[own[i:j][runs]].tobytes(), lengths.tobytes()))
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["width", "bucket", "pack", "hashes", "places", "roots", "lengths"])
-
-    return packs.select("pack", "roots", "sizes", "codes").mapInArrow(deal, "width int, bucket int, pack long, hashes binary, places binary, roots binary, lengths binary")
+        for number, pack in packs_of(batches):
+            roots = mix64(pack.roots.view(np.uint64)).astype(np.uint32)
+            for width in range(1, LONGEST + 1):
+                h, bucket, own, _ = pack.windows(width, buckets, threshold)
+                if not len(h):
+                    continue
+                cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist()
+                rows = []
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    runs = np.concatenate(([0], np.flatnonzero(own[i + 1 : j] != own[i : j - 1]) + 1))
+                    lengths = np.diff(np.append(runs, j - i)).astype(np.uint32)
+                    rows.append((width, int(bucket[i]), number, h[i:j].tobytes(), roots[own[i:j][runs]].tobytes(), lengths.tobytes()))
+                yield rows_of(rows, DEALT_TYPE)
+
+    return packs.mapInArrow(deal, DEALT_TYPE)
 
 
 def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -124,25 +151,43 @@ def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows) if rows else np.zeros(0, kind), np.array([len(x) for x in rows], np.int64)
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def levels_of(h: np.ndarray, text: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of each window the logarithm, rounded up, of how many texts of other classes have it, at least 1; 0 if none has. `text` ascends."""
+    level = np.zeros(len(h), np.uint8)
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(changes(h[order]))
+    several = np.minimum.reduceat(root[order], first) != np.maximum.reduceat(root[order], first)
+    order = order[np.repeat(several, np.diff(np.append(first, len(h))))]
+    if not len(order):
+        return level
+    group = np.cumsum(changes(h[order])) - 1
+    once = changes(group, text[order])  # a text counts once for a window
+    n_texts = np.bincount(group, once)
+    by_class = np.lexsort((root[order], group))
+    part = np.cumsum(changes(group[by_class], root[order][by_class])) - 1
+    own = np.bincount(part, once[by_class])
+    others = n_texts[group[by_class]] - own[part]
+    level[order[by_class]] = np.maximum(np.ceil(np.log2(others)), 1).astype(np.uint8)
+    return level
+
+
 def shared_by_classes(table: pa.Table) -> pa.Table:
-    """Of a bucket the windows that occur in several classes, by pack; levels are the logarithms of how often they occur."""
+    """Of a bucket, by pack: the levels of its windows, in the pack's order, and the hashes of those that occur in several classes."""
     h, of_row = joined(table["hashes"], np.uint32)
-    places, roots, lengths = (joined(table[c], np.uint32)[0] for c in ("places", "roots", "lengths"))
-    roots = np.repeat(roots, lengths)
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-    size = np.diff(np.append(first, len(h)))
-    several = np.minimum.reduceat(roots[order], first) != np.maximum.reduceat(roots[order], first)
-    level = np.zeros(len(h), np.uint8)
-    level[order] = np.repeat(np.where(several, np.ceil(np.log2(np.maximum(size, 2))), 0).astype(np.uint8), size)
+    roots, lengths = (joined(table[c], np.uint32)[0] for c in ("roots", "lengths"))
+    level = levels_of(h, np.repeat(np.arange(len(roots)), lengths), np.repeat(roots, lengths))
     rows, ends = [], np.cumsum(of_row)
-    for pack, i, j in zip(table["pack"].to_pylist(), (ends - of_row).tolist(), ends.tolist()):
-        kept = np.flatnonzero(level[i:j]) + i
-        if len(kept):
-            rows.append((table["width"][0].as_py(), table["bucket"][0].as_py(), pack, h[kept].tobytes(), places[kept].tobytes(), level[kept].tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
-    columns = zip(*rows) if rows else [[] for _ in kinds]
-    return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["width", "bucket", "pack", "hashes", "places", "levels"])
+    for width, bucket, pack, i, j in zip(*(table[c].to_pylist() for c in ("width", "bucket", "pack")), (ends - of_row).tolist(), ends.tolist()):
+        if level[i:j].any():
+            rows.append((width, bucket, pack, zlib.compress(level[i:j].tobytes(), 1), np.unique(h[i:j][level[i:j] > 0]).tobytes()))
+    return pa.Table.from_batches([rows_of(rows, SHARED_TYPE)])
 
 
 def rarest(levels: np.ndarray, width: int, wanted: int) -> list[int]:
@@ -159,72 +204,97 @@ def rarest(levels: np.ndarray, width: int, wanted: int) -> list[int]:
     return [p for p in chosen[:wanted] if levels[p]]
 
 
-def windows_of(shared: pa.Table, packs: pa.Table, threshold: float, chosen_only: bool) -> pa.Table:
-    """A pack's shared windows with their text; with `chosen_only` those that the text looks up."""
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-    names = ["width", "bucket", "hash", "content", "root", "n_words", "place"]
-    if not shared.num_rows or not packs.num_rows:
-        return pa.Table.from_arrays([pa.array([], kind) for kind in kinds], names)
-    contents, roots, sizes = packs["contents"][0].as_py(), np.frombuffer(packs["roots"][0].as_py(), np.int64), np.frombuffer(packs["sizes"][0].as_py(), np.int32).astype(np.int64)
-    h, of_row = joined(shared["hashes"], np.uint32)
-    places, levels = joined(shared["places"], np.uint32)[0].astype(np.int64), joined(shared["levels"], np.uint8)[0]
-    width, bucket = (np.repeat(shared[c].to_numpy(), of_row) for c in ("width", "bucket"))
-    starts = np.cumsum(sizes) - sizes
-    text = np.searchsorted(starts, places, side="right") - 1
-    if chosen_only:
-        own = np.array([width_of(n, threshold) for n in sizes.tolist()])
-        kept = np.flatnonzero(width == own[text])
-        kept = kept[np.argsort(places[kept], kind="stable")]
-        cuts = np.concatenate(([0], np.flatnonzero(text[kept][1:] != text[kept][:-1]) + 1, [len(kept)])) if len(kept) else [0]
-        found = []
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            rows, t = kept[i:j], text[kept[i]]
-            n, w, wanted = int(sizes[t]), int(own[t]), most_edits(int(sizes[t]), threshold) + 1
-            if n - w + 1 - len(rows) > w * (wanted - 1):
-                continue  # so many windows of no other class that `wanted` of them don't overlap
-            of_place = np.zeros(n - w + 1, np.uint8)
-            of_place[places[rows] - starts[t]] = levels[rows]
-            row_at = dict(zip((places[rows] - starts[t]).tolist(), rows.tolist()))
-            found += [row_at[p] for p in rarest(of_place, w, wanted)]
-        kept = np.array(found, np.int64)
-    else:
-        kept = np.arange(len(h))
-    t = text[kept]
-    columns = (width[kept], bucket[kept], h[kept].astype(np.int64), [contents[16 * i : 16 * i + 16] for i in t.tolist()], roots[t], sizes[t], places[kept] - starts[t])
-    return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
+def looked_up(packs: DataFrame, level_files: str, buckets: int, threshold: float) -> DataFrame:
+    """The windows that texts look up."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, pack in packs_of(batches):
+            answer = read_block(level_files, number)
+            if answer is None:
+                continue
+            levels = {(w, b): zlib.decompress(x) for w, b, x in zip(*(answer[c].to_pylist() for c in ("width", "bucket", "levels")))}
+            of_text = np.array([width_of(n, threshold) for n in pack.sizes.tolist()])
+            edits = np.array([most_edits(n, threshold) for n in pack.sizes.tolist()])
+            for width in range(1, LONGEST + 1):
+                if not any(w == width for w, _ in levels):
+                    continue
+                h, bucket, own, places = pack.windows(width, buckets, threshold)
+                cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist()
+                level = np.zeros(len(h), np.uint8)
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    if (width, int(bucket[i])) in levels:
+                        level[i:j] = np.frombuffer(levels[width, int(bucket[i])], np.uint8)
+                n_shared = np.bincount(own, level > 0, minlength=len(pack.sizes))
+                # with so many windows of no other class, `wanted` of them don't overlap
+                asking = np.flatnonzero((of_text == width) & (pack.sizes - width + 1 - n_shared <= width * edits))
+                if not len(asking):
+                    continue
+                at_place, row_at = np.zeros(len(pack.codes), np.uint8), np.zeros(len(pack.codes), np.int64)
+                at_place[places], row_at[places] = level, np.arange(len(places))
+                found: dict[tuple[int, int, int], list[int]] = {}
+                for t in asking.tolist():
+                    start = int(pack.starts[t])
+                    for p in rarest(at_place[start : int(pack.ends[t]) - width + 1], width, int(edits[t]) + 1):
+                        row = row_at[start + p]
+                        found.setdefault((t, int(bucket[row]), int(h[row])), []).append(p)
+                yield pack.rows(width, [(*key, min(at), max(at)) for key, at in found.items()])
+
+    return packs.mapInArrow(choose, WINDOW_TYPE)
 
 
 def asked_for(shared: pa.Table, asked: pa.Table) -> pa.Table:
-    """The bucket's shared windows that some text looks up."""
+    """Of a bucket, by pack, the shared windows that some text looks up."""
     wanted, rows = np.unique(asked["hash"].to_numpy()), []
-    for width, bucket, pack, *blobs in zip(*(shared[c].to_pylist() for c in ("width", "bucket", "pack", "hashes", "places", "levels"))):
-        h, places, levels = (np.frombuffer(x, kind) for x, kind in zip(blobs, (np.uint32, np.uint32, np.uint8)))
+    for width, bucket, pack, hashes in zip(*(shared[c].to_pylist() for c in ("width", "bucket", "pack", "hashes"))):
+        h = np.frombuffer(hashes, np.uint32)
         kept = np.isin(h.astype(np.int64), wanted)
         if kept.any():
-            rows.append((width, bucket, pack, h[kept].tobytes(), places[kept].tobytes(), levels[kept].tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
-    columns = zip(*rows) if rows else [[] for _ in kinds]
-    return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["width", "bucket", "pack", "hashes", "places", "levels"])
+            rows.append((width, bucket, pack, h[kept].tobytes()))
+    return pa.Table.from_batches([rows_of(rows, MET_TYPE)])
+
+
+def standing(packs: DataFrame, met_files: str, buckets: int, threshold: float) -> DataFrame:
+    """The windows that are looked up, in every text that has them."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, pack in packs_of(batches):
+            asked = read_block(met_files, number)
+            if asked is None:
+                continue
+            for width in sorted(set(asked["width"].to_pylist())):
+                wanted = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32) for w, b, x in zip(*(asked[c].to_pylist() for c in ("width", "bucket", "hashes"))) if w == width]
+                h, bucket, own, places = pack.windows(width, buckets, threshold)
+                hit = np.flatnonzero(np.isin((bucket.astype(np.uint64) << np.uint64(32)) | h, np.concatenate(wanted)))
+                places = places - pack.starts[own]
+                hit = hit[np.lexsort((places[hit], h[hit], own[hit], bucket[hit]))]
+                first = np.flatnonzero(changes(bucket[hit], own[hit], h[hit]))
+                last = np.append(first[1:], len(hit)) - 1
+                low, high = hit[first], hit[last]
+                yield pack.rows(width, list(zip(own[low].tolist(), bucket[low].tolist(), h[low].tolist(), places[low].tolist(), places[high].tolist())))
+
+    return packs.mapInArrow(find, WINDOW_TYPE)
 
 
 def candidates(packs: DataFrame, n_words: int, threshold: float) -> DataFrame:
     """packs, as packed() makes them -> a, b of every pair in different classes that may be linked."""
-    parts = shuffle_partitions(packs.sparkSession)
-    buckets = max(parts, n_words // BUCKET + 1)
-    shared = dealt(packs, buckets, threshold).groupBy("width", "bucket").applyInArrow(shared_by_classes, SHARED_TYPE)
-    shared = materialize(shared, "shared")
-    texts = packs.select("pack", "contents", "roots", "sizes")
-    by_pack = lambda rows, chosen_only: rows.groupBy("pack").cogroup(texts.groupBy("pack")).applyInArrow(lambda x, y: windows_of(x, y, threshold, chosen_only), WINDOW_TYPE)
-    asked = materialize(by_pack(shared, True), "asked")
+    buckets = max(shuffle_partitions(packs.sparkSession), n_words // BUCKET + 1)
+    shared = materialize(dealt(packs, buckets, threshold).groupBy("width", "bucket").applyInArrow(shared_by_classes, SHARED_TYPE), "shared")
+    level_files = write_by_block(shared.select(F.col("pack").alias("block"), "width", "bucket", "levels"), "levels")
+    asked = materialize(looked_up(packs, level_files, buckets, threshold), "asked")
+    remove(packs.sparkSession, level_files)
     keys = asked.select("width", "bucket", "hash").distinct()
-    met = shared.groupBy("width", "bucket").cogroup(keys.groupBy("width", "bucket")).applyInArrow(asked_for, SHARED_TYPE)
-    met = by_pack(met, False)
-    left = asked.toDF("width", "bucket", "hash", "x", "root_x", "n_x", "at_x")
-    right = met.toDF("width", "bucket", "hash", "y", "root_y", "n_y", "at_y")
-    edits = (1 - threshold) * F.col("n_x") + 1e-9
-    near = (F.col("root_x") != F.col("root_y")) & (F.col("n_y") <= F.col("n_x")) & (F.col("n_x") - F.col("n_y") <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits)
-    pairs = left.join(right, ["width", "bucket", "hash"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = shared.select("width", "bucket", "pack", "hashes").groupBy("width", "bucket").cogroup(keys.groupBy("width", "bucket")).applyInArrow(asked_for, MET_TYPE)
+    met_files = write_by_block(met.withColumnRenamed("pack", "block"), "met")
+    discard(shared)
+    left = asked.select(*(F.col(c).alias(c if c in ("width", "bucket", "hash") else f"{c}_x") for c in WINDOW_COLUMNS))
+    right = standing(packs, met_files, buckets, threshold)
+    right = right.select(*(F.col(c).alias(c if c in ("width", "bucket", "hash") else f"{c}_y") for c in WINDOW_COLUMNS))
+    edits = F.floor((1 - threshold) * F.col("n_words_x") + 1e-9)
+    near = (F.col("root_x") != F.col("root_y")) & (F.col("n_words_y") <= F.col("n_words_x")) & (F.col("n_words_x") - F.col("n_words_y") <= edits)
+    near &= (F.col("low_y") - F.col("high_x") <= edits) & (F.col("low_x") - F.col("high_y") <= edits)
+    near &= sum((F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in BITS[1:]), F.bit_count(F.col(f"{BITS[0]}_x").bitwiseXOR(F.col(f"{BITS[0]}_y")))) <= 2 * edits
+    pairs = left.join(right, ["width", "bucket", "hash"]).where(near).select(F.least("content_x", "content_y").alias("a"), F.greatest("content_x", "content_y").alias("b")).distinct()
     pairs = materialize(pairs, "candidates")
-    for table in (shared, asked):
-        discard(table)
+    remove(packs.sparkSession, met_files)
+    discard(asked)
     return pairs

@@ -235,3 +235,14 @@ def test_repeat_counts_minimize_the_squares():
     used = Counter(s for p, n in planned.items() for s in p for _ in range(n))
     assert all(sum(p) == 24 for p in planned) and all(used[s] <= counts[s] for s in used)
     assert sum(s * n for s, n in used.items()) > 0.8 * sum(s * n for s, n in enumerate(counts))  # lengths over half have few partners
+
+
+def test_repeated_windows_count_once_a_text():
+    """A word pair that two texts repeat 500 times is shared by one other text, and windows of one class by none."""
+    from graphloom.llm.shared_windows import levels_of
+
+    h = np.array([7] * 1000 + [8] * 6, np.uint32)
+    text = np.repeat([0, 1, 2, 3, 4, 5, 6, 7], [500, 500, 1, 1, 1, 1, 1, 1])
+    root = np.array([1, 2, 3, 3, 3, 3, 3, 4], np.uint32)[text]
+    assert levels_of(h, text, root).tolist() == [1] * 1000 + [1] * 5 + [3]
+    assert levels_of(h[1000:1005], text[1000:1005], root[1000:1005]).tolist() == [0] * 5

@@ -374,3 +374,16 @@ def test_neighborhood_deals_edges_out_before_they_meet_nodes(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("1", "2", "X"), ("2", "3", "X"), ("2", "t", "BELONGS_TO")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert sum("RepartitionByExpression [src" in x or "RepartitionByExpression [dst" in x for x in plan.splitlines()) == 3
+
+
+def test_context_of_all_vectors_and_parts(spark, tmp_path):
+    vector = lambda x, y: [x, y] + [0.0] * 6
+    vectors = [(0, vector(1.0, 0.0)), (1, vector(0.9, 0.1)), (2, vector(0.0, 1.0)), (700, vector(1.0, 0.1))]
+    parts = [(1, "red ring", "A", "LARGE"), (2, "old bolt", "B", "SMALL"), (9, "red plate", "C", "LARGE"), (101, "old gear", "D", "PROMO")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(9,)], "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.QUERIES["r06_retrieve_context"](spark, str(tmp_path))
+    got = {(r["query_id"], r["id"]) for r in found.collect()}
+    assert got == {(0, 0), (0, 8), (100, 1), (100, 100), (700, 0), (700, 1), (700, 700)}  # 8 and 100 have no vector, 700 has no part
+    assert found.where("used IS NULL").isEmpty()

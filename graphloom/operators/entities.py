@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -139,9 +143,51 @@ def fuzzy_to_known(names: DataFrame, known: DataFrame, least: float = 0.85) -> D
     return names.join(best, F.lower("name") == F.col("a"), "left").select("name", F.when(F.col("best.term") != F.lower("name"), F.col("best.term")).alias("term"))
 
 
+def letter_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each text holds a letter, by its code modulo 64, and the texts' lengths."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % 64
+    return np.bincount(np.repeat(np.arange(len(texts)) * 64, sizes) + codes, minlength=64 * len(texts)).reshape(-1, 64), sizes
+
+
+def closest_runs(rows: DataFrame, least: float) -> DataFrame:
+    """rows (doc_id, asked: array of a, n; words) -> doc_id, a, ratio: the best matching-block ratio of a name with a run of its n words (3 at
+    most), `least` at least. Blocks hold no letter more often than both strings do, so most runs are ruled out by counts of letters."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from difflib import SequenceMatcher
+
+        for batch in batches:
+            ratio = lru_cache(100_000)(lambda a, b: SequenceMatcher(None, a, b).ratio())
+            at, names, ratios = [], [], []
+            for i, (asked, words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for n in {x["n"] for x in asked} & {1, 2, 3}:
+                    runs = list(dict.fromkeys(words if n == 1 else (" ".join(words[j : j + n]) for j in range(len(words or []) - n + 1)))) if words else []
+                    if not runs:
+                        continue
+                    counts, sizes = letter_counts(runs)
+                    for a in {x["a"] for x in asked if x["n"] == n and x["a"]}:
+                        own = letter_counts([a])[0][0]
+                        used = np.flatnonzero(own)
+                        bound = 2 * np.minimum(counts[:, used], own[used]).sum(axis=1) / (sizes + len(a))
+                        likely = np.flatnonzero(bound >= least - 1e-9)
+                        best = 0.0
+                        for j in likely[np.argsort(-bound[likely], kind="stable")]:
+                            if bound[j] < best - 1e-9:
+                                break
+                            best = max(best, ratio(a, runs[j]))
+                        if best >= least:
+                            at.append(i), names.append(a), ratios.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(ratios, pa.float64())], ["doc_id", "a", "ratio"])
+
+    return rows.select("doc_id", "asked", "words").mapInArrow(search, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, a string, ratio double").groupBy("doc_id", "a").agg(F.max("ratio").alias("ratio"))
+
+
 def check_hallucination(mentions: DataFrame, texts: DataFrame, least: float = 0.75, aliases: DataFrame | None = None) -> DataFrame:
     """D08. mentions (doc_id, name), texts (doc_id, text), aliases (name, alias) -> doc_id, name, status (exact, alias, fuzzy, suspected),
-    ratio, and the document's confidence: the share of its names that aren't suspected."""
+    ratio, and the document's confidence: the share of its names that aren't suspected.
+
+    Names that aren't found meet the runs of as many words, up to three, within the text's row."""
     rows = mentions.join(texts.select("doc_id", F.lower("text").alias("text")), "doc_id")  # lower case once a text, not once a name
     if aliases is not None:
         known = aliases.groupBy(F.lower("name").alias("k")).agg(F.collect_set(F.lower("alias")).alias("aliases"))
@@ -150,19 +196,11 @@ def check_hallucination(mentions: DataFrame, texts: DataFrame, least: float = 0.
         rows = rows.withColumn("aliases", F.lit(None).cast("array<string>"))
     by_alias = F.coalesce(F.exists("aliases", lambda x: F.contains("text", x)), F.lit(False))
     exact = rows.withColumn("is_name", F.contains("text", F.lower("name"))).withColumn("exact", F.col("is_name") | by_alias)
-    n = F.size(F.split(F.trim("name"), r"\s+"))
-    left = exact.where("NOT exact").withColumn("n", n)
+    low = F.lower("name")
+    left = exact.where("NOT exact").groupBy("doc_id").agg(F.collect_set(F.struct(low.alias("a"), F.size(F.split(F.trim("name"), r"\s+")).alias("n"))).alias("asked"))
     words = F.filter(F.split(F.lower("text"), WORDS), lambda x: x != "")
-    placed = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(words).alias("at", "w1"))
-    by = Window.partitionBy("doc_id").orderBy("at")
-    placed = placed.select("doc_id", "w1", F.lead("w1", 1).over(by).alias("w2"), F.lead("w1", 2).over(by).alias("w3"))
-    runs = F.array(F.struct(F.lit(1).alias("n"), F.col("w1").alias("phrase")), F.struct(F.lit(2).alias("n"), F.concat(F.col("w1"), F.lit(" "), F.col("w2")).alias("phrase")), F.struct(F.lit(3).alias("n"), F.concat(F.col("w1"), F.lit(" "), F.col("w2"), F.lit(" "), F.col("w3")).alias("phrase")))
-    runs = placed.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.n", "r.phrase").where("phrase IS NOT NULL").distinct()
-    near = left.select("doc_id", "name", "n").join(runs, ["doc_id", "n"])
-    near = near.where(2 * F.least(F.length("name"), F.length("phrase")) / (F.length("name") + F.length("phrase")) >= least)
-    scored = fuzzy_pairs(near.select(F.lower("name").alias("a")).distinct(), near.select(F.col("phrase").alias("b")).distinct(), least)
-    best = near.join(scored, (F.lower("name") == F.col("a")) & (F.col("phrase") == F.col("b"))).groupBy("doc_id", "name").agg(F.max("ratio").alias("ratio"))
-    joined = exact.join(best, ["doc_id", "name"], "left")
+    best = closest_runs(texts.join(left, "doc_id").select("doc_id", "asked", words.alias("words")), least)
+    joined = exact.withColumn("a", low).join(best, ["doc_id", "a"], "left")
     status = F.when(F.col("is_name"), "exact").when(F.col("exact"), "alias").when(F.col("ratio").isNotNull(), "fuzzy").otherwise("suspected")
     out = joined.select("doc_id", "name", status.alias("status"), F.round(F.when(F.col("exact"), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0))), 6).alias("ratio"))
     sound = F.avg((F.col("status") != "suspected").cast("double")).over(Window.partitionBy("doc_id"))

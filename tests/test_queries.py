@@ -387,3 +387,26 @@ def test_context_of_all_vectors_and_parts(spark, tmp_path):
     got = {(r["query_id"], r["id"]) for r in found.collect()}
     assert got == {(0, 0), (0, 8), (100, 1), (100, 100), (700, 0), (700, 1), (700, 700)}  # 8 and 100 have no vector, 700 has no part
     assert found.where("used IS NULL").isEmpty()
+
+
+def test_hallucination_check_decides_what_stays(spark):
+    from difflib import SequenceMatcher
+
+    from graphloom.plans import text_queries
+
+    checked = text_queries.checked_claims(spark, SF).toPandas()
+    assert set(checked["status"]) == {"exact", "alias", "fuzzy", "suspected"}
+    assert {c >= 0.5 for c in checked[checked["status"] != "suspected"]["confidence"]} == {True, False}
+    stays = checked[(checked["status"] != "suspected") & (checked["confidence"] >= 0.5)]
+    assert rows(plans.QUERIES["d08_d09_hallucination"](spark, SF).toPandas(), list(checked)) == rows(stays, list(checked))
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.filter(F.split(F.lower("text"), entities.WORDS), lambda x: x != "").alias("words")).toPandas().set_index("doc_id")["words"]
+    for r in checked[checked["status"].isin(["fuzzy", "suspected"])].itertuples():  # all of one word
+        ratio = max(SequenceMatcher(None, r.name, w).ratio() for w in set(texts[r.doc_id]))
+        assert (r.status, r.ratio) == (("fuzzy", round(ratio, 6)) if ratio >= 0.75 else ("suspected", 0.0))
+
+
+def test_fuzzy_names_of_several_words(spark):
+    names = spark.createDataFrame([(1, "Visual Studo Code"), (1, "visal studio"), (1, "kod"), (1, "four words of it"), (1, ""), (2, "x\U0001f600yz")], "doc_id long, name string")
+    texts = spark.createDataFrame([(1, "We like visual, studio code."), (2, "x\U0001f600y z")], "doc_id long, text string")
+    got = {r["name"]: (r["status"], r["ratio"]) for r in entities.check_hallucination(names, texts).collect()}
+    assert got == {"Visual Studo Code": ("fuzzy", 0.971429), "visal studio": ("fuzzy", 0.96), "kod": ("suspected", 0.0), "four words of it": ("suspected", 0.0), "": ("exact", 1.0), "x\U0001f600yz": ("suspected", 0.0)}

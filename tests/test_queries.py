@@ -410,3 +410,18 @@ def test_fuzzy_names_of_several_words(spark):
     texts = spark.createDataFrame([(1, "We like visual, studio code."), (2, "x\U0001f600y z")], "doc_id long, text string")
     got = {r["name"]: (r["status"], r["ratio"]) for r in entities.check_hallucination(names, texts).collect()}
     assert got == {"Visual Studo Code": ("fuzzy", 0.971429), "visal studio": ("fuzzy", 0.96), "kod": ("suspected", 0.0), "four words of it": ("suspected", 0.0), "": ("exact", 1.0), "x\U0001f600yz": ("suspected", 0.0)}
+
+
+@pytest.mark.parametrize("least", [0.85, 0.9, 0.97])
+def test_sets_meet_by_whole_parts(spark, least, monkeypatch):
+    monkeypatch.setattr(resolve, "TURN_TOKENS", 500)
+    rng = random.Random(14)
+    base = [rng.sample(range(400), rng.choice([1, 2, 5, 9, 10, 19, 20, 60, 150, 300])) for _ in range(60)]
+    near = [list({*b, *rng.sample(range(400), rng.randint(0, 1 + len(b) // 15))} - set(rng.sample(b, rng.randint(0, len(b) // 15)))) for b in base for _ in range(4)]
+    sets = base + near + [[], list(range(1000)), list(range(30, 1000)), list(range(120, 1000))]
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, tokens array<int>")
+    jaccard = {(i, k): len({*x} & {*y}) / len({*x} | {*y}) for i, x in enumerate(sets) for k, y in enumerate(sets) if i < k and x and y}
+    want = {p for p, j in jaccard.items() if j >= least}
+    candidates = [tuple(r) for r in resolve.pairs_by_parts(table.where(F.size("tokens") > 0), least).collect()]
+    assert want <= set(candidates) and len(set(candidates)) == len(candidates) < len(want) + len(jaccard) // 50
+    assert {(r["a"], r["b"]): r["jaccard"] for r in resolve.jaccard_pairs(table, least).collect()} == {p: jaccard[p] for p in want} and len(want) > 50

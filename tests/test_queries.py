@@ -425,3 +425,15 @@ def test_sets_meet_by_whole_parts(spark, least, monkeypatch):
     candidates = [tuple(r) for r in resolve.pairs_by_parts(table.where(F.size("tokens") > 0), least).collect()]
     assert want <= set(candidates) and len(set(candidates)) == len(candidates) < len(want) + len(jaccard) // 50
     assert {(r["a"], r["b"]): r["jaccard"] for r in resolve.jaccard_pairs(table, least).collect()} == {p: jaccard[p] for p in want} and len(want) > 50
+
+
+def test_search_broadcasts_no_growing_table(spark):
+    from graphloom.plans import graph_queries
+
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    queries, docs, degrees = graph_queries.ask(spark, SF)
+    assert not any("BroadcastHashJoin" in physical(df) for df in (queries, docs, search.graph_boost(queries.select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("ord")), degrees)))
+    found = plans.QUERIES["r07_search_with_fallback"](spark, SF)
+    assert "part.parquet" not in physical(found) and "MapInArrow" not in physical(found)  # hits are there once
+    hits = search.hybrid_search(queries, docs, degrees, 5, 0.99)
+    assert rows(found.toPandas(), ["query_id", "id"]) == rows(search.search_with_fallback(hits, queries.withColumn("query", F.substring_index("query", " ", 1)), docs).toPandas(), ["query_id", "id"])

@@ -437,3 +437,29 @@ def test_search_broadcasts_no_growing_table(spark):
     assert "part.parquet" not in physical(found) and "MapInArrow" not in physical(found)  # hits are there once
     hits = search.hybrid_search(queries, docs, degrees, 5, 0.99)
     assert rows(found.toPandas(), ["query_id", "id"]) == rows(search.search_with_fallback(hits, queries.withColumn("query", F.substring_index("query", " ", 1)), docs).toPandas(), ["query_id", "id"])
+
+
+def test_equal_names_need_no_comparison_of_texts(spark, monkeypatch):
+    compared = []
+    plain = resolve.similar_texts
+    monkeypatch.setattr(resolve, "similar_texts", lambda left, right, *rest: compared.append(left.count()) or plain(left, right, *rest))
+    kinds = "id int, name string, type string, description string"
+    old = spark.createDataFrame([(3, "Docker", "t", "x"), (2, "docker", "t", "y"), (5, "Visual Studio Code", "t", "z")], kinds)
+    new = spark.createDataFrame([(10, "DOCKER", "other", "words"), (11, "VisualStudioCode", "t", "z"), (12, "Zebra", "q", "q"), (13, None, "t", "z")], kinds)
+    got = {r["query_id"]: (r["decision"], r["base_id"], r["score"]) for r in resolve.resolve(new, old).collect()}
+    assert got[10] == ("MERGE", 2, 1.0) and got[11] == ("MERGE", 5, 1.0) and got[12][:2] == got[13][:2] == ("NEW", None) and compared == [3]
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_blocks_of_texts_in_slices(k, monkeypatch):
+    rng = random.Random(15)
+    texts = ["", "a", "zzzz", *("".join(rng.choices("ab1", k=rng.randint(1, 12))) for _ in range(60)), "ab" * 3000]
+    grams = [Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)) for t in texts]
+    norm = [sum(n * n for n in g.values()) ** 0.5 for g in grams]
+    scores = {(i, j): sum(n * h[w] for w, n in g.items()) / (norm[i] * norm[j]) for i, g in enumerate(grams) for j, h in enumerate(grams) if norm[i] and norm[j]}
+    want = [(i, j, s) for i in range(len(texts)) for j, s in sorted(((j, scores[i, j]) for j in range(len(texts)) if scores.get((i, j), 0) >= 0.6), key=lambda x: (-round(x[1], 12), x[0]))[:k]]
+    for most in (2**24, 200):
+        monkeypatch.setattr(resolve, "DENSE", most)
+        got = list(zip(*resolve.similar_in_block(texts, texts, 0.6, k)))
+        assert sorted((i, round(s, 9)) for i, _, s in got) == sorted((i, round(s, 9)) for i, _, s in want)
+        assert all(abs(scores[i, j] - s) < 1e-12 for i, j, s in got)
